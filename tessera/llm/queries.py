@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import simhash
-from tessera.llm.common import documents
+from tessera.llm import chat, ogg, packing, simhash, toxicity, wavelet
+from tessera.llm.common import documents, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +15,40 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as wavelet matrices and read back from the files."""
+    return wavelet.token_digests(documents(spark, sf_dir))
+
+
+def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes stored in Ogg containers, read back and described."""
+    return ogg.media_features(documents(spark, sf_dir))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.packed_documents(documents(spark, sf_dir))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learnt from the labels outside the held-out fold."""
+    return toxicity.toxicity_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted and read back, with one that holds control strings."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    return chat.formatted_conversations(turns.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op4_wavelet": op4_wavelet,
+    "op7_ogg": op7_ogg,
+    "op8_packing": op8_packing,
+    "op9_toxicity": op9_toxicity,
+    "op10_chat": op10_chat,
 }
 
 ORACLE_SQL: dict[str, str] = {}
