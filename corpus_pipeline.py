@@ -6,19 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import simhash
-from tessera.llm.common import documents, new_folder
+from tessera.llm import decontam, packing, quality, simhash, toxicity
+from tessera.llm.common import documents, new_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality scorer rejects go."""
+    return quality.without_junk(docs)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted toxic go."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the least doc_id."""
     return simhash.one_of_each(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as pieces in sequences of 2048 tokens."""
+    return packing.packed_documents(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("quality", keep_quality),
+    ("toxicity", drop_toxic),
     ("near_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("packing", pack),
 ]
 
 #: SQL cannot express learned models and alignment; tests compare the stages with brute force.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, ogg, packing, simhash, toxicity, wavelet
+from tessera.llm import chat, decontam, licenses, lm, ogg, packing, quality, simhash, toxicity, wavelet
 from tessera.llm.common import documents, table
 
 
@@ -15,11 +15,31 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and labels of every document."""
+    return licenses.license_scan(documents(spark, sf_dir))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score and decision for every document, learnt from heuristic votes."""
+    return quality.scored(documents(spark, sf_dir))
+
+
 def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written as wavelet matrices and read back from the files."""
     return wavelet.token_digests(documents(spark, sf_dir))
 
 
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold benchmark items, with the items, scores and places."""
+    return decontam.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every document, learnt from those outside the held-out fold."""
+    return lm.scored(documents(spark, sf_dir))
+
+
 def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's bytes stored in Ogg containers, read back and described."""
     return ogg.media_features(documents(spark, sf_dir))
@@ -44,11 +64,17 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_licenses": op2_licenses,
+    "op3_quality": op3_quality,
     "op4_wavelet": op4_wavelet,
+    "op5_decontam": op5_decontam,
+    "op6_lm": op6_lm,
     "op7_ogg": op7_ogg,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_chat": op10_chat,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_licenses": licenses.ORACLE_SQL,
+}
