@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tessera.plans import addresses, texts  # noqa: F401  (they register their queries)
+from tessera.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "pages_canonical"
