@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import addresses, texts  # noqa: F401  (they register their queries)
+from tessera.plans import addresses, evidence, texts  # noqa: F401  (they register their queries)
 from tessera.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
-FLAGSHIP = "pages_canonical"
+FLAGSHIP = "prompt_slate"

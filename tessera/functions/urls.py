@@ -129,28 +129,15 @@ _PRIOR = ("source_prior", "primary_boost", "spam_penalty", "verification_bonus")
 def source_prior(h: Column) -> Column:
     """What is known of a host: the exact host, else its root, else the sum over its labels; a struct."""
     low = F.lower(F.trim(F.coalesce(h, F.lit(""))))
-    root, labels = registered_root(low), F.split(low, r"\.")
-    of_labels = [F.arrays_overlap(labels, strings(some)) for some, *_ in K.LABEL_PRIORS]
-
-    def pick(position: int, otherwise: Column, cast: str) -> Column:
-        out = otherwise
-        for key in (root, low):
-            for row in reversed(K.ROOT_PRIORS):
-                out = F.when(key == row[0], F.lit(row[position]).cast(cast)).otherwise(out)
-        return out
-
-    fields = []
-    for position, name in enumerate(_PRIOR, 1):
-        summed = F.lit(0.0)
-        for has, row in zip(of_labels, K.LABEL_PRIORS, strict=True):
-            summed = summed + F.when(has, row[position]).otherwise(0.0)
-        fields.append(pick(position, summed, "double").alias(name))
-    override = F.lit(None).cast("string")
-    for has, row in zip(of_labels, K.LABEL_PRIORS, strict=True):
-        override = F.when(has, F.lit(row[5])).otherwise(override) if row[5] else override
-    marks = F.array_join(F.filter(F.array(*[F.when(has, F.lit(row[6])) for has, row in zip(of_labels, K.LABEL_PRIORS, strict=True)]), lambda x: x.isNotNull()), ",")
-    fields += [pick(5, override, "string").alias("domain_type"), pick(6, marks, "string").alias("labels")]
-    return F.struct(*fields)
+    names = (*_PRIOR, "domain_type", "labels")
+    struct = lambda values: F.struct(*[F.lit(v).cast("double" if k < 4 else "string").alias(n) for k, (n, v) in enumerate(zip(names, values, strict=True))])
+    roots = F.create_map(*[c for row in K.ROOT_PRIORS for c in (F.lit(row[0]), struct(row[1:]))])
+    label = F.split(low, r"\.")
+    met = F.filter(F.array(*[F.when(F.arrays_overlap(label, strings(some)), struct(row)) for some, *row in K.LABEL_PRIORS]), lambda p: p.isNotNull())
+    total = lambda n: F.aggregate(met, F.lit(0.0), lambda s, p: s + p[n]).alias(n)
+    kinds = F.filter(F.transform(met, lambda p: p["domain_type"]), lambda k: k.isNotNull())
+    merged = F.struct(*[total(n) for n in _PRIOR], F.get(kinds, F.size(kinds) - 1).alias("domain_type"), F.array_join(F.transform(met, lambda p: p["labels"]), ",").alias("labels"))
+    return F.coalesce(F.element_at(roots, low), F.element_at(roots, registered_root(low)), merged)
 
 
 def source_prior_sql(h: str, name: str) -> str:
