@@ -5,15 +5,15 @@ index holds, for each template, its words of highest inverse document frequency
 positions: as many as the words that may be missing, and one more, so a passage that matches well enough holds at
 least one of them at its place. Each file's words look the index up; a posting at position p of the template met at word w
 of the file proposes the alignment w - p; the template's other words are then intersected at their relative positions
-and the key phrase must stand complete. The index has at most a few hundred rows, fixed by the templates, and is
-broadcast; texts are never shuffled.
+and the key phrase must stand complete. The index has at most a few hundred entries, fixed by the templates, and goes
+into the plan as a literal; nothing but document frequencies of licence words is shuffled.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import ascii_lower
@@ -55,30 +55,41 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), _SPLIT), "")
 
 
-def index(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Postings of each template's rarest words, by document frequency over docs: at most the templates' words."""
-    kinds = "template int, label string, template_words array<string>, need int, key_at int, key_length int, base boolean"
-    templates = spark.createDataFrame(_templates(), kinds)
+def index(docs: DataFrame) -> dict[str, list[tuple[int, int]]]:
+    """The index: for each template's rarest words by document frequency over docs, templates and places.
+
+    At most one entry for each word of a template, so its size is fixed by the templates.
+    """
     lexicon = F.array(*[F.lit(w) for w in sorted({w for row in _templates() for w in row[2]})])
-    frequency = docs.select(F.explode(F.array_intersect(words_of(F.col("text")), lexicon)).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    postings = templates.select("*", F.posexplode("template_words").alias("place", "word")).join(F.broadcast(frequency), "word", "left")
-    rank = F.row_number().over(Window.partitionBy("template").orderBy(F.coalesce("df", F.lit(0)), "word", "place"))
-    return postings.withColumn("rank", rank).where(F.col("rank") <= F.size("template_words") - F.col("need") + 1).drop("rank", "df")
+    counted = docs.select(F.explode(F.array_intersect(words_of(F.col("text")), lexicon)).alias("word")).groupBy("word").count()
+    frequency = {r["word"]: r["count"] for r in counted.collect()}
+    postings: dict[str, list[tuple[int, int]]] = {}
+    for number, _, words, need, *_ in _templates():
+        rarest = sorted(range(len(words)), key=lambda k: (frequency.get(words[k], 0), words[k], k))
+        for place in rarest[: len(words) - need + 1]:
+            postings.setdefault(words[place], []).append((number, place))
+    return postings
 
 
-def alignments(docs: DataFrame, postings: DataFrame) -> DataFrame:
-    """Distinct verified alignments: doc_id, text_hash, template, label, base, start, coverage."""
-    words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
-    met = words.select("doc_id", "text_hash", "words", F.posexplode("words").alias("at", "word")).join(F.broadcast(postings), "word")
+def alignments(words: Column, postings: dict[str, list[tuple[int, int]]]) -> Column:
+    """The verified alignments of a file's words: template, label, base, start and coverage, each once."""
+    known = F.array(*[F.lit(w) for w in postings])
+    places = F.array(*[F.array(*[F.struct(F.lit(t).alias("template"), F.lit(p).alias("place")) for t, p in found]) for found in postings.values()])
+    templates = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, own)).alias("words"), F.lit(need).alias("need"), F.lit(at).alias("key_at"), F.lit(n).alias("key_length"), F.lit(base).alias("base")) for _, label, own, need, at, n, base in _templates()])
+    met = F.filter(F.transform(words, lambda w, i: F.struct(F.array_position(known, w).cast("int").alias("k"), i.alias("at"))), lambda m: m["k"] > 0)
+    proposed = F.array_distinct(F.flatten(F.transform(met, lambda m: F.transform(F.get(places, m["k"] - 1), lambda p: F.struct(p["template"].alias("template"), (m["at"] - p["place"]).alias("start"))))))
 
-    def same(i: Column) -> Column:
-        return F.coalesce(F.get("words", F.col("start") + i) == F.get("template_words", i), F.lit(False))
+    def same(own: Column, start: Column):
+        return lambda i: F.coalesce(F.get(words, start + i) == F.get(own, i), F.lit(False))
 
-    places = F.sequence(F.lit(0), F.size("template_words") - 1)
-    matched = F.size(F.filter(places, same))
-    phrase = F.forall(F.sequence(F.col("key_at"), F.col("key_at") + F.col("key_length") - 1), same)
-    found = met.withColumn("start", F.col("at") - F.col("place")).withColumn("matched", matched).where((F.col("matched") >= F.col("need")) & phrase)
-    return found.select("doc_id", "text_hash", "template", "label", "base", "start", (F.col("matched") / F.size("template_words")).alias("coverage")).distinct()
+    def judged(h: Column) -> Column:
+        t = F.get(templates, h["template"])
+        matched = F.size(F.filter(F.sequence(F.lit(0), F.size(t["words"]) - 1), same(t["words"], h["start"])))
+        phrase = F.forall(F.sequence(t["key_at"], t["key_at"] + t["key_length"] - 1), same(t["words"], h["start"]))
+        verified = (matched >= t["need"]) & phrase
+        return F.when(verified, F.struct(h["template"].alias("template"), t["label"].alias("label"), t["base"].alias("base"), h["start"].alias("start"), (matched / F.size(t["words"])).alias("coverage")))
+
+    return F.filter(F.transform(proposed, judged), lambda a: a.isNotNull())
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -86,25 +97,21 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     score is the best share of a template's words that match, 0 where no template does. Null and empty texts have no
     words and no labels. Rows that repeat get equal results; a null doc_id keeps its row. An empty table gives no
-    rows. Only doc_id and text are read, so other columns may have any name.
+    rows. Only doc_id and text are read, so other columns may have any name. A row is worked on by itself: its memory
+    is that of its words and matches.
     """
-    narrow = docs.select("doc_id", "text")
-    found = alignments(narrow, index(docs.sparkSession, narrow))
-    base = F.col("base")
-    of_file = found.groupBy("doc_id", "text_hash").agg(
-        F.count_if(base).alias("n_base"),
-        F.min(F.when(base, F.col("start").cast("long"))).alias("first_word"),
-        F.max(F.when(base, F.col("start").cast("long"))).alias("last_word"),
-        F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
-        F.max("coverage").alias("score"),
-    )
-    of_file = of_file.withColumnsRenamed({"doc_id": "found_id", "text_hash": "found_hash"})
-    files = narrow.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    joined = files.join(of_file, (F.col("text_hash") == F.col("found_hash")) & F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
-    return joined.select(
-        "doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
-        F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
+    files = docs.select("doc_id", words_of(F.col("text")).alias("words"))
+    postings = index(docs.select("text"))
+    # Files without any word of the index need no look-ups; overlap hashes the words once.
+    looked = F.when(F.arrays_overlap("words", F.array(*[F.lit(w) for w in postings])), F.col("words")).otherwise(F.array().cast("array<string>"))
+    files = files.select("doc_id", F.size("words").cast("long").alias("n_words"), looked.alias("words"))
+    found = files.select("doc_id", "n_words", alignments(F.col("words"), postings).alias("found"))
+    base = F.filter("found", lambda a: a["base"])
+    starts = F.transform("base", lambda a: a["start"].cast("long"))
+    names = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda a: a["label"]))), ",")
+    return found.withColumn("base", base).select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        names("base").alias("base_labels"), names("found").alias("labels"), F.coalesce(F.array_max(F.transform("found", lambda a: a["coverage"])), F.lit(0.0)).alias("score"),
     )
 
 
