@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,15 +26,36 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable character that a byte-level vocabulary writes for each byte."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class _Pieces(dict):
-    """Ids of pieces as little-endian 32-bit bytes; a missing piece is encoded."""
+    """Ids of pieces as little-endian 32-bit bytes; a missing piece is encoded.
+
+    A piece of letters alone is one word to the vocabulary's pattern, so its model is asked at once; letters with
+    marks behind them are two words.
+    """
 
-    def __init__(self, tokenizer, prefix: str):
+    _letters = _byte_letters()
+
+    def __init__(self, tokenizer, prefix: str, marks: _Pieces | None = None):
         super().__init__()
-        self.tokenizer, self.prefix = tokenizer, prefix
+        self.tokenizer, self.model, self.prefix, self.marks = tokenizer, tokenizer.model, prefix, self if marks is None else marks
+
+    def _encode(self, piece: str) -> list[int]:
+        return self.tokenizer.encode(self.prefix + piece, add_special_tokens=False).ids
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(self.prefix + piece, add_special_tokens=False).ids, "<u4").tobytes()
+        if piece.isalpha():
+            ids = array("I", [t.id for t in self.model.tokenize((self.prefix + piece).encode("utf-8", "surrogatepass").decode("latin-1").translate(self._letters))]).tobytes()
+        elif piece and piece[-1] in ".,!?;:" and piece[:-1].isalpha():
+            return self[piece[:-1]] + self.marks[piece[-1]]
+        else:
+            ids = array("I", self._encode(piece)).tobytes()
         if len(self) < CACHED_PIECES:
             self[piece] = ids
         return ids
@@ -47,13 +69,14 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.first, self.rest = _Pieces(self.tokenizer, ""), _Pieces(self.tokenizer, " ")
+        self.first = _Pieces(self.tokenizer, "")
+        self.rest = _Pieces(self.tokenizer, " ", self.first)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if "  " in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         head, *tail = text.split(" ")
         return self.first[head] + b"".join(map(self.rest.__getitem__, tail))
 

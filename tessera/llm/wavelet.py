@@ -67,14 +67,14 @@ class WaveletMatrix:
         return out
 
     def tokens(self) -> np.ndarray:
-        """The whole sequence, unpacked plane by plane."""
-        at, out = np.arange(self.n), np.zeros(self.n, np.uint32)
-        for level, words in enumerate(self.words):
-            bits = np.unpackbits(words.view(np.uint8), bitorder="little")[: self.n]
-            ones = np.cumsum(bits, dtype=np.int64) - bits
-            to = np.where(bits, self.zeros[level] + ones, np.arange(self.n) - ones)
-            out = (out << np.uint32(1)) | bits[at]
-            at = to[at]
+        """The whole sequence: the planes' stable partitions undone one by one from the lowest bit."""
+        out = np.zeros(self.n, np.uint32)
+        for shift, (words, zeros) in enumerate(zip(reversed(self.words), reversed(self.zeros), strict=True)):
+            bits = np.unpackbits(words.view(np.uint8), bitorder="little")[: self.n].view(bool)
+            back = np.empty_like(out)
+            back[~bits] = out[:zeros]
+            back[bits] = out[zeros:] | np.uint32(1 << shift)
+            out = back
         return out
 
     def _range(self, token: int, upto: int | None = None) -> tuple[int, int]:
