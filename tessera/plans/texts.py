@@ -10,9 +10,9 @@ from tessera.functions import text as T
 from tessera.plans.registry import query
 from tessera.session import table
 
-#: A sentence with a date, one of six forms by an id, to be read again by the date operators.
-_DATED = F.element_at(F.array(*[F.lit(x) for x in (" on 2024-03-0", " in Q3 2024 no ", " on 7 October 2024 at ", " since March 9 2023 or ", " of 2021 and ", " in 1999 ")]), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6)) + 1).cast("int"))
-_DATED_SQL = "[' on 2024-03-0', ' in Q3 2024 no ', ' on 7 October 2024 at ', ' since March 9 2023 or ', ' of 2021 and ', ' in 1999 '][((conv_id + turn) % 6) + 1]"
+#: A date in each of six forms, dealt to turns by their ids, to be read again by the date operators.
+_DATES = (" on 2024-03-0", " in Q3 2024 no ", " on 7 October 2024 at ", " since March 9 2023 or ", " of 2021 and ", " in 1999 ")
+_DATED_SQL = T.strings_sql(_DATES) + "[((conv_id + turn) % 6) + 1]"
 
 
 @query(f"select doc_id, md5({T.normalized_sql('text')}) as normalized_md5, length({T.compact_sql('text')}) as n_compact from documents")
@@ -42,7 +42,8 @@ def number_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select conv_id, turn, {T.time_scope_sql('w')} as scope, {T.time_scope_sql('w')} is not null as has_date from (select conv_id, turn, {T.words_sql(f'text || {_DATED_SQL} || turn')} as w from conversations)")
 def time_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first date of each turn, of which one is put in."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.words(F.concat("text", _DATED, F.col("turn").cast("string"))).alias("w"))
+    dated = F.element_at(T.strings(_DATES), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6)) + 1).cast("int"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.words(F.concat("text", dated, F.col("turn").cast("string"))).alias("w"))
     return c.select("conv_id", "turn", T.time_scope(F.col("w")).alias("scope")).withColumn("has_date", F.col("scope").isNotNull())
 
 
