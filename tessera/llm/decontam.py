@@ -1,10 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds find candidate passages, Smith-Waterman alignment scores them.
 
 The benchmark is taken in blocks of at most some `BLOCK_BYTES` of text (its size is measured first), each of which goes to
-all tasks, against all documents; so any size of benchmark works and no document text is ever shuffled. Of each item's
-word n-grams the rarer half by document frequency over all documents are seeds: rare by rank within the item, so a passage
-that a third of the corpus holds keeps its seeds. Where a seed stands in a document, the item is aligned with the
-passage around it, and the best score of a document and an item counts, as a share of the item's own score.
+all tasks, against all documents; so any size of benchmark works and no document text is ever shuffled. An item's word
+n-grams are seeds where they are rare: where words as frequent as theirs are over all documents would meet by chance in
+at most `RARE` of documents (each item keeps its least likely n-gram at least). A passage that a third of the corpus copies
+so keeps its seeds, however often it occurs. Where a seed stands in a document, the item is aligned with the passage
+around it, and the best score of a document and an item counts, as a share of the item's own score.
 """
 
 from __future__ import annotations
@@ -19,8 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEED = 3
-#: Share of an item's score from which a document counts as holding it.
-LEAST_SCORE = 0.5
+#: Share of documents in which a seed may be expected by chance.
+RARE = 1e-4
+#: A document holds an item from this share of the item's own score on, but never for less than what some words score:
+#: `LEAST_WORDS`, or `SHORT_SHARE` of a shorter item.
+LEAST_SCORE = 0.4
+LEAST_WORDS, SHORT_SHARE = 8, 0.7
 BLOCK_BYTES = 4 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 _WORDS = bytes(b if b >= 0x80 or 97 <= b <= 122 or 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -92,14 +97,17 @@ class Items:
             out = out * size + t[k : len(t) - SEED + 1 + k]
         return out
 
-    def seeds(self, frequency: np.ndarray) -> None:
-        """Keep of each item the rarer half of its n-grams (at least one), ties by key; frequency follows keys."""
+    def seeds(self, counts: np.ndarray, n_documents: int) -> None:
+        """Keep each item's rare n-grams, from how often the vocabulary's words stand in all documents and one more for each."""
+        total = max(1, int(counts.sum()))
+        chance = np.log((counts[:-1] + 1) / total)
         chosen = []
         for k, t in enumerate(self.texts):
-            keys = np.unique(self.grams(t))
-            order = np.lexsort([keys, frequency[np.searchsorted(self.keys, keys)]])
-            rare = set(keys[order[: (len(keys) + 1) // 2]].tolist())
-            chosen += [(key, k, at) for at, key in enumerate(self.grams(t).tolist()) if key in rare]
+            keys = self.grams(t)
+            n = min(len(t), SEED)
+            likely = np.array([chance[t[at : at + n]].sum() for at in range(len(keys))]) + np.log(total)
+            rare = likely <= max(np.log(RARE * max(1, n_documents)), likely.min())
+            chosen += [(int(key), k, at) for at, key in enumerate(keys.tolist()) if rare[at]]
         chosen.sort()
         all_keys = np.array([c[0] for c in chosen], np.int64)
         self.keys, starts = np.unique(all_keys, return_index=True)
@@ -154,7 +162,7 @@ class Items:
                 if score > best[0]:
                     best = (score, a + first, a + behind)
             share = best[0] / (MATCH * n)
-            if share >= LEAST_SCORE:
+            if share >= max(LEAST_SCORE, min(SHORT_SHARE, LEAST_WORDS / n)):
                 out.append((self.item_ids[item], share, best[1], best[2]))
         return out
 
@@ -181,17 +189,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             continue
 
         def count(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            seen = np.zeros(len(items.keys), np.int64)
+            seen, n = np.zeros(len(items.vocabulary) + 1, np.int64), 0
             for batch in batches:
+                n += batch.num_rows
                 for text in batch["text"]:
-                    seen[np.unique(items.hits(items.numbers(text.as_py()))[1])] += 1
-            at = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_pydict({"k": pa.array(at, pa.int64()), "n": pa.array(seen[at], pa.int64())})
+                    seen += np.bincount(items.numbers(text.as_py()) % len(seen), minlength=len(seen))  # unknown words last
+            yield pa.RecordBatch.from_pydict({"k": pa.array([*np.flatnonzero(seen), -1], pa.int64()), "n": pa.array([*seen[seen > 0], n], pa.int64())})
 
-        frequency = np.zeros(len(items.keys), np.int64)
+        counts, n_documents = np.zeros(len(items.vocabulary) + 1, np.int64), 0
         for r in narrow.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
-            frequency[r["k"]] = r["n"]
-        items.seeds(frequency)
+            if r["k"] < 0:
+                n_documents = r["n"]
+            else:
+                counts[r["k"]] = r["n"]
+        items.seeds(counts, n_documents)
 
         def search(batches: Iterator[pd.DataFrame], items: Items = items) -> Iterator[pd.DataFrame]:
             for batch in batches:

@@ -58,6 +58,15 @@ def test_exact_and_edited_copies_are_found_and_clean_documents_stay(spark, edge_
     assert kept.columns == docs.columns and kept.count() == docs.count() - len(held) - 1
 
 
+def test_parts_of_items(spark, edge_docs):
+    rng = random.Random(6)
+    item, other = _prose(rng, 40), _prose(rng, 60)
+    docs = [(1, f"{other} {' '.join(item.split()[10:30])} {other}"), (2, f"{other} {' '.join(item.split()[10:16])} {other}")]
+    df = spark.createDataFrame([(i, t, 0.0, 0, "") for i, t in docs], edge_docs.schema)
+    (found,) = decontam.leaks(df, spark.createDataFrame([(1, item, 0)], BENCH)).collect()
+    assert (found.doc_id, found.first_word, found.behind_word) == (1, 60, 80) and abs(found.score - 0.5) < 1e-9
+
+
 def test_blocks_and_empty_tables(spark, edge_docs, no_docs, monkeypatch):
     docs, bench, held = _case(spark, edge_docs)
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 500)
