@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,3 +24,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut, kept in the folder of spark.checkpoint.dir; one of our own where it is unset."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(place or tempfile.mkdtemp(prefix="tessera-"))
+    return df.checkpoint(eager=True)
