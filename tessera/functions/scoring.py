@@ -41,9 +41,12 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / n)
 
 
-def entity_overlap(entities: Column, text: Column) -> Column:
-    """Mean over entities of 1 (stands in the text, also compacted), 0.75 (its first five characters do) or 0."""
-    low, tight = fold(text), compact(text)
+def entity_overlap(entities: Column, text: Column, low: Column | None = None, tight: Column | None = None) -> Column:
+    """Mean over entities of 1 (stands in the text, also compacted), 0.75 (its first five characters do) or 0.
+
+    low and tight are the folded and the compacted text where columns hold them already.
+    """
+    low, tight = fold(text) if low is None else low, compact(text) if tight is None else tight
 
     def hit(e: Column) -> Column:
         own = compact(e)

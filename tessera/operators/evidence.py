@@ -85,10 +85,11 @@ def passages(text: Column) -> Column:
 def cheap_scores(pairs: DataFrame) -> DataFrame:
     """Passages beside their claim (tokens, entities, scope, claim_numbers; p_tokens, p_numbers, text, source_score) with a score."""
     w = K.CHEAP_WEIGHTS
-    dimension = F.when(F.col("scope").isNotNull() & F.contains(T.fold(F.col("text")), T.fold(F.col("scope"))), 0.15).otherwise(0.0)
+    made = pairs.withColumns({"_low": T.fold(F.col("text")), "_tight": T.compact(F.col("text"))})
+    dimension = F.when(F.col("scope").isNotNull() & F.contains(F.col("_low"), T.fold(F.col("scope"))), 0.15).otherwise(0.0)
     number = F.when(F.arrays_overlap("claim_numbers", "p_numbers"), 1.0).otherwise(0.0)
-    score = w["overlap"] * S.overlap(F.col("tokens"), F.col("p_tokens")) + w["entity"] * S.entity_overlap(F.col("entities"), F.col("text")) + w["dimension"] * dimension + w["number"] * number + w["source"] * F.col("source_score")
-    return pairs.withColumn("cheap_score", S.clamp(score))
+    score = w["overlap"] * S.overlap(F.col("tokens"), F.col("p_tokens")) + w["entity"] * S.entity_overlap(F.col("entities"), F.col("text"), F.col("_low"), F.col("_tight")) + w["dimension"] * dimension + w["number"] * number + w["source"] * F.col("source_score")
+    return made.withColumn("cheap_score", S.clamp(score)).drop("_low", "_tight")
 
 
 def cheap_filter(scored: DataFrame, limit: int = K.CHEAP_LIMIT, threshold: float = K.CHEAP_THRESHOLD) -> DataFrame:

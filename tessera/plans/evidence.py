@@ -166,7 +166,8 @@ _CW = {k: S.num(v) for k, v in K.CHEAP_WEIGHTS.items()}
 def cheap_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twelve best passages of every claim by the cheap score."""
     p = passage_rows(spark, sf_dir).withColumn("p_tokens", T.tokens(F.col("text"))).withColumn("p_numbers", T.numbers(F.col("text")))
-    kept = E.cheap_filter(E.cheap_scores(p.join(claims(spark, sf_dir), "claim_id")))
+    scored = E.cheap_scores(p.join(claims(spark, sf_dir), "claim_id"))
+    kept = E.cheap_filter(scored.select("claim_id", "seq", "passage_id", "source_score", "cheap_score"))  # no text is shuffled
     return kept.select("claim_id", "rank", "passage_id", F.round("cheap_score", 6).alias("cheap_score"))
 
 

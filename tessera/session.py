@@ -21,9 +21,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
 
 
+#: Tables of long texts, whose work is in their rows rather than in their bytes.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's Parquet tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the driver's Parquet tables.
+
+    A table of texts in fewer splits than the session has cores (a file of one row group cannot be split) is dealt out
+    evenly first; larger tables are read as they are, without a shuffle.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores else df
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
