@@ -8,6 +8,11 @@ class a word's probability is its count times a rate for its bucket of counts, w
 training document holds are one type, as in the base score, with the rate of unseen words in held-out documents. All
 types together sum to one. Class counts have at most CLASSES**2 cells whatever the corpus, so they may be broadcast.
 
+These class estimates are the lower order of word pairs: every pair of neighbouring words of the training documents is
+counted, and its share of its context is mixed with the class estimate by a weight for the bucket of how often the context word was
+seen, learnt on held-out counts too. Pairs of two words with classes of their own are cells of the class counts; all
+others are summed in partitions by pair (see `_Pairs`).
+
 The base score and the rates need the exact count of every word in the training documents. Counts are summed by word
 and written to the shared folder. Words so frequent that at most `HEAD` are as frequent go to all tasks; a document's
 other words are joined with the counts by word.
@@ -21,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold_of, new_folder
+from tessera.llm.common import by_task, cut, fold_of, new_folder
 
 CLASSES = 2048
 END, SHARED = 0, 1
@@ -34,6 +39,10 @@ ORDERS = 3
 HEAD = 200_000
 #: One in so many training documents, by a hash of the id, is held out for weights and rates.
 HELD_OUT = 20
+#: Steps, in sixteenths of a power of two, that are kept apart on each side when a pair's estimate is held against the lower order's.
+LEVELS = 1024
+#: Documents whose pairs are packed at a time.
+CHUNK = 2048
 
 
 def words(text: str | None) -> list[bytes]:
@@ -145,8 +154,11 @@ def _bucket(c: Column) -> Column:
     return F.floor(F.log2(c + F.lit(1))).cast("int")
 
 
-def _rates(shared: DataFrame) -> tuple[np.ndarray, float]:
-    """log10 of what a count is multiplied with in each bucket of counts, and log10 of an unseen word's probability."""
+def _rates(shared: DataFrame) -> tuple[tuple[np.ndarray, float], tuple[np.ndarray, float]]:
+    """log10 of what a count is multiplied with in each bucket of counts, and log10 of an unseen word's probability.
+
+    First for all counts, then for those without the held-out documents.
+    """
     n, held, c = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in shared.groupBy(_bucket(F.col("n")).alias("b")).agg(F.sum("n").alias("n"), F.sum("held").alias("held")).collect():
         n[r["b"]], held[r["b"]] = r["n"], r["held"]
@@ -156,9 +168,217 @@ def _rates(shared: DataFrame) -> tuple[np.ndarray, float]:
     if held.sum():
         rate, unseen = (held + 0.5) / (n + 0.5), float(held[0]) + 0.5
         rate[0] = rate[1]
+        early_whole = float((rate * n).sum()) + unseen
+        early = (np.log10(rate / early_whole), float(np.log10(unseen / early_whole)))
         rate *= n.sum() / max(1.0, c.sum()) if n.sum() else 1.0
+    else:
+        early = (np.zeros(BUCKETS), 0.0)
     whole = float((rate * c).sum()) + unseen
-    return np.log10(rate / whole), float(np.log10(unseen / whole))
+    return (np.log10(rate / whole), float(np.log10(unseen / whole))), early
+
+
+def _levels(share: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Sixteenths of a power of two between a pair's share of its context and its log10 estimate of lower order; zero for no share."""
+    with np.errstate(divide="ignore"):
+        return np.where(share > 0, np.clip(np.rint(16 * (np.log2(share) - lower / np.log10(2))), 1 - LEVELS, LEVELS - 1) + LEVELS, 0).astype(np.int64)
+
+
+def _hits(n: np.ndarray, held: np.ndarray, context: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Held-out counts of pairs by the bucket of the context's count and level; contexts that were not seen have no weight."""
+    some = (held > 0) & (context > 0)
+    n, held, context, lower = n[some], held[some], context[some], lower[some]
+    at = np.log2(context + 1).astype(np.int64) * 2 * LEVELS + _levels(n / context, lower)
+    return np.bincount(at, held, BUCKETS * 2 * LEVELS)
+
+
+def _single(size: int = CLASSES) -> np.ndarray:
+    return np.arange(size) != SHARED
+
+
+def _cell_hits(early: np.ndarray, n: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Hits of the pairs whose words are both classes of their own: their cells hold the pairs' counts."""
+    at = np.flatnonzero(held)
+    v, w = at // CLASSES, at % CLASSES
+    at = at[(v != SHARED) & (w != SHARED)]
+    return _hits(n.ravel()[at].astype(float), held.ravel()[at].astype(float), n.sum(1)[at // CLASSES].astype(float), early.ravel()[at].astype(float))
+
+
+def pair_shares(hits: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """The weight of the pairs' own estimate for each bucket of context counts, by expectation-maximisation; none for unseen contexts."""
+    hits = hits.reshape(BUCKETS, 2 * LEVELS)
+    ratio = np.append(0.0, 2.0 ** ((np.arange(1, 2 * LEVELS) - LEVELS) / 16))
+    shares = np.full(BUCKETS, 0.5)
+    for _ in range(rounds):
+        part = shares[:, None] * ratio
+        shares = ((hits * part / (part + 1 - shares[:, None])).sum(1) + 0.1) / (hits.sum(1) + 0.2)
+    shares[0] = 0.0
+    return shares
+
+
+def _with_pairs(table: np.ndarray, counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """The class table with the word pairs it can hold mixed in, for contexts that are classes of their own."""
+    out, seen, single = table.copy(), counts.sum(1), _single()
+    for v in np.flatnonzero(single & (seen > 0)):
+        share = shares[int(np.log2(seen[v] + 1))]
+        out[v] = np.log10(share * np.where(single, counts[v] / seen[v], 0.0) + (1 - share) * 10.0 ** table[v].astype(float))
+    return out
+
+
+def _gain(share: np.ndarray, count: np.ndarray, context: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """log10 of what a seen pair's mixed probability is over its lower part alone."""
+    return np.log10(1 + share / (1 - share) * count / context / 10.0**lower)
+
+
+class _Pairs:
+    """Counts of all word pairs that no class cell holds, brought to the documents that have them.
+
+    Pairs of words that all tasks know are numbers. Each task sends, for some documents at a time, the sorted pairs with
+    document and times as packed bytes to the pair's partition, which sums them over all training documents. As one word
+    at least is outside the most frequent, no pair is more frequent than the first word there. Pairs with another
+    word are rows that meet the counts of that word, and of the other one if it is rare too.
+    """
+
+    def __init__(self, numbered: DataFrame, known: dict[bytes, int], sides: dict[str, np.ndarray], rare: DataFrame, rates: tuple, early_rates: tuple) -> None:
+        spark = numbered.sparkSession
+        self.sides = spark.sparkContext.broadcast(sides)
+        own = spark.sparkContext.broadcast(known)
+        self.size = size = len(known) + 1
+        parts = by_task(numbered)
+        side = self.sides
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            classes = side.value["classes"]
+            for batch in batches:
+                for start in range(0, batch.num_rows, CHUNK):
+                    some = batch.slice(start, CHUNK)
+                    keys = []
+                    for k, text in enumerate(some["text"]):
+                        said = words(text.as_py())
+                        at = np.fromiter(map(own.value.get, said, itertools.repeat(-1)), np.int64, len(said))
+                        x = np.concatenate([[size - 1], at, [size - 1]])
+                        v, w = x[:-1], x[1:]
+                        take = (v >= 0) & (w >= 0) & ((classes[v] == SHARED) | (classes[w] == SHARED))
+                        keys.append((v[take] * size + w[take]) * CHUNK + k)
+                    found, times = np.unique(np.concatenate(keys), return_counts=True)
+                    to = ((found // CHUNK).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)
+                    order = np.argsort(to, kind="stable")
+                    found, times, to = found[order], times[order], to[order].astype(np.int32)
+                    cuts = np.flatnonzero(np.diff(to, prepend=-1)) if len(to) else np.empty(0, np.int64)
+                    row, part = some["row"].to_numpy(), np.ascontiguousarray(some["part"].to_numpy(), np.int8)
+                    packed = []
+                    for a, b in itertools.pairwise([*cuts, *([len(to)] if len(to) else [])]):
+                        body = np.diff(found[a:b], prepend=0).tobytes() + times[a:b].astype(np.int32).tobytes() + row.tobytes() + part.tobytes()
+                        packed.append((b - a, len(row), len(body), pa.compress(body, codec="zstd", asbytes=True)))
+                    yield pa.RecordBatch.from_arrays([pa.array(to[cuts], pa.int32()), *(pa.array([x[k] for x in packed], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary())))], ["p", "size", "docs", "length", "body"])
+
+        self.sent = cut(numbered.select("row", "part", "text").mapInArrow(send, "p int, size int, docs int, length long, body binary").repartition(parts, "p"))
+
+        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 200):
+                    some = batch.slice(start, 200)
+                    out: dict[str, list] = {k: [] for k in ("row", "part", "v", "w", "vk", "wk", "times")}
+                    for row, part, text in zip(some["row"].to_pylist(), some["part"].to_pylist(), some["text"], strict=True):
+                        said = words(text.as_py())
+                        at = np.fromiter(map(own.value.get, said, itertools.repeat(-1)), np.int64, len(said))
+                        x = np.concatenate([[size - 1], at, [size - 1]])
+                        said = [b"", *said, b""]
+                        seen = Counter((said[k], said[k + 1], int(x[k]), int(x[k + 1])) for k in np.flatnonzero((x[:-1] < 0) | (x[1:] < 0)))
+                        for (v, w, vk, wk), times in seen.items():
+                            for name, value in zip(out, (row, part, v, w, vk, wk, times), strict=True):
+                                out[name].append(value)
+                    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), kinds, strict=True)], list(out))
+
+        spelt = numbered.select("row", "part", "text").mapInArrow(spell, "row long, part int, v binary, w binary, vk int, wk int, times long")
+        first = rare.select(F.col("word").alias("key"), F.col("n").alias("kn"), F.col("c").alias("kc"))
+        same = Window.partitionBy("key", "v", "w")
+        counted = spelt.withColumn("key", F.when(F.col("wk") < 0, F.col("w")).otherwise(F.col("v"))).join(first, "key", "left")
+        counted = counted.withColumn("n", F.sum(F.when(F.col("part") == 0, F.col("times")).otherwise(0)).over(same)).withColumn("held", F.sum(F.when(F.col("part") == 1, F.col("times")).otherwise(0)).over(same))
+        both = (F.col("vk") < 0) & (F.col("wk") < 0)
+        kept = cut(counted.where("n + held > 0").select("row", "part", "times", "vk", "wk", "n", "held", "kn", "kc", F.when(both, F.col("v")).alias("v")))
+        second = rare.select(F.col("word").alias("v"), F.col("n").alias("vn"), F.col("c").alias("vc"))
+        self.rows = kept.where(F.col("v").isNull()).drop("v").withColumn("vn", F.lit(0).cast("long")).withColumn("vc", F.lit(0).cast("long")).unionByName(kept.where(F.col("v").isNotNull()).join(second, "v").drop("v"))
+        self.rates, self.early_rates = rates, early_rates
+
+    def __getstate__(self) -> dict:
+        """Tasks need no tables."""
+        return {k: x for k, x in self.__dict__.items() if k not in ("sent", "rows")}
+
+    def _lower(self, vk: np.ndarray, wk: np.ndarray, early: bool, wn: np.ndarray) -> np.ndarray:
+        """log10 of the class estimates; numbers below zero are rare words, and wn their counts."""
+        side = self.sides.value
+        classes, edge, within = side["classes"], side["early_edge" if early else "edge"], side["early_within" if early else "within"]
+        v, w = np.where(vk < 0, SHARED, classes[vk]), np.where(wk < 0, SHARED, classes[wk])
+        rate, unseen = self.early_rates if early else self.rates
+        rare = np.where(wn > 0, np.log10(np.maximum(wn, 1)) + rate[np.log2(np.maximum(wn, 0) + 1).astype(np.int64)], unseen)
+        return np.where(v == SHARED, edge[1][w], edge[0][v]).astype(float) + np.where(wk < 0, rare, within[wk])
+
+    def _merged(self, batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+        """Of a partition: rows, times and pair of each entry, and the pairs with counts for estimates and held-out ones."""
+        keys, rows, parts, times = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int8)], [np.empty(0, np.int32)]
+        for batch in batches:
+            for size, docs, length, body in zip(*(batch[k].to_pylist() for k in ("size", "docs", "length", "body")), strict=True):
+                raw = pa.decompress(body, decompressed_size=length, codec="zstd", asbytes=True)
+                found = np.cumsum(np.frombuffer(raw, np.int64, size))
+                row, part = np.frombuffer(raw, np.int64, docs, 12 * size), np.frombuffer(raw, np.int8, docs, 12 * size + 8 * docs)
+                keys.append(found // CHUNK)
+                rows.append(row[found % CHUNK])
+                parts.append(part[found % CHUNK])
+                times.append(np.frombuffer(raw, np.int32, size, 8 * size))
+        part, n_times = np.concatenate(parts), np.concatenate(times)
+        pair, of = np.unique(np.concatenate(keys), return_inverse=True)
+        return np.concatenate(rows), n_times, of, pair, np.bincount(of, n_times * (part == 0), len(pair)), np.bincount(of, n_times * (part == 1), len(pair))
+
+    def hits(self) -> np.ndarray:
+        """Held-out counts by bucket of the context and level, over all pairs outside the class cells."""
+        size, me = self.size, self
+
+        def told(hits: np.ndarray) -> pa.RecordBatch:
+            at = np.flatnonzero(hits)
+            return pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int64()), "h": pa.array(hits[at], pa.float64())})
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _, _, _, pair, n, held = me._merged(batches)
+            v, w = pair // size, pair % size
+            yield told(_hits(n, held, me.sides.value["n"][v], me._lower(v, w, True, np.zeros(len(v)))))
+
+        def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(BUCKETS * 2 * LEVELS)
+            for batch in batches:
+                # Each held-out row stands for its own times, so that a pair's rows add up to its held-out count.
+                vk, wk, n, times, kn, vn = (batch[k].to_numpy() for k in ("vk", "wk", "n", "times", "kn", "vn"))
+                context = np.where(vk >= 0, me.sides.value["n"][vk], np.where(wk < 0, vn, kn)).astype(float)
+                total += _hits(n.astype(float), times.astype(float), context, me._lower(vk, wk, True, kn))
+            yield told(total)
+
+        out = np.zeros(BUCKETS * 2 * LEVELS)
+        seen = self.sent.mapInArrow(packed, "at long, h double").union(self.rows.where("part = 1").mapInArrow(spelt, "at long, h double"))
+        for r in seen.groupBy("at").agg(F.sum("h").alias("h")).collect():
+            out[r["at"]] = r["h"]
+        return out
+
+    def gains(self, shares: np.ndarray) -> DataFrame:
+        """Columns row and gain: what a row's seen pairs add to the score that its words have by the lower orders."""
+        size, me = self.size, self
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            row, times, of, pair, n, held = me._merged(batches)
+            v, w = pair // size, pair % size
+            context, count = me.sides.value["c"][v], n + held
+            gain = _gain(shares[np.log2(context + 1).astype(np.int64)], count, np.maximum(context, 1), me._lower(v, w, False, np.zeros(len(v))))
+            rows, at = np.unique(row, return_inverse=True)
+            yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int64()), "gain": pa.array(np.bincount(at, gain[of] * times, len(rows)), pa.float64())})
+
+        def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                vk, wk, times, kc, vc = (batch[k].to_numpy() for k in ("vk", "wk", "times", "kc", "vc"))
+                count = (batch["n"].to_numpy() + batch["held"].to_numpy()).astype(float)
+                context = np.where(vk >= 0, me.sides.value["c"][vk], np.where(wk < 0, vc, kc)).astype(float)
+                gain = _gain(shares[np.log2(context + 1).astype(np.int64)], count, context, me._lower(vk, wk, False, kc))
+                yield pa.RecordBatch.from_pydict({"row": batch["row"], "gain": pa.array(gain * times, pa.float64())})
+
+        return self.sent.mapInArrow(packed, "row long, gain double").union(self.rows.mapInArrow(spelt, "row long, gain double"))
 
 
 def scored(docs: DataFrame, fold: int = 1, folds: int = 5, head_words: int = HEAD) -> DataFrame:
@@ -181,25 +401,47 @@ def scored(docs: DataFrame, fold: int = 1, folds: int = 5, head_words: int = HEA
         if room < 0:
             break
         least = r["c"]
-    top = counts.orderBy(F.desc("c"), "word").limit(CLASSES - 2).select("word", "c").collect()
+    top = counts.orderBy(F.desc("c"), "word").limit(CLASSES - 2).select("word", "n", "c").collect()
     class_of = {bytes(r["word"]): 2 + k for k, r in enumerate(top)}
     own_class = spark.createDataFrame([(w,) for w in class_of], "word binary")
-    log_rate, log_unseen = _rates(counts.join(F.broadcast(own_class), "word", "left_anti"))
+    (log_rate, log_unseen), early_rates = _rates(counts.join(F.broadcast(own_class), "word", "left_anti"))
     cell_counts, held = _count_cells(training, class_of)
     weights = mixture(cell_counts, held)
+    early = class_table(cell_counts, weights)
+    hits = _cell_hits(early, cell_counts, held)
+    early_edge = np.stack([early[:, SHARED], early[SHARED]])
+    del early
+    first_counts = cell_counts.sum(1)
     cell_counts += held
+    del held
     table = class_table(cell_counts, weights)
-    del cell_counts, held
+    edge = np.stack([table[:, SHARED], table[SHARED]])
     below = float(np.log10(n_all + 0.5 * (v_all + 1)))
-    frequent = counts.where(F.col("c") >= least).select("word", "c").toArrow()
+    frequent = counts.where(F.col("c") >= least).select("word", "n", "c").toArrow()
     rare_top = [r for r in top if r["c"] < least]
     head = [*frequent["word"].to_pylist(), *(bytes(r["word"]) for r in rare_top)]
     c = np.concatenate([frequent["c"].to_numpy(), [r["c"] for r in rare_top]]).astype(float)
+    n = np.concatenate([frequent["n"].to_numpy(), [r["n"] for r in rare_top]]).astype(float)
     del frequent
     classes = np.array([class_of.get(w, SHARED) for w in head] + [SHARED], np.int32)
     base = np.append(np.log10(c + 0.5) - below, 0.0)
     within = np.append(np.where(classes[:-1] == SHARED, np.log10(np.maximum(c, 1)) + log_rate[np.log2(c + 1).astype(np.int64)], 0.0), 0.0)
-    model = spark.sparkContext.broadcast(({w: k for k, w in enumerate(head)}, classes, base, within, table))
+    numbered = narrow.withColumn("row", F.monotonically_increasing_id()).withColumn("part", F.when(fold_of(F.col("doc_id"), folds) == fold, 2).otherwise((F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0).cast("int")))
+    known = {w: k for k, w in enumerate(head)}
+    early_within = np.where(n > 0, np.log10(np.maximum(n, 1)) + early_rates[0][np.log2(n + 1).astype(np.int64)], early_rates[1])
+    pair_classes = np.append(classes[:-1], END).astype(np.int32)
+    sides = {
+        "n": np.append(n, first_counts[END]), "c": np.append(c, ends), "classes": pair_classes, "early_edge": early_edge, "edge": edge,
+        "early_within": np.append(np.where(classes[:-1] == SHARED, early_within, 0.0), 0.0), "within": within.copy(),
+    }
+    pairs = _Pairs(numbered, known, sides, counts.where(F.col("c") < least), (log_rate, log_unseen), early_rates)
+    shares = pair_shares(hits + pairs.hits())
+    table = _with_pairs(table, cell_counts, shares)
+    del cell_counts
+    left = np.log10(1 - shares)
+    within[:-1] += np.where(classes[:-1] == SHARED, left[np.log2(c + 1).astype(np.int64)], 0.0)
+    log_rate = log_rate + left
+    model = spark.sparkContext.broadcast((known, classes, base, within, table))
     end_score, end_known = float(np.log10(ends + 0.5)) - below, int(ends > 0)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,18 +465,19 @@ def scored(docs: DataFrame, fold: int = 1, folds: int = 5, head_words: int = HEA
                 yield pa.RecordBatch.from_arrays([part["row"], part["doc_id"], *(pa.array(rows[k], kinds[k]) for k in kinds)], ["row", "doc_id", *kinds])
 
     id_kind = narrow.schema["doc_id"].dataType.simpleString()
-    judged = narrow.withColumn("row", F.monotonically_increasing_id()).mapInArrow(judge, f"row long, doc_id {id_kind}, n_tokens long, n_known long, base double, score double, rest array<binary>, times array<int>")
+    judged = numbered.select("row", "doc_id", "text").mapInArrow(judge, f"row long, doc_id {id_kind}, n_tokens long, n_known long, base double, score double, rest array<binary>, times array<int>")
     # The first of a document's rows carries what is known; one without other words gets a key that no word can have.
     entries = F.when(F.size("rest") > 0, F.arrays_zip("rest", "times")).otherwise(F.array(F.struct(F.concat(F.lit(b" "), F.col("row").cast("string").cast("binary")).alias("rest"), F.lit(0).alias("times"))))
     spread = judged.select("row", "doc_id", "n_tokens", "n_known", "base", "score", F.posexplode(entries).alias("k", "entry"))
     first = F.col("k") == 0
     tail = spread.select("row", *[F.when(first, F.col(x)).alias(x) for x in ("doc_id", "n_tokens", "n_known", "base", "score")], F.col("entry.rest").alias("word"), F.col("entry.times").alias("times"))
-    met = tail.join(counts.where(F.col("c") < least).select("word", "c"), "word", "left")
+    met = tail.join(counts.where(F.col("c") < least).select("word", "c"), "word", "left").withColumn("gain", F.lit(0.0))
+    met = met.unionByName(pairs.gains(shares).withColumn("times", F.lit(0)), allowMissingColumns=True)
     seen, times = F.coalesce("c", F.lit(0)), F.col("times")
     rate = F.element_at(F.array(*[F.lit(float(x)) for x in log_rate]), _bucket(seen) + 1)
     summed = met.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), (F.max("n_known") + F.sum(F.when(seen > 0, times).otherwise(0))).alias("n_known"),
         (F.max("base") + F.sum(times * (F.log10(seen + 0.5) - F.lit(below)))).alias("base_score"),
-        (F.max("score") + F.sum(times * F.when(seen > 0, F.log10(seen) + rate).otherwise(F.lit(log_unseen)))).alias("score"),
+        (F.max("score") + F.sum(times * F.when(seen > 0, F.log10(seen) + rate).otherwise(F.lit(log_unseen))) + F.sum("gain")).alias("score"),
     )
     return summed.select("doc_id", (fold_of(F.col("doc_id"), folds) == fold).alias("held_out"), "n_tokens", "n_known", F.lit(int(n_all)).cast("long").alias("train_tokens"), "base_score", "score")

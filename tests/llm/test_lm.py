@@ -36,6 +36,29 @@ def test_mixture_is_a_distribution():
     assert np.allclose(p.sum(1), 1, atol=1e-3)
 
 
+def test_pairs_outside_the_classes_count_however_the_words_travel(spark):
+    fill = " ".join(f"f{k}" for k in range(lm.CLASSES))
+    rows = [(k, fill) for k in range(40)] + [(100 + k, f"r{k % 60} s{k % 60} f1 r{k % 60}") for k in range(1200)]
+    held = [i for i in range(5000, 5400) if zlib.crc32(str(i).encode()) % 5 == 1][:4]
+    rows += list(zip(held, ["r3 s3", "r3 s4", "f1 r3", "s3 r3"], strict=True))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = [{r.doc_id: r.score for r in lm.scored(docs, head_words=n).collect()} for n in (0, lm.CLASSES + 40, lm.HEAD)]
+    for run in runs:
+        seen, unseen, known, back = (run[i] for i in held)
+        assert seen > unseen + 1 and known > back + 1
+        assert all(abs(run[i] - runs[0][i]) < 1e-6 * abs(run[i]) for i in run)
+
+
+def test_pair_weights_are_a_distribution():
+    rng = np.random.default_rng(1)
+    counts = np.zeros((lm.CLASSES, lm.CLASSES), np.int64)
+    np.add.at(counts, (rng.integers(2, 30, 4000), rng.integers(2, 40, 4000)), 1)
+    table = np.full((lm.CLASSES, lm.CLASSES), -np.log10(lm.CLASSES), np.float32)
+    shares = lm.pair_shares(lm._cell_hits(table, counts, counts))
+    assert shares[0] == 0 and (shares[1:] > 0).all() and (shares < 1).all()
+    assert np.allclose((10.0 ** lm._with_pairs(table, counts, shares).astype(float)).sum(1), 1, atol=1e-3)
+
+
 def test_better_than_base_on_held_out(spark):
     rows = lm.scored(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
     assert sum(r.score for r in rows) > 0.9 * sum(r.base_score for r in rows)
