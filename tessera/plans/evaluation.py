@@ -142,7 +142,7 @@ _MATCH = "list_filter(regexp_split_to_array({}, '[^\\p{{L}}\\p{{N}}]+'), lambda
 )
 def claim_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected claims matched with the runs of their case by containment or shared words."""
-    b = table(spark, sf_dir, "benchmark").where("item_id < 40")
+    b = table(spark, sf_dir, "benchmark")
     text, k = F.col("text"), F.col("item_id") % 3
     needle = F.when(k == 0, F.upper(F.substr(text, F.lit(1), F.lit(50)))).when(k == 1, F.concat(F.right(text, F.lit(80)), F.lit(" zzz"))).otherwise(F.concat(F.lit("of the "), F.substr(text, F.lit(1), F.lit(24)), F.lit(" qq ww")))
     expected = b.select(F.col("item_id").alias("expected_id"), (F.col("item_id") % 8).alias("case_id"), needle.alias("needle"))

@@ -1,7 +1,7 @@
 """From questions to a numbered slate: claims from the benchmark, results from pages, passages from documents.
 
-Claims have ids 0 to 39; a page or document belongs to the claim of its id modulo 40, as results belong to the
-question they were searched for. Everything meets by claim, by equal keys.
+Every benchmark item is a claim; pages and documents are dealt to the claims in the order of their ids, by the own id modulo
+the number of claims, as results belong to the question they were searched for. The SQL has the number of the smallest tables. Everything meets by claim, by equal keys.
 """
 
 from __future__ import annotations
@@ -22,9 +22,16 @@ AS_OF = "2026-01-01"
 CLAIMS = 40
 
 
+def to_claims(spark: SparkSession, sf_dir: str, rows: DataFrame, key: str) -> DataFrame:
+    """The rows with the claim_id that their key is dealt to; without claims there are no rows."""
+    ids = table(spark, sf_dir, "benchmark").agg(F.array_sort(F.collect_set("item_id")).alias("claim_ids")).where(F.size("claim_ids") > 0)
+    at = F.pmod(F.col(key), F.size("claim_ids")).cast("int")
+    return rows.join(F.broadcast(ids), how="cross").withColumn("claim_id", F.get("claim_ids", at)).drop("claim_ids")
+
+
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """claim_id, claim_text, tokens, entities, claim_numbers, scope, fresh."""
-    b = table(spark, sf_dir, "benchmark").where(F.col("item_id") < CLAIMS)
+    b = table(spark, sf_dir, "benchmark")
     names = F.slice(F.array_distinct(F.filter(T.words(F.col("text")), lambda t: t.rlike(r"^\p{Lu}.") & ~T.fold(t).isin(*K.NO_ENTITIES))), 1, 3)
     scope = F.when(F.col("item_id") % 4 == 0, "2025-08-15")
     return b.select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim_text"), T.tokens(F.col("text")).alias("tokens"), names.alias("entities"), T.numbers(F.col("text")).alias("claim_numbers"), scope.alias("scope"), (F.col("item_id") % 2 == 1).alias("fresh"))
@@ -39,10 +46,10 @@ CLAIMS_SQL = (
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as search results: claim_id, seq, url, canonical_url, host, title, snippet, published."""
-    p = table(spark, sf_dir, "pages")
+    p = to_claims(spark, sf_dir, table(spark, sf_dir, "pages"), "page_id")
     day = F.date_format(F.date_add(F.lit("2025-06-01").cast("date"), (F.col("page_id") % 300).cast("int")), "yyyy-MM-dd")
     return p.select(
-        (F.col("page_id") % CLAIMS).alias("claim_id"), F.col("page_id").alias("seq"), "url", U.canonical(F.col("url")).alias("canonical_url"),
+        "claim_id", F.col("page_id").alias("seq"), "url", U.canonical(F.col("url")).alias("canonical_url"),
         F.when(F.col("page_id") % 2 == 0, _deal(HOSTS)).otherwise(U.host(F.col("url"))).alias("host"),
         F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", "<p>([^<]{40,})", 1).alias("snippet"), F.when(F.col("page_id") % 3 > 0, day).alias("published"),
     )
@@ -129,9 +136,9 @@ def passage_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def passage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages as rows: claim_id, seq, passage_id, url, host, text, source_score."""
-    d = table(spark, sf_dir, "documents")
+    d = to_claims(spark, sf_dir, table(spark, sf_dir, "documents"), "doc_id")
     host = F.concat("source", F.lit(".example.com"))
-    one = d.select((F.col("doc_id") % CLAIMS).alias("claim_id"), "doc_id", host.alias("host"), F.concat(F.lit("https://"), host, F.lit("/"), F.col("doc_id").cast("string")).alias("url"), F.posexplode(E.passages(F.col("text"))).alias("k", "text"))
+    one = d.select("claim_id", "doc_id", host.alias("host"), F.concat(F.lit("https://"), host, F.lit("/"), F.col("doc_id").cast("string")).alias("url"), F.posexplode(E.passages(F.col("text"))).alias("k", "text"))
     return one.select("claim_id", (F.col("doc_id") * 100000 + F.col("k")).alias("seq"), F.concat_ws(":", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")), F.lit("0"), F.col("k").cast("string")).alias("passage_id"), "url", "host", "text", F.round(F.pmod(F.col("doc_id") * 37, F.lit(101)) / 101, 6).alias("source_score"))
 
 

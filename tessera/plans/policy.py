@@ -11,7 +11,7 @@ from tessera.functions import urls as U
 from tessera.operators import evidence as E
 from tessera.operators import policy as P
 from tessera.plans.addresses import HOSTS
-from tessera.plans.evidence import _ROWS_SQL, CLAIMS_SQL, claims, passage_rows
+from tessera.plans.evidence import _ROWS_SQL, CLAIMS_SQL, claims, passage_rows, to_claims
 from tessera.plans.registry import query
 from tessera.session import table
 
@@ -123,7 +123,7 @@ _SCORE = f"{S.overlap_sql('tokens', T.tokens_sql('s'))} + case when scope is not
 )
 def best_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentence of each document that fits its claim best."""
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("claim_id"), "text").join(claims(spark, sf_dir), "claim_id")
+    d = to_claims(spark, sf_dir, table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(claims(spark, sf_dir), "claim_id")
     return d.select("doc_id", F.md5(P.best_sentence(F.col("tokens"), F.col("scope"), F.col("text"))).alias("sentence_md5"))
 
 

@@ -108,3 +108,15 @@ def test_stop_and_match(spark):
     expected = spark.createDataFrame([(1, 1, "Python 3.13.0 released")], "case_id long, expected_id long, needle string")
     runs = spark.createDataFrame([(1, 0, "other"), (1, 1, "Python 3.13.0 was released on October 7, 2024.")], "case_id long, seq long, claim_text string")
     assert [r.seq for r in E.match_claims(expected, runs).collect()] == [1]
+
+
+def test_every_benchmark_item_is_a_claim(spark):
+    from tessera.plans import evaluation, evidence
+
+    sf = "/root/testdata/sf0.1"
+    ids = {r.item_id for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id").collect()}
+    assert len(ids) > 40
+    assert {r.claim_id for r in evidence.claims(spark, sf).select("claim_id").collect()} == ids
+    for rows in (evidence.results(spark, sf), evidence.passage_rows(spark, sf)):
+        assert {r.claim_id for r in rows.select("claim_id").distinct().collect()} == ids
+    assert max(r.expected_id for r in evaluation.claim_match(spark, sf).collect()) >= 40
