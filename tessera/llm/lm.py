@@ -1,48 +1,52 @@
-"""Language-model scores: deleted interpolation of word n-grams, weights by context frequency from held-out counts.
-
-The model predicts each token's class from the class before it, and the token within its class. The `CLASSES` - 2 most
-frequent words and the end of a text are classes of their own; all other words share one. Class estimates of maximum
-likelihood (bigram, unigram, uniform) are mixed with weights that depend on the bucket (logarithm) of how often the context
-was seen; expectation-maximisation learns the weights on counts of held-out training documents. Within the shared
-class a word's probability is its count times a rate for its bucket of counts, which held-out counts give too; words that no
-training document holds are one type, as in the base score, with the rate of unseen words in held-out documents. All
-types together sum to one. Class counts have at most CLASSES**2 cells whatever the corpus, so they may be broadcast.
-
-These class estimates are the lower order of word pairs: every pair of neighbouring words of the training documents is
-counted, and its share of its context is mixed with the class estimate by a weight for the bucket of how often the context word was
-seen, learnt on held-out counts too. Pairs of two words with classes of their own are cells of the class counts; all
-others are summed in partitions by pair (see `_Pairs`).
-
-The base score and the rates need the exact count of every word in the training documents. Counts are summed by word
-and written to the shared folder. Words so frequent that at most `HEAD` are as frequent go to all tasks; a document's
-other words are joined with the counts by word.
+"""Language-model scores: deleted interpolation of word n-grams of order three.
+
+Every n-gram of all training documents is counted. The probability of a word after two others is
+
+    P3(w|u v) = a(b) c(u v w) / c(u v) + (1 - a(b)) P2(w|v)
+    P2(w|v)   = a(b) c(v w) / c(v)     + (1 - a(b)) P1(w)
+    P1(w)     = k c(w) / N + f / V      for the V words that were seen; what remains of one for the unknown word
+
+where b is the bucket (binary logarithm) of how often the context was seen in each order. Weights are learnt by
+expectation-maximisation on held-out counts: documents of one part of the training fold give the estimates, those of the other
+part are predicted. Final counts are those of both parts. A text begins behind two start marks and ends with an end
+mark, which is a word. As in the base score, all unknown words are one type; all types together sum to one.
+
+How it runs. Documents are written as blocks of some `BLOCK` bytes of text, each of one part. A block's n-grams are
+counted within the block, and each distinct one goes once, as part of a packed sorted array, to the partition that its key names;
+so a word, pair or passage that a third of all rows hold arrives once a block there, and no key is hot. A partition adds
+up its n-grams over all blocks and answers each block with the counts in the block's own order. Blocks meet their
+answers (a co-group by block) and score their documents. Tables of n-grams are never in one task or on the driver; the
+driver sees histograms of at most `BUCKETS` x 2 `LEVELS` cells and some totals.
+
+Keys of n-grams are 62-bit hashes and two bits for the order: two of n words share one with a chance of some n * n / 2**63.
 """
 
 from __future__ import annotations
 
-import itertools
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_task, cut, fold_of, new_folder
+from tessera.llm.common import by_task, fold_of, new_folder
 
-CLASSES = 2048
-END, SHARED = 0, 1
+#: Bytes of text in a block, unless one document has more.
+BLOCK = 4 << 20
+#: Bytes of text whose n-grams one partition adds up, about.
+SHARE = 16 << 20
 BUCKETS = 40
-ORDERS = 3
-#: Words that may go to all tasks.
-HEAD = 200_000
-#: One in so many training documents, by a hash of the id, is held out for weights and rates.
-HELD_OUT = 20
-#: Steps, in sixteenths of a power of two, that are kept apart on each side when a pair's estimate is held against the lower order's.
+#: Sixteenths of a power of two that are kept apart on each side when an estimate is held against the lower order's.
 LEVELS = 1024
-#: Documents whose pairs are packed at a time.
-CHUNK = 2048
+#: One in so many training documents, by a hash of the id, is held out for the weights.
+HELD_OUT = 20
+ESTIMATE, HELD, OTHER = 0, 1, 2
+TOTALS = ("types", "tokens", "early_types", "early_tokens")
+START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -50,161 +54,191 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def cells(classes: np.ndarray) -> np.ndarray:
-    """For each token of a text and its end the cell: the class before it (the end's at the start) times CLASSES, and its own."""
-    x = np.concatenate([[END], classes, [END]]).astype(np.int32)
-    return x[:-1] * CLASSES + x[1:]
+def _mixed(x: np.ndarray, order: int) -> np.ndarray:
+    """Keys spread over 64 bits, the lowest two of which are the order."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) & ~np.uint64(3)) | np.uint64(order)
+
+
+def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the n-grams that end at each token, a row for each order; and how many tokens each text has."""
+    digest, parts, lengths = xxhash.xxh64_intdigest, [], np.empty(len(texts), np.int64)
+    for k, text in enumerate(texts):
+        own = words(text)
+        lengths[k] = len(own) + 1
+        parts += [np.fromiter(map(digest, own), np.uint64, len(own)), END[None]]
+    if not parts:
+        return np.empty((3, 0), np.uint64), lengths
+    first = np.concatenate(parts)
+    starts = np.cumsum(lengths) - lengths
+
+    def before(x: np.ndarray) -> np.ndarray:
+        out = np.concatenate([START[None], x[:-1]])
+        out[starts] = START
+        return out
 
+    second = _mixed(before(first) * np.uint64(0xC2B2AE3D27D4EB4F) + first, 2)
+    third = _mixed(before(second) * np.uint64(0x165667B19E3779F9) + first, 3)
+    return np.stack([_mixed(first, 1), second, third]), lengths
 
-def estimates(counts: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Uniform, unigram and bigram estimates (columns) and context buckets of cells, from counts by context and class."""
-    context, own = asked // CLASSES, asked % CLASSES
-    single, seen = counts.sum(0), counts.sum(1)
-    flat = np.full(len(asked), 1 / CLASSES)
-    first = single[own] / single.sum() if single.sum() else flat
-    second = np.divide(counts[context, own], seen[context], out=flat.copy(), where=seen[context] > 0)
-    return np.stack([flat, first, second], axis=1), np.log2(seen[context] + 1).astype(np.int64)
 
+def _small(x: np.ndarray) -> bytes:
+    """Unsigned numbers in as few bytes each as the largest needs; the first byte says how many."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
-def mixture(counts: np.ndarray, held_out: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Weights of the orders for each bucket, by expectation-maximisation on held-out counts of the same cells."""
-    weights = np.full((BUCKETS, ORDERS), 1 / ORDERS)
-    asked = np.flatnonzero(held_out)
-    if not len(asked):
-        return weights
-    n = held_out.ravel()[asked].astype(float)
-    chances, bucket = estimates(counts, asked)
-    for _ in range(rounds):
-        part = weights[bucket] * chances
-        part *= (n / part.sum(1))[:, None]
-        new = np.stack([np.bincount(bucket, part[:, k], BUCKETS) for k in range(ORDERS)], axis=1) + 0.1
-        new /= new.sum(1, keepdims=True)
-        if np.abs(new - weights).max() < 1e-6:
-            break
-        weights = new
-    return weights
-
-
-def class_table(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """log10 probability of each class after each class, in four bytes each."""
-    places = np.arange(CLASSES)
-    out = np.empty((CLASSES, CLASSES), np.float32)
-    for context in range(0, CLASSES, 64):
-        asked = (np.arange(context, context + 64)[:, None] * CLASSES + places[None]).ravel()
-        chances, bucket = estimates(counts, asked)
-        out[context : context + 64] = np.log10((chances * weights[bucket]).sum(1)).reshape(64, CLASSES)
-    return out
 
+def _wide(data: bytes) -> np.ndarray:
+    """The numbers of `_small`."""
+    out = np.zeros(((len(data) - 1) // data[0], 8), np.uint8)
+    out[:, : data[0]] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])
+    return out.view("<u8").reshape(-1).astype(np.uint64)
 
-def _count_words(training: DataFrame) -> DataFrame:
-    """Columns word, n and held (counts in documents for estimates and held-out ones), as a table in the shared folder."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+def _homes(parts: int) -> np.ndarray:
+    """The least key of each partition but the first: keys are dealt out in their own order."""
+    return np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for part, other in ((0, 1), (1, 0)):
-                own, n = list(seen[part]), list(seen[part].values())
-                for k in range(0, len(own), 1 << 16):
-                    some = n[k : k + (1 << 16)]
-                    columns = {"word": pa.array(own[k : k + (1 << 16)], pa.binary()), ("n", "held")[part]: pa.array(some, pa.int64()), ("n", "held")[other]: pa.array([0] * len(some), pa.int64())}
-                    yield pa.RecordBatch.from_pydict({name: columns[name] for name in ("word", "n", "held")})
-                seen[part].clear()
 
-        for batch in batches:
-            for text, held in zip(batch["text"], batch["held"].to_pylist(), strict=True):
-                seen[int(held)].update(words(text.as_py()))
-                if len(seen[0]) > 700_000:
-                    yield from flush()
-        yield from flush()
+def _blocks(docs: DataFrame, part: Column) -> DataFrame:
+    """All documents in blocks of one part each, as a table in the shared folder: block, part, bytes, doc_ids, texts."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    place = new_folder(training.sparkSession, "word-counts")
-    counted = training.select("text", "held").mapInArrow(count, "word binary, n long, held long")
-    counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("held").alias("held")).write.parquet(place)
-    return training.sparkSession.read.schema("word binary, n long, held long").parquet(place).withColumn("c", F.col("n") + F.col("held"))
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_rows: list[list[pa.RecordBatch]] = [[], [], []]
+        size, n, task = [0, 0, 0], 0, TaskContext.get().partitionId()
 
+        def block(which: int) -> pa.RecordBatch:
+            nonlocal n
+            rows = pa.Table.from_batches(open_rows[which]).combine_chunks()
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows[c].chunk(0)) for c in ("doc_id", "text")]
+            out = pa.RecordBatch.from_arrays([pa.array([(task << 32) + n], pa.int64()), pa.array([which], pa.int32()), pa.array([size[which]], pa.int64()), *lists], ["block", "part", "bytes", "doc_ids", "texts"])
+            n, open_rows[which], size[which] = n + 1, [], 0
+            return out
 
-def _count_cells(training: DataFrame, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Class cells of the training documents: counts for estimates and held-out ones, at most CLASSES**2 rows."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros((2, CLASSES * CLASSES), np.int32)
         for batch in batches:
-            for text, held in zip(batch["text"], batch["held"].to_pylist(), strict=True):
-                own = words(text.as_py())
-                classes = np.fromiter(map(known.get, own, itertools.repeat(SHARED)), np.int32, len(own))
-                np.add.at(found[int(held)], cells(classes), 1)
-        at = np.flatnonzero(found[0] | found[1])
-        for k in range(0, len(at), 1 << 17):
-            some = at[k : k + (1 << 17)]
-            yield pa.RecordBatch.from_pydict({"cell": pa.array(some, pa.int32()), "n": pa.array(found[0][some], pa.int64()), "held": pa.array(found[1][some], pa.int64())})
-
-    summed = training.select("text", "held").mapInArrow(count, "cell int, n long, held long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
-    rows = summed.toArrow()
-    cell = rows["cell"].to_numpy()
-    out = []
-    for name in ("n", "held"):
-        counts = np.zeros(CLASSES * CLASSES, np.int64)
-        counts[cell] = rows[name].to_numpy()
-        out.append(counts.reshape(CLASSES, CLASSES))
-    return out[0], out[1]
-
-
-def _bucket(c: Column) -> Column:
-    return F.floor(F.log2(c + F.lit(1))).cast("int")
-
-
-def _rates(shared: DataFrame) -> tuple[tuple[np.ndarray, float], tuple[np.ndarray, float]]:
-    """log10 of what a count is multiplied with in each bucket of counts, and log10 of an unseen word's probability.
-
-    First for all counts, then for those without the held-out documents.
+            for which in (ESTIMATE, HELD, OTHER):
+                rows = batch.filter(pc.equal(batch["part"], which)).select(["doc_id", "text"])
+                ends = np.cumsum(np.append(0, pc.fill_null(pc.binary_length(rows["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
+                at = 0
+                while at < rows.num_rows:
+                    upto = int(np.searchsorted(ends, ends[at] + BLOCK - size[which], side="right")) - 1
+                    upto = min(max(upto, at if open_rows[which] else at + 1), rows.num_rows)
+                    if upto > at:
+                        open_rows[which].append(rows.slice(at, upto - at))
+                        size[which] += int(ends[upto] - ends[at])
+                    if upto < rows.num_rows:
+                        yield block(which)
+                    at = upto
+        for which in (ESTIMATE, HELD, OTHER):
+            if open_rows[which]:
+                yield block(which)
+
+    place, schema = new_folder(docs.sparkSession, "lm-blocks"), f"block long, part int, bytes long, doc_ids array<{kind}>, texts array<string>"
+    docs.select(part.alias("part"), "doc_id", "text").mapInArrow(deal, schema).write.option("parquet.block.size", 4 * BLOCK).parquet(place)
+    return docs.sparkSession.read.schema(schema).parquet(place)
+
+
+def _answers(blocks: DataFrame, parts: int) -> DataFrame:
+    """Counts of every block's n-grams over all training documents, as a table in the shared folder.
+
+    Rows: block, home (a partition), c (counts of the block's distinct keys that live there, ascending by key) and n (for blocks of
+    the held-out part: counts without that part). Rows without a block have in types and tokens how many words live there, of
+    both parts and, in early_types and early_tokens, of the first.
     """
-    n, held, c = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in shared.groupBy(_bucket(F.col("n")).alias("b")).agg(F.sum("n").alias("n"), F.sum("held").alias("held")).collect():
-        n[r["b"]], held[r["b"]] = r["n"], r["held"]
-    for r in shared.groupBy(_bucket(F.col("c")).alias("b")).agg(F.sum("c").alias("c")).collect():
-        c[r["b"]] = r["c"]
-    rate, unseen = np.ones(BUCKETS), 1.0
-    if held.sum():
-        rate, unseen = (held + 0.5) / (n + 0.5), float(held[0]) + 0.5
-        rate[0] = rate[1]
-        early_whole = float((rate * n).sum()) + unseen
-        early = (np.log10(rate / early_whole), float(np.log10(unseen / early_whole)))
-        rate *= n.sum() / max(1.0, c.sum()) if n.sum() else 1.0
-    else:
-        early = (np.zeros(BUCKETS), 0.0)
-    whole = float((rate * c).sum()) + unseen
-    return (np.log10(rate / whole), float(np.log10(unseen / whole))), early
-
-
-def _levels(share: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Sixteenths of a power of two between a pair's share of its context and its log10 estimate of lower order; zero for no share."""
-    with np.errstate(divide="ignore"):
-        return np.where(share > 0, np.clip(np.rint(16 * (np.log2(share) - lower / np.log10(2))), 1 - LEVELS, LEVELS - 1) + LEVELS, 0).astype(np.int64)
+    homes = _homes(parts)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, part, texts in zip(batch["block"].to_pylist(), batch["part"].to_pylist(), batch["texts"], strict=True):
+                found, _ = grams(texts.as_py())
+                keys = np.sort(found.reshape(-1))
+                first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
+                times, keys = np.diff(first, append=len(keys)), keys[first]
+                cuts = np.concatenate([[0], np.searchsorted(keys, homes), [len(keys)]])
+                at = np.flatnonzero(np.diff(cuts))
+                bodies = [(_small(np.diff(keys[cuts[k] : cuts[k + 1]], prepend=np.uint64(0))), _small(times[cuts[k] : cuts[k + 1]])) for k in at]
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([block] * len(at), pa.int64()), pa.array([part] * len(at), pa.int32()), *(pa.array([b[k] for b in bodies], pa.binary()) for k in (0, 1))], ["home", "block", "part", "keys", "times"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = [b for b in batches if b.num_rows]
+        if not sent:
+            return
+        rows = pa.Table.from_batches(sent)
+        home, block, part = (rows[c].to_numpy() for c in ("home", "block", "part"))
+        keys = [np.cumsum(_wide(k.as_py()), dtype=np.uint64) for k in rows["keys"]]
+        times = np.concatenate([_wide(t.as_py()) for t in rows["times"]]).astype(np.int64)
+        del rows, sent
+        lengths = np.array([len(k) for k in keys])
+        distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
+        whose = np.repeat(part, lengths)
+        n = np.bincount(of, times * (whose == ESTIMATE), len(distinct)).astype(np.int64)
+        c = n + np.bincount(of, times * (whose == HELD), len(distinct)).astype(np.int64)
+        word = (distinct & np.uint64(3)) == 1
+        sums = ((c[word] > 0).sum(), c[word].sum(), (n[word] > 0).sum(), n[word].sum())
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array(home[:1], pa.int32()), *[pa.array([None], pa.binary())] * 2, *(pa.array([int(x)], pa.int64()) for x in sums)], names)
+        ends = np.cumsum(lengths)
+        for a in range(0, len(block), 256):
+            at = range(a, min(a + 256, len(block)))
+            own = [of[ends[k] - lengths[k] : ends[k]] for k in at]
+            early = [_small(n[x]) if part[k] == HELD else None for k, x in zip(at, own, strict=True)]
+            none = pa.array([None] * len(at), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(block[at], pa.int64()), pa.array(home[at], pa.int32()), pa.array([_small(c[x]) for x in own], pa.binary()), pa.array(early, pa.binary()), *[none] * 4], names)
+
+    names = ["block", "home", "c", "n", *TOTALS]
+    place, schema = new_folder(blocks.sparkSession, "lm-counts"), "block long, home int, c binary, n binary, " + ", ".join(f"{x} long" for x in TOTALS)
+    sent = blocks.select("block", "part", "texts").mapInArrow(send, "home int, block long, part int, keys binary, times binary")
+    sent.repartitionById(parts, F.col("home")).mapInArrow(add_up, schema).write.option("parquet.block.size", 4 * BLOCK).parquet(place)
+    return blocks.sparkSession.read.schema(schema).parquet(place)
+
+
+def _counts(texts: list[str | None], answers: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the n-grams that end at each token of a block, a row for each order; and the texts' lengths."""
+    found, lengths = grams(texts)
+    order = np.argsort(answers["home"].to_numpy())
+    packed = answers[column].take(pa.array(order))
+    distinct, of = np.unique(found.reshape(-1), return_inverse=True)
+    counts = np.concatenate([_wide(x.as_py()) for x in packed]).astype(np.int64)
+    if len(counts) != len(distinct):
+        raise ValueError("a block and its counts do not belong together")
+    return counts[of].reshape(3, -1), lengths
+
+
+def _contexts(counts: np.ndarray, lengths: np.ndarray, n_texts: int) -> np.ndarray:
+    """How often the contexts of order two and three were seen: the counts before each token; texts begin behind start marks."""
+    starts = np.cumsum(lengths) - lengths
+    out = np.concatenate([np.zeros((2, 1), np.int64), counts[:2, :-1]], axis=1)
+    out[:, starts] = n_texts
+    return out
 
 
-def _hits(n: np.ndarray, held: np.ndarray, context: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Held-out counts of pairs by the bucket of the context's count and level; contexts that were not seen have no weight."""
-    some = (held > 0) & (context > 0)
-    n, held, context, lower = n[some], held[some], context[some], lower[some]
-    at = np.log2(context + 1).astype(np.int64) * 2 * LEVELS + _levels(n / context, lower)
-    return np.bincount(at, held, BUCKETS * 2 * LEVELS)
+def bucket(context: np.ndarray) -> np.ndarray:
+    """The binary logarithm of a context's count and one; 0 for contexts that were not seen."""
+    return np.log2(context + 1).astype(np.int64)
 
 
-def _single(size: int = CLASSES) -> np.ndarray:
-    return np.arange(size) != SHARED
+def mixed(counts: np.ndarray, contexts: np.ndarray, totals: tuple[int, int], first: tuple[float, float, float], shares: list[np.ndarray]) -> np.ndarray:
+    """Probabilities of tokens, from the counts that end at them (rows: orders), their contexts, (N, V), weights of words' counts,
+    of the uniform and of the unknown word, and as many higher orders' weights by bucket as shares has."""
+    n, v = totals
+    p = np.where(counts[0] > 0, first[0] * counts[0] / max(n, 1) + first[1] / max(v, 1), first[2])
+    for k, share in enumerate(shares):
+        a = share[bucket(contexts[k])]
+        p = a * counts[k + 1] / np.maximum(contexts[k], 1) + (1 - a) * p
+    return p
 
 
-def _cell_hits(early: np.ndarray, n: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """Hits of the pairs whose words are both classes of their own: their cells hold the pairs' counts."""
-    at = np.flatnonzero(held)
-    v, w = at // CLASSES, at % CLASSES
-    at = at[(v != SHARED) & (w != SHARED)]
-    return _hits(n.ravel()[at].astype(float), held.ravel()[at].astype(float), n.sum(1)[at // CLASSES].astype(float), early.ravel()[at].astype(float))
+def histogram(own: np.ndarray, lower: np.ndarray, where: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Held-out tokens by bucket and by the step between an order's own estimate and the lower one (0: no own estimate)."""
+    with np.errstate(divide="ignore"):
+        level = np.where(own > 0, np.clip(np.rint(16 * (np.log2(own) - np.log2(lower))), 1 - LEVELS, LEVELS - 1) + LEVELS, 0).astype(np.int64)
+    return np.bincount(where * 2 * LEVELS + level, times, BUCKETS * 2 * LEVELS)
 
 
-def pair_shares(hits: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """The weight of the pairs' own estimate for each bucket of context counts, by expectation-maximisation; none for unseen contexts."""
+def em(hits: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """The weight of an order's own estimate in each bucket, by expectation-maximisation; none for contexts that were not seen."""
     hits = hits.reshape(BUCKETS, 2 * LEVELS)
     ratio = np.append(0.0, 2.0 ** ((np.arange(1, 2 * LEVELS) - LEVELS) / 16))
     shares = np.full(BUCKETS, 0.5)
@@ -215,269 +249,92 @@ def pair_shares(hits: np.ndarray, rounds: int = 200) -> np.ndarray:
     return shares
 
 
-def _with_pairs(table: np.ndarray, counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
-    """The class table with the word pairs it can hold mixed in, for contexts that are classes of their own."""
-    out, seen, single = table.copy(), counts.sum(1), _single()
-    for v in np.flatnonzero(single & (seen > 0)):
-        share = shares[int(np.log2(seen[v] + 1))]
-        out[v] = np.log10(share * np.where(single, counts[v] / seen[v], 0.0) + (1 - share) * 10.0 ** table[v].astype(float))
-    return out
-
-
-def _gain(share: np.ndarray, count: np.ndarray, context: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """log10 of what a seen pair's mixed probability is over its lower part alone."""
-    return np.log10(1 + share / (1 - share) * count / context / 10.0**lower)
-
+def _learn(blocks: DataFrame, answers: DataFrame, totals: tuple[int, int], n_texts: int) -> tuple[tuple[float, float, float], list[np.ndarray]]:
+    """Weights from the held-out part's tokens: of words, uniform and unknown word, and by bucket of order two and three."""
 
-class _Pairs:
-    """Counts of all word pairs that no class cell holds, brought to the documents that have them.
+    def tokens(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = np.empty((0, 6), np.int64)
+        if left.num_rows and right.num_rows:
+            counts, lengths = _counts(left["texts"][0].as_py(), right, "n")
+            rows = np.concatenate([counts, _contexts(counts, lengths, n_texts)]).T
+            rows, times = np.unique(rows, axis=0, return_counts=True)
+            out = np.column_stack([rows, times])
+        return pa.table([pa.array(out[:, k]) for k in range(6)], names)
 
-    Pairs of words that all tasks know are numbers. Each task sends, for some documents at a time, the sorted pairs with
-    document and times as packed bytes to the pair's partition, which sums them over all training documents. As one word
-    at least is outside the most frequent, no pair is more frequent than the first word there. Pairs with another
-    word are rows that meet the counts of that word, and of the other one if it is rare too.
-    """
+    names = ["n1", "n2", "n3", "m2", "m3", "times"]
+    schema, place = ", ".join(f"{x} long" for x in names), new_folder(blocks.sparkSession, "lm-held-out")
+    met = blocks.where(F.col("part") == HELD).select("block", "texts").groupBy("block").cogroup(answers.where("n is not null").select("block", "home", "n").groupBy("block"))
+    met.applyInArrow(tokens, schema).write.parquet(place)
+    held = blocks.sparkSession.read.schema(schema).parquet(place)
 
-    def __init__(self, numbered: DataFrame, known: dict[bytes, int], sides: dict[str, np.ndarray], rare: DataFrame, rates: tuple, early_rates: tuple) -> None:
-        spark = numbered.sparkSession
-        self.sides = spark.sparkContext.broadcast(sides)
-        own = spark.sparkContext.broadcast(known)
-        self.size = size = len(known) + 1
-        parts = by_task(numbered)
-        side = self.sides
+    def collected(told) -> np.ndarray:
+        """The sum of a histogram over all tokens."""
 
-        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            classes = side.value["classes"]
-            for batch in batches:
-                for start in range(0, batch.num_rows, CHUNK):
-                    some = batch.slice(start, CHUNK)
-                    keys = []
-                    for k, text in enumerate(some["text"]):
-                        said = words(text.as_py())
-                        at = np.fromiter(map(own.value.get, said, itertools.repeat(-1)), np.int64, len(said))
-                        x = np.concatenate([[size - 1], at, [size - 1]])
-                        v, w = x[:-1], x[1:]
-                        take = (v >= 0) & (w >= 0) & ((classes[v] == SHARED) | (classes[w] == SHARED))
-                        keys.append((v[take] * size + w[take]) * CHUNK + k)
-                    found, times = np.unique(np.concatenate(keys), return_counts=True)
-                    to = ((found // CHUNK).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)
-                    order = np.argsort(to, kind="stable")
-                    found, times, to = found[order], times[order], to[order].astype(np.int32)
-                    cuts = np.flatnonzero(np.diff(to, prepend=-1)) if len(to) else np.empty(0, np.int64)
-                    row, part = some["row"].to_numpy(), np.ascontiguousarray(some["part"].to_numpy(), np.int8)
-                    packed = []
-                    for a, b in itertools.pairwise([*cuts, *([len(to)] if len(to) else [])]):
-                        body = np.diff(found[a:b], prepend=0).tobytes() + times[a:b].astype(np.int32).tobytes() + row.tobytes() + part.tobytes()
-                        packed.append((b - a, len(row), len(body), pa.compress(body, codec="zstd", asbytes=True)))
-                    yield pa.RecordBatch.from_arrays([pa.array(to[cuts], pa.int32()), *(pa.array([x[k] for x in packed], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary())))], ["p", "size", "docs", "length", "body"])
-
-        self.sent = cut(numbered.select("row", "part", "text").mapInArrow(send, "p int, size int, docs int, length long, body binary").repartition(parts, "p"))
-
-        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for start in range(0, batch.num_rows, 200):
-                    some = batch.slice(start, 200)
-                    out: dict[str, list] = {k: [] for k in ("row", "part", "v", "w", "vk", "wk", "times")}
-                    for row, part, text in zip(some["row"].to_pylist(), some["part"].to_pylist(), some["text"], strict=True):
-                        said = words(text.as_py())
-                        at = np.fromiter(map(own.value.get, said, itertools.repeat(-1)), np.int64, len(said))
-                        x = np.concatenate([[size - 1], at, [size - 1]])
-                        said = [b"", *said, b""]
-                        seen = Counter((said[k], said[k + 1], int(x[k]), int(x[k + 1])) for k in np.flatnonzero((x[:-1] < 0) | (x[1:] < 0)))
-                        for (v, w, vk, wk), times in seen.items():
-                            for name, value in zip(out, (row, part, v, w, vk, wk, times), strict=True):
-                                out[name].append(value)
-                    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), kinds, strict=True)], list(out))
-
-        spelt = numbered.select("row", "part", "text").mapInArrow(spell, "row long, part int, v binary, w binary, vk int, wk int, times long")
-        first = rare.select(F.col("word").alias("key"), F.col("n").alias("kn"), F.col("c").alias("kc"))
-        same = Window.partitionBy("key", "v", "w")
-        counted = spelt.withColumn("key", F.when(F.col("wk") < 0, F.col("w")).otherwise(F.col("v"))).join(first, "key", "left")
-        counted = counted.withColumn("n", F.sum(F.when(F.col("part") == 0, F.col("times")).otherwise(0)).over(same)).withColumn("held", F.sum(F.when(F.col("part") == 1, F.col("times")).otherwise(0)).over(same))
-        both = (F.col("vk") < 0) & (F.col("wk") < 0)
-        kept = cut(counted.where("n + held > 0").select("row", "part", "times", "vk", "wk", "n", "held", "kn", "kc", F.when(both, F.col("v")).alias("v")))
-        second = rare.select(F.col("word").alias("v"), F.col("n").alias("vn"), F.col("c").alias("vc"))
-        self.rows = kept.where(F.col("v").isNull()).drop("v").withColumn("vn", F.lit(0).cast("long")).withColumn("vc", F.lit(0).cast("long")).unionByName(kept.where(F.col("v").isNotNull()).join(second, "v").drop("v"))
-        self.rates, self.early_rates = rates, early_rates
-
-    def __getstate__(self) -> dict:
-        """Tasks need no tables."""
-        return {k: x for k, x in self.__dict__.items() if k not in ("sent", "rows")}
-
-    def _lower(self, vk: np.ndarray, wk: np.ndarray, early: bool, wn: np.ndarray) -> np.ndarray:
-        """log10 of the class estimates; numbers below zero are rare words, and wn their counts."""
-        side = self.sides.value
-        classes, edge, within = side["classes"], side["early_edge" if early else "edge"], side["early_within" if early else "within"]
-        v, w = np.where(vk < 0, SHARED, classes[vk]), np.where(wk < 0, SHARED, classes[wk])
-        rate, unseen = self.early_rates if early else self.rates
-        rare = np.where(wn > 0, np.log10(np.maximum(wn, 1)) + rate[np.log2(np.maximum(wn, 0) + 1).astype(np.int64)], unseen)
-        return np.where(v == SHARED, edge[1][w], edge[0][v]).astype(float) + np.where(wk < 0, rare, within[wk])
-
-    def _merged(self, batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
-        """Of a partition: rows, times and pair of each entry, and the pairs with counts for estimates and held-out ones."""
-        keys, rows, parts, times = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int8)], [np.empty(0, np.int32)]
-        for batch in batches:
-            for size, docs, length, body in zip(*(batch[k].to_pylist() for k in ("size", "docs", "length", "body")), strict=True):
-                raw = pa.decompress(body, decompressed_size=length, codec="zstd", asbytes=True)
-                found = np.cumsum(np.frombuffer(raw, np.int64, size))
-                row, part = np.frombuffer(raw, np.int64, docs, 12 * size), np.frombuffer(raw, np.int8, docs, 12 * size + 8 * docs)
-                keys.append(found // CHUNK)
-                rows.append(row[found % CHUNK])
-                parts.append(part[found % CHUNK])
-                times.append(np.frombuffer(raw, np.int32, size, 8 * size))
-        part, n_times = np.concatenate(parts), np.concatenate(times)
-        pair, of = np.unique(np.concatenate(keys), return_inverse=True)
-        return np.concatenate(rows), n_times, of, pair, np.bincount(of, n_times * (part == 0), len(pair)), np.bincount(of, n_times * (part == 1), len(pair))
-
-    def hits(self) -> np.ndarray:
-        """Held-out counts by bucket of the context and level, over all pairs outside the class cells."""
-        size, me = self.size, self
-
-        def told(hits: np.ndarray) -> pa.RecordBatch:
-            at = np.flatnonzero(hits)
-            return pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int64()), "h": pa.array(hits[at], pa.float64())})
-
-        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            _, _, _, pair, n, held = me._merged(batches)
-            v, w = pair // size, pair % size
-            yield told(_hits(n, held, me.sides.value["n"][v], me._lower(v, w, True, np.zeros(len(v)))))
-
-        def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(BUCKETS * 2 * LEVELS)
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(BUCKETS * 2 * LEVELS)
             for batch in batches:
-                # Each held-out row stands for its own times, so that a pair's rows add up to its held-out count.
-                vk, wk, n, times, kn, vn = (batch[k].to_numpy() for k in ("vk", "wk", "n", "times", "kn", "vn"))
-                context = np.where(vk >= 0, me.sides.value["n"][vk], np.where(wk < 0, vn, kn)).astype(float)
-                total += _hits(n.astype(float), times.astype(float), context, me._lower(vk, wk, True, kn))
-            yield told(total)
+                x = np.stack([batch[k].to_numpy() for k in names])
+                sums += told(x[:3], x[3:5], x[5])
+            at = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.float64())], ["at", "h"])
 
         out = np.zeros(BUCKETS * 2 * LEVELS)
-        seen = self.sent.mapInArrow(packed, "at long, h double").union(self.rows.where("part = 1").mapInArrow(spelt, "at long, h double"))
-        for r in seen.groupBy("at").agg(F.sum("h").alias("h")).collect():
+        for r in held.mapInArrow(count, "at long, h double").groupBy("at").agg(F.sum("h").alias("h")).collect():
             out[r["at"]] = r["h"]
         return out
 
-    def gains(self, shares: np.ndarray) -> DataFrame:
-        """Columns row and gain: what a row's seen pairs add to the score that its words have by the lower orders."""
-        size, me = self.size, self
+    n, v = totals
 
-        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            row, times, of, pair, n, held = me._merged(batches)
-            v, w = pair // size, pair % size
-            context, count = me.sides.value["c"][v], n + held
-            gain = _gain(shares[np.log2(context + 1).astype(np.int64)], count, np.maximum(context, 1), me._lower(v, w, False, np.zeros(len(v))))
-            rows, at = np.unique(row, return_inverse=True)
-            yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int64()), "gain": pa.array(np.bincount(at, gain[of] * times, len(rows)), pa.float64())})
+    def unigrams(counts: np.ndarray, contexts: np.ndarray, times: np.ndarray) -> np.ndarray:
+        return histogram(counts[0] / max(n, 1), np.full(len(times), 1 / max(v, 1)), (counts[0] > 0).astype(np.int64), times)
 
-        def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                vk, wk, times, kc, vc = (batch[k].to_numpy() for k in ("vk", "wk", "times", "kc", "vc"))
-                count = (batch["n"].to_numpy() + batch["held"].to_numpy()).astype(float)
-                context = np.where(vk >= 0, me.sides.value["c"][vk], np.where(wk < 0, vc, kc)).astype(float)
-                gain = _gain(shares[np.log2(context + 1).astype(np.int64)], count, context, me._lower(vk, wk, False, kc))
-                yield pa.RecordBatch.from_pydict({"row": batch["row"], "gain": pa.array(gain * times, pa.float64())})
+    hits = collected(unigrams)
+    unknown, known = float(hits.reshape(BUCKETS, -1)[0].sum()), float(hits.reshape(BUCKETS, -1)[1].sum())
+    whole = (known + 1) / (known + unknown + 2)  # one count of each kind more, so that neither is impossible
+    own = float(em(hits)[1])
+    first = (whole * own, whole * (1 - own), 1 - whole)
+    shares: list[np.ndarray] = []
+    for order in (0, 1):
+
+        def pairs(counts: np.ndarray, contexts: np.ndarray, times: np.ndarray, order: int = order, shares: tuple = tuple(shares)) -> np.ndarray:
+            lower = mixed(counts, contexts, totals, first, list(shares))
+            return histogram(counts[order + 1] / np.maximum(contexts[order], 1), lower, bucket(contexts[order]), times)
 
-        return self.sent.mapInArrow(packed, "row long, gain double").union(self.rows.mapInArrow(spelt, "row long, gain double"))
+        shares.append(em(collected(pairs)))
+    return first, shares
 
 
-def scored(docs: DataFrame, fold: int = 1, folds: int = 5, head_words: int = HEAD) -> DataFrame:
+def scored(docs: DataFrame, fold: int = 1, folds: int = 5) -> DataFrame:
     """For each row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Documents whose id falls in the fold are held out; all others train. Null and empty texts have one token, the end.
-    Rows that repeat get equal results and count each in training. With no training documents the base score of a
-    text is that of unseen words and the classes are uniform. An empty table gives no rows. Only doc_id and text are read.
+    Rows that repeat get equal results and count each in training. With no training documents every token is the
+    unknown word, whose probability is then one. An empty table gives no rows. Only doc_id and text are read.
     """
-    spark, narrow = docs.sparkSession, docs.select("doc_id", "text")
-    training = narrow.where(fold_of(F.col("doc_id"), folds) != fold).withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0)
-    counts = _count_words(training)
-    ends = training.count()
-    tally = counts.groupBy("c").count().orderBy(F.desc("c")).collect()
-    n_words, v_words = sum(r["c"] * r["count"] for r in tally), sum(r["count"] for r in tally)
-    n_all, v_all = n_words + ends, v_words + (ends > 0)
-    least, room = (tally[0]["c"] + 1 if tally else 1), head_words
-    for r in tally:
-        room -= r["count"]
-        if room < 0:
-            break
-        least = r["c"]
-    top = counts.orderBy(F.desc("c"), "word").limit(CLASSES - 2).select("word", "n", "c").collect()
-    class_of = {bytes(r["word"]): 2 + k for k, r in enumerate(top)}
-    own_class = spark.createDataFrame([(w,) for w in class_of], "word binary")
-    (log_rate, log_unseen), early_rates = _rates(counts.join(F.broadcast(own_class), "word", "left_anti"))
-    cell_counts, held = _count_cells(training, class_of)
-    weights = mixture(cell_counts, held)
-    early = class_table(cell_counts, weights)
-    hits = _cell_hits(early, cell_counts, held)
-    early_edge = np.stack([early[:, SHARED], early[SHARED]])
-    del early
-    first_counts = cell_counts.sum(1)
-    cell_counts += held
-    del held
-    table = class_table(cell_counts, weights)
-    edge = np.stack([table[:, SHARED], table[SHARED]])
-    below = float(np.log10(n_all + 0.5 * (v_all + 1)))
-    frequent = counts.where(F.col("c") >= least).select("word", "n", "c").toArrow()
-    rare_top = [r for r in top if r["c"] < least]
-    head = [*frequent["word"].to_pylist(), *(bytes(r["word"]) for r in rare_top)]
-    c = np.concatenate([frequent["c"].to_numpy(), [r["c"] for r in rare_top]]).astype(float)
-    n = np.concatenate([frequent["n"].to_numpy(), [r["n"] for r in rare_top]]).astype(float)
-    del frequent
-    classes = np.array([class_of.get(w, SHARED) for w in head] + [SHARED], np.int32)
-    base = np.append(np.log10(c + 0.5) - below, 0.0)
-    within = np.append(np.where(classes[:-1] == SHARED, np.log10(np.maximum(c, 1)) + log_rate[np.log2(c + 1).astype(np.int64)], 0.0), 0.0)
-    numbered = narrow.withColumn("row", F.monotonically_increasing_id()).withColumn("part", F.when(fold_of(F.col("doc_id"), folds) == fold, 2).otherwise((F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0).cast("int")))
-    known = {w: k for k, w in enumerate(head)}
-    early_within = np.where(n > 0, np.log10(np.maximum(n, 1)) + early_rates[0][np.log2(n + 1).astype(np.int64)], early_rates[1])
-    pair_classes = np.append(classes[:-1], END).astype(np.int32)
-    sides = {
-        "n": np.append(n, first_counts[END]), "c": np.append(c, ends), "classes": pair_classes, "early_edge": early_edge, "edge": edge,
-        "early_within": np.append(np.where(classes[:-1] == SHARED, early_within, 0.0), 0.0), "within": within.copy(),
-    }
-    pairs = _Pairs(numbered, known, sides, counts.where(F.col("c") < least), (log_rate, log_unseen), early_rates)
-    shares = pair_shares(hits + pairs.hits())
-    table = _with_pairs(table, cell_counts, shares)
-    del cell_counts
-    left = np.log10(1 - shares)
-    within[:-1] += np.where(classes[:-1] == SHARED, left[np.log2(c + 1).astype(np.int64)], 0.0)
-    log_rate = log_rate + left
-    model = spark.sparkContext.broadcast((known, classes, base, within, table))
-    end_score, end_known = float(np.log10(ends + 0.5)) - below, int(ends > 0)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, classes, base, within, table = model.value
-        flat = table.reshape(-1)
-        kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "rest": pa.list_(pa.binary()), "times": pa.list_(pa.int32())}
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                rows: dict[str, list] = {k: [] for k in kinds}
-                for text in part["text"]:
-                    own = words(text.as_py())
-                    at = np.fromiter(map(known.get, own, itertools.repeat(-1)), np.int64, len(own))
-                    rest = Counter([own[k] for k in np.flatnonzero(at < 0)])
-                    rows["n_tokens"].append(len(own) + 1)
-                    rows["n_known"].append(len(own) - sum(rest.values()) + end_known)
-                    rows["base"].append(float(base[at].sum()) + end_score)
-                    rows["score"].append(float(flat[cells(classes[at])].sum(dtype=np.float64) + within[at].sum()))
-                    rows["rest"].append(list(rest))
-                    rows["times"].append(list(rest.values()))
-                yield pa.RecordBatch.from_arrays([part["row"], part["doc_id"], *(pa.array(rows[k], kinds[k]) for k in kinds)], ["row", "doc_id", *kinds])
-
-    id_kind = narrow.schema["doc_id"].dataType.simpleString()
-    judged = numbered.select("row", "doc_id", "text").mapInArrow(judge, f"row long, doc_id {id_kind}, n_tokens long, n_known long, base double, score double, rest array<binary>, times array<int>")
-    # The first of a document's rows carries what is known; one without other words gets a key that no word can have.
-    entries = F.when(F.size("rest") > 0, F.arrays_zip("rest", "times")).otherwise(F.array(F.struct(F.concat(F.lit(b" "), F.col("row").cast("string").cast("binary")).alias("rest"), F.lit(0).alias("times"))))
-    spread = judged.select("row", "doc_id", "n_tokens", "n_known", "base", "score", F.posexplode(entries).alias("k", "entry"))
-    first = F.col("k") == 0
-    tail = spread.select("row", *[F.when(first, F.col(x)).alias(x) for x in ("doc_id", "n_tokens", "n_known", "base", "score")], F.col("entry.rest").alias("word"), F.col("entry.times").alias("times"))
-    met = tail.join(counts.where(F.col("c") < least).select("word", "c"), "word", "left").withColumn("gain", F.lit(0.0))
-    met = met.unionByName(pairs.gains(shares).withColumn("times", F.lit(0)), allowMissingColumns=True)
-    seen, times = F.coalesce("c", F.lit(0)), F.col("times")
-    rate = F.element_at(F.array(*[F.lit(float(x)) for x in log_rate]), _bucket(seen) + 1)
-    summed = met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), (F.max("n_known") + F.sum(F.when(seen > 0, times).otherwise(0))).alias("n_known"),
-        (F.max("base") + F.sum(times * (F.log10(seen + 0.5) - F.lit(below)))).alias("base_score"),
-        (F.max("score") + F.sum(times * F.when(seen > 0, F.log10(seen) + rate).otherwise(F.lit(log_unseen))) + F.sum("gain")).alias("score"),
-    )
-    return summed.select("doc_id", (fold_of(F.col("doc_id"), folds) == fold).alias("held_out"), "n_tokens", "n_known", F.lit(int(n_all)).cast("long").alias("train_tokens"), "base_score", "score")
+    spark, doc_id = docs.sparkSession, F.col("doc_id")
+    part = F.when(fold_of(doc_id, folds) == fold, OTHER).otherwise((F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0).cast("int"))
+    blocks = _blocks(docs.select("doc_id", "text"), part)
+    parts = max(by_task(docs), -(-(blocks.agg(F.sum("bytes")).first()[0] or 0) // SHARE))
+    answers = _answers(blocks, parts)
+    texts = {r["part"]: r["n"] for r in blocks.groupBy("part").agg(F.sum(F.size("doc_ids")).alias("n")).collect()}
+    v, n, early_v, early_n = (x or 0 for x in answers.where("block is null").agg(*map(F.sum, TOTALS)).first())
+    answers = answers.where("block is not null")
+    n_texts, early_texts = texts.get(ESTIMATE, 0) + texts.get(HELD, 0), texts.get(ESTIMATE, 0)
+    if texts.get(HELD) and early_n:
+        first, shares = _learn(blocks, answers, (early_n, early_v), early_texts)
+    else:  # nothing to learn weights from
+        first, shares = (0.4, 0.4, 0.2) if n else (0.0, 0.0, 1.0), [np.append(0.0, np.full(BUCKETS - 1, 0.5))] * 2
+    below = float(np.log10(n + 0.5 * (v + 1)))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    met = blocks.select("block", "doc_ids", "texts").groupBy("block").cogroup(answers.select("block", "home", "c").groupBy("block"))
+
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        counts, lengths = _counts(left["texts"][0].as_py(), right, "c")
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        logs = np.log10(mixed(counts, _contexts(counts, lengths, n_texts), (n, v), first, shares))
+        sums = [np.bincount(row, x, len(lengths)) for x in ((counts[0] > 0).astype(float), np.log10(counts[0] + 0.5) - below, logs)]
+        ids = left["doc_ids"].combine_chunks().flatten()
+        return pa.table([ids, pa.array(lengths), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    out = met.applyInArrow(judge, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", (fold_of(doc_id, folds) == fold).alias("held_out"), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
