@@ -18,7 +18,9 @@ up its n-grams over all blocks and answers each block with the counts in the blo
 answers (a co-group by block) and score their documents. Tables of n-grams are never in one task or on the driver; the
 driver sees histograms of at most `BUCKETS` x 2 `LEVELS` cells and some totals.
 
-Keys of n-grams are 62-bit hashes and two bits for the order: two of n words share one with a chance of some n * n / 2**63.
+Keys are hashes. Those of words have 62 bits: among n distinct words two share one with a chance of some n * n / 2**63. Those of
+pairs and triples have `SPARE` bits more than the binary logarithm of the corpus' bytes, 62 at most, so whatever the size
+fewer than one in 2**`SPARE` of them is counted together with another one.
 """
 
 from __future__ import annotations
@@ -38,7 +40,8 @@ from tessera.llm.common import by_task, fold_of, new_folder
 #: Bytes of text in a block, unless one document has more.
 BLOCK = 4 << 20
 #: Bytes of text whose n-grams one partition adds up, about.
-SHARE = 16 << 20
+SHARE = 8 << 20
+SPARE = 20
 BUCKETS = 40
 #: Sixteenths of a power of two that are kept apart on each side when an estimate is held against the lower order's.
 LEVELS = 1024
@@ -54,33 +57,31 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _mixed(x: np.ndarray, order: int) -> np.ndarray:
-    """Keys spread over 64 bits, the lowest two of which are the order."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Keys spread over all 64 bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(31))) & ~np.uint64(3)) | np.uint64(order)
+    return x ^ (x >> np.uint64(31))
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the n-grams that end at each token, a row for each order; and how many tokens each text has."""
+def grams(texts: list[bytes], bits: int = 62) -> tuple[list[np.ndarray], np.ndarray]:
+    """Keys of the n-grams that end at each token, an array for each order; and how many tokens each text has."""
     digest, parts, lengths = xxhash.xxh64_intdigest, [], np.empty(len(texts), np.int64)
     for k, text in enumerate(texts):
-        own = words(text)
+        own = text.lower().split()
         lengths[k] = len(own) + 1
         parts += [np.fromiter(map(digest, own), np.uint64, len(own)), END[None]]
-    if not parts:
-        return np.empty((3, 0), np.uint64), lengths
-    first = np.concatenate(parts)
+    first = np.concatenate([np.empty(0, np.uint64), *parts])
     starts = np.cumsum(lengths) - lengths
 
     def before(x: np.ndarray) -> np.ndarray:
-        out = np.concatenate([START[None], x[:-1]])
+        out = np.concatenate([START[None], x])[:-1]
         out[starts] = START
         return out
 
-    second = _mixed(before(first) * np.uint64(0xC2B2AE3D27D4EB4F) + first, 2)
-    third = _mixed(before(second) * np.uint64(0x165667B19E3779F9) + first, 3)
-    return np.stack([_mixed(first, 1), second, third]), lengths
+    second = _mixed(before(first) * np.uint64(0xC2B2AE3D27D4EB4F) + first)
+    third = _mixed(before(second) * np.uint64(0x165667B19E3779F9) + first)
+    return [_mixed(first) >> np.uint64(2), second >> np.uint64(64 - bits), third >> np.uint64(64 - bits)], lengths
 
 
 def _small(x: np.ndarray) -> bytes:
@@ -96,114 +97,133 @@ def _wide(data: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1).astype(np.uint64)
 
 
-def _homes(parts: int) -> np.ndarray:
-    """The least key of each partition but the first: keys are dealt out in their own order."""
-    return np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+def _homes(parts: int, bits: int) -> np.ndarray:
+    """The least key of each partition: keys are dealt out in their own order."""
+    return np.array([(k << bits) // parts for k in range(parts)], np.uint64)
 
 
 def _blocks(docs: DataFrame, part: Column) -> DataFrame:
-    """All documents in blocks of one part each, as a table in the shared folder: block, part, bytes, doc_ids, texts."""
+    """All documents in blocks of one part each, as a table in the shared folder: block, part, bytes, doc_ids, lengths, texts.
+
+    texts are the block's UTF-8 bytes one behind the other (null: none), compressed.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_rows: list[list[pa.RecordBatch]] = [[], [], []]
+        held: list[list[tuple[pa.Array, pa.Array]]] = [[], [], []]
         size, n, task = [0, 0, 0], 0, TaskContext.get().partitionId()
 
         def block(which: int) -> pa.RecordBatch:
             nonlocal n
-            rows = pa.Table.from_batches(open_rows[which]).combine_chunks()
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows[c].chunk(0)) for c in ("doc_id", "text")]
-            out = pa.RecordBatch.from_arrays([pa.array([(task << 32) + n], pa.int64()), pa.array([which], pa.int32()), pa.array([size[which]], pa.int64()), *lists], ["block", "part", "bytes", "doc_ids", "texts"])
-            n, open_rows[which], size[which] = n + 1, [], 0
+            ids, texts = (pa.concat_arrays([x[k] for x in held[which]]) for k in (0, 1))
+            data = texts.to_pylist()
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, pa.array(list(map(len, data)), pa.int64()))]
+            packed = pa.compress(b"".join(data), codec="zstd", asbytes=True)
+            out = pa.RecordBatch.from_arrays([pa.array([(task << 32) + n], pa.int64()), pa.array([which], pa.int32()), pa.array([size[which]], pa.int64()), *lists, pa.array([packed], pa.binary())], ["block", "part", "bytes", "doc_ids", "lengths", "texts"])
+            n, held[which], size[which] = n + 1, [], 0
             return out
 
         for batch in batches:
             for which in (ESTIMATE, HELD, OTHER):
-                rows = batch.filter(pc.equal(batch["part"], which)).select(["doc_id", "text"])
-                ends = np.cumsum(np.append(0, pc.fill_null(pc.binary_length(rows["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
+                rows = batch.filter(pc.equal(batch["part"], which))
+                texts = pc.fill_null(rows["text"].cast(pa.binary()), b"")
+                ends = np.cumsum(np.append(0, pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)))
                 at = 0
-                while at < rows.num_rows:
+                while at < len(texts):
                     upto = int(np.searchsorted(ends, ends[at] + BLOCK - size[which], side="right")) - 1
-                    upto = min(max(upto, at if open_rows[which] else at + 1), rows.num_rows)
+                    upto = min(max(upto, at if held[which] else at + 1), len(texts))
                     if upto > at:
-                        open_rows[which].append(rows.slice(at, upto - at))
+                        held[which].append((rows["doc_id"].slice(at, upto - at), texts.slice(at, upto - at)))
                         size[which] += int(ends[upto] - ends[at])
-                    if upto < rows.num_rows:
+                    if upto < len(texts):
                         yield block(which)
                     at = upto
         for which in (ESTIMATE, HELD, OTHER):
-            if open_rows[which]:
+            if held[which]:
                 yield block(which)
 
-    place, schema = new_folder(docs.sparkSession, "lm-blocks"), f"block long, part int, bytes long, doc_ids array<{kind}>, texts array<string>"
+    place, schema = new_folder(docs.sparkSession, "lm-blocks"), f"block long, part int, bytes long, doc_ids array<{kind}>, lengths array<long>, texts binary"
     docs.select(part.alias("part"), "doc_id", "text").mapInArrow(deal, schema).write.option("parquet.block.size", 4 * BLOCK).parquet(place)
     return docs.sparkSession.read.schema(schema).parquet(place)
 
 
-def _answers(blocks: DataFrame, parts: int) -> DataFrame:
+def _texts(size: int, lengths: list[int], packed: bytes) -> list[bytes]:
+    data, out, at = pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True), [], 0
+    for n in lengths:
+        out.append(data[at : at + n])
+        at += n
+    return out
+
+
+def _answers(blocks: DataFrame, parts: int, bits: int) -> DataFrame:
     """Counts of every block's n-grams over all training documents, as a table in the shared folder.
 
-    Rows: block, home (a partition), c (counts of the block's distinct keys that live there, ascending by key) and n (for blocks of
-    the held-out part: counts without that part). Rows without a block have in types and tokens how many words live there, of
-    both parts and, in early_types and early_tokens, of the first.
+    Rows: block, order, home (a partition), c (counts of the block's distinct keys that live there, ascending by key) and n (for
+    blocks of the held-out part: counts without that part). Rows without a block have in types and tokens how many words
+    live there, of both parts and, in early_types and early_tokens, of the first.
     """
-    homes = _homes(parts)
+    homes = [_homes(parts, 62), *[_homes(parts, bits)] * 2]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, part, texts in zip(batch["block"].to_pylist(), batch["part"].to_pylist(), batch["texts"], strict=True):
-                found, _ = grams(texts.as_py())
-                keys = np.sort(found.reshape(-1))
-                first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
-                times, keys = np.diff(first, append=len(keys)), keys[first]
-                cuts = np.concatenate([[0], np.searchsorted(keys, homes), [len(keys)]])
-                at = np.flatnonzero(np.diff(cuts))
-                bodies = [(_small(np.diff(keys[cuts[k] : cuts[k + 1]], prepend=np.uint64(0))), _small(times[cuts[k] : cuts[k + 1]])) for k in at]
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([block] * len(at), pa.int64()), pa.array([part] * len(at), pa.int32()), *(pa.array([b[k] for b in bodies], pa.binary()) for k in (0, 1))], ["home", "block", "part", "keys", "times"])
+            for block, part, size, lengths, texts in zip(*(batch[k].to_pylist() for k in ("block", "part", "bytes", "lengths", "texts")), strict=True):
+                found, _ = grams(_texts(size, lengths, texts), bits)
+                for order in range(3):
+                    keys = np.sort(found[order])
+                    found[order] = None
+                    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+                    times, keys = np.diff(first, append=len(keys)), keys[first]
+                    cuts = np.append(np.searchsorted(keys, homes[order]), len(keys))
+                    at = np.flatnonzero(np.diff(cuts))
+                    bodies = [(_small(np.diff(keys[cuts[k] : cuts[k + 1]], prepend=homes[order][k])), _small(times[cuts[k] : cuts[k + 1]])) for k in at]
+                    own = [pa.array([x] * len(at), t) for x, t in ((order, pa.int32()), (block, pa.int64()), (part, pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *own, *(pa.array([b[k] for b in bodies], pa.binary()) for k in (0, 1))], ["home", "order", "block", "part", "keys", "times"])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = [b for b in batches if b.num_rows]
-        if not sent:
-            return
-        rows = pa.Table.from_batches(sent)
-        home, block, part = (rows[c].to_numpy() for c in ("home", "block", "part"))
-        keys = [np.cumsum(_wide(k.as_py()), dtype=np.uint64) for k in rows["keys"]]
-        times = np.concatenate([_wide(t.as_py()) for t in rows["times"]]).astype(np.int64)
-        del rows, sent
-        lengths = np.array([len(k) for k in keys])
-        distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
-        del keys
-        whose = np.repeat(part, lengths)
-        n = np.bincount(of, times * (whose == ESTIMATE), len(distinct)).astype(np.int64)
-        c = n + np.bincount(of, times * (whose == HELD), len(distinct)).astype(np.int64)
-        word = (distinct & np.uint64(3)) == 1
-        sums = ((c[word] > 0).sum(), c[word].sum(), (n[word] > 0).sum(), n[word].sum())
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array(home[:1], pa.int32()), *[pa.array([None], pa.binary())] * 2, *(pa.array([int(x)], pa.int64()) for x in sums)], names)
-        ends = np.cumsum(lengths)
-        for a in range(0, len(block), 256):
-            at = range(a, min(a + 256, len(block)))
-            own = [of[ends[k] - lengths[k] : ends[k]] for k in at]
-            early = [_small(n[x]) if part[k] == HELD else None for k, x in zip(at, own, strict=True)]
-            none = pa.array([None] * len(at), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(block[at], pa.int64()), pa.array(home[at], pa.int32()), pa.array([_small(c[x]) for x in own], pa.binary()), pa.array(early, pa.binary()), *[none] * 4], names)
-
-    names = ["block", "home", "c", "n", *TOTALS]
-    place, schema = new_folder(blocks.sparkSession, "lm-counts"), "block long, home int, c binary, n binary, " + ", ".join(f"{x} long" for x in TOTALS)
-    sent = blocks.select("block", "part", "texts").mapInArrow(send, "home int, block long, part int, keys binary, times binary")
+        for order in range(3):
+            rows = pa.Table.from_batches([b.filter(pc.equal(b["order"], order)) for b in sent]) if sent else None
+            if rows is None or not rows.num_rows:
+                continue
+            home, block, part = (rows[c].to_numpy() for c in ("home", "block", "part"))
+            keys = [np.cumsum(_wide(k.as_py()), dtype=np.uint64) + homes[order][h] for k, h in zip(rows["keys"], home, strict=True)]
+            times = np.concatenate([_wide(t.as_py()) for t in rows["times"]]).astype(np.int64)
+            lengths = np.array([len(k) for k in keys])
+            distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
+            del keys
+            whose = np.repeat(part, lengths)
+            n = np.bincount(of, times * (whose == ESTIMATE), len(distinct)).astype(np.int64)
+            c = n + np.bincount(of, times * (whose == HELD), len(distinct)).astype(np.int64)
+            if order == 0:
+                sums = ((c > 0).sum(), c.sum(), (n > 0).sum(), n.sum())
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), *[pa.array([None], pa.int32())] * 2, *[pa.array([None], pa.binary())] * 2, *(pa.array([int(x)], pa.int64()) for x in sums)], names)
+            ends = np.cumsum(lengths)
+            for a in range(0, len(block), 256):
+                at = range(a, min(a + 256, len(block)))
+                own = [of[ends[k] - lengths[k] : ends[k]] for k in at]
+                early = [_small(n[x]) if part[k] == HELD else None for k, x in zip(at, own, strict=True)]
+                none = pa.array([None] * len(at), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(block[at], pa.int64()), pa.array([order] * len(at), pa.int32()), pa.array(home[at], pa.int32()), pa.array([_small(c[x]) for x in own], pa.binary()), pa.array(early, pa.binary()), *[none] * 4], names)
+
+    names = ["block", "order", "home", "c", "n", *TOTALS]
+    place, schema = new_folder(blocks.sparkSession, "lm-counts"), "block long, order int, home int, c binary, n binary, " + ", ".join(f"{x} long" for x in TOTALS)
+    sent = blocks.drop("doc_ids").mapInArrow(send, "home int, order int, block long, part int, keys binary, times binary")
     sent.repartitionById(parts, F.col("home")).mapInArrow(add_up, schema).write.option("parquet.block.size", 4 * BLOCK).parquet(place)
     return blocks.sparkSession.read.schema(schema).parquet(place)
 
 
-def _counts(texts: list[str | None], answers: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+def _counts(block: pa.Table, answers: pa.Table, column: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts of the n-grams that end at each token of a block, a row for each order; and the texts' lengths."""
-    found, lengths = grams(texts)
-    order = np.argsort(answers["home"].to_numpy())
-    packed = answers[column].take(pa.array(order))
-    distinct, of = np.unique(found.reshape(-1), return_inverse=True)
-    counts = np.concatenate([_wide(x.as_py()) for x in packed]).astype(np.int64)
-    if len(counts) != len(distinct):
-        raise ValueError("a block and its counts do not belong together")
-    return counts[of].reshape(3, -1), lengths
+    found, lengths = grams(_texts(*(block[k][0].as_py() for k in ("bytes", "lengths", "texts"))), bits)
+    by, home, out = answers["order"].to_numpy(), answers["home"].to_numpy(), []
+    for order in range(3):
+        mine = np.flatnonzero(by == order)
+        counts = np.concatenate([_wide(answers[column][int(k)].as_py()) for k in mine[np.argsort(home[mine])]]).astype(np.int64)
+        distinct, of = np.unique(found[order], return_inverse=True)
+        if len(counts) != len(distinct):
+            raise ValueError("a block and its counts do not belong together")
+        out.append(counts[of])
+    return np.stack(out), lengths
 
 
 def _contexts(counts: np.ndarray, lengths: np.ndarray, n_texts: int) -> np.ndarray:
@@ -249,13 +269,13 @@ def em(hits: np.ndarray, rounds: int = 200) -> np.ndarray:
     return shares
 
 
-def _learn(blocks: DataFrame, answers: DataFrame, totals: tuple[int, int], n_texts: int) -> tuple[tuple[float, float, float], list[np.ndarray]]:
+def _learn(blocks: DataFrame, answers: DataFrame, bits: int, totals: tuple[int, int], n_texts: int) -> tuple[tuple[float, float, float], list[np.ndarray]]:
     """Weights from the held-out part's tokens: of words, uniform and unknown word, and by bucket of order two and three."""
 
     def tokens(left: pa.Table, right: pa.Table) -> pa.Table:
         out = np.empty((0, 6), np.int64)
         if left.num_rows and right.num_rows:
-            counts, lengths = _counts(left["texts"][0].as_py(), right, "n")
+            counts, lengths = _counts(left, right, "n", bits)
             rows = np.concatenate([counts, _contexts(counts, lengths, n_texts)]).T
             rows, times = np.unique(rows, axis=0, return_counts=True)
             out = np.column_stack([rows, times])
@@ -263,7 +283,7 @@ def _learn(blocks: DataFrame, answers: DataFrame, totals: tuple[int, int], n_tex
 
     names = ["n1", "n2", "n3", "m2", "m3", "times"]
     schema, place = ", ".join(f"{x} long" for x in names), new_folder(blocks.sparkSession, "lm-held-out")
-    met = blocks.where(F.col("part") == HELD).select("block", "texts").groupBy("block").cogroup(answers.where("n is not null").select("block", "home", "n").groupBy("block"))
+    met = blocks.where(F.col("part") == HELD).drop("doc_ids").groupBy("block").cogroup(answers.where("n is not null").select("block", "order", "home", "n").groupBy("block"))
     met.applyInArrow(tokens, schema).write.parquet(place)
     held = blocks.sparkSession.read.schema(schema).parquet(place)
 
@@ -314,22 +334,23 @@ def scored(docs: DataFrame, fold: int = 1, folds: int = 5) -> DataFrame:
     spark, doc_id = docs.sparkSession, F.col("doc_id")
     part = F.when(fold_of(doc_id, folds) == fold, OTHER).otherwise((F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0).cast("int"))
     blocks = _blocks(docs.select("doc_id", "text"), part)
-    parts = max(by_task(docs), -(-(blocks.agg(F.sum("bytes")).first()[0] or 0) // SHARE))
-    answers = _answers(blocks, parts)
+    size = blocks.agg(F.sum("bytes") + F.sum(F.size("doc_ids"))).first()[0] or 0
+    bits = min(62, size.bit_length() + SPARE)
+    answers = _answers(blocks, max(by_task(docs), -(-size // SHARE)), bits)
     texts = {r["part"]: r["n"] for r in blocks.groupBy("part").agg(F.sum(F.size("doc_ids")).alias("n")).collect()}
     v, n, early_v, early_n = (x or 0 for x in answers.where("block is null").agg(*map(F.sum, TOTALS)).first())
     answers = answers.where("block is not null")
     n_texts, early_texts = texts.get(ESTIMATE, 0) + texts.get(HELD, 0), texts.get(ESTIMATE, 0)
     if texts.get(HELD) and early_n:
-        first, shares = _learn(blocks, answers, (early_n, early_v), early_texts)
+        first, shares = _learn(blocks, answers, bits, (early_n, early_v), early_texts)
     else:  # nothing to learn weights from
         first, shares = (0.4, 0.4, 0.2) if n else (0.0, 0.0, 1.0), [np.append(0.0, np.full(BUCKETS - 1, 0.5))] * 2
     below = float(np.log10(n + 0.5 * (v + 1)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    met = blocks.select("block", "doc_ids", "texts").groupBy("block").cogroup(answers.select("block", "home", "c").groupBy("block"))
+    met = blocks.groupBy("block").cogroup(answers.select("block", "order", "home", "c").groupBy("block"))
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
-        counts, lengths = _counts(left["texts"][0].as_py(), right, "c")
+        counts, lengths = _counts(left, right, "c", bits)
         row = np.repeat(np.arange(len(lengths)), lengths)
         logs = np.log10(mixed(counts, _contexts(counts, lengths, n_texts), (n, v), first, shares))
         sums = [np.bincount(row, x, len(lengths)) for x in ((counts[0] > 0).astype(float), np.log10(counts[0] + 0.5) - below, logs)]
