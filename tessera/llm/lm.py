@@ -85,15 +85,17 @@ def grams(texts: list[bytes], bits: int = 62) -> tuple[list[np.ndarray], np.ndar
 
 
 def _small(x: np.ndarray) -> bytes:
-    """Unsigned numbers in as few bytes each as the largest needs; the first byte says how many."""
+    """Unsigned numbers, compressed: in as few bytes each as the largest needs, all lowest bytes first and all highest ones last."""
     width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    return bytes([width]) + len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _wide(data: bytes) -> np.ndarray:
     """The numbers of `_small`."""
-    out = np.zeros(((len(data) - 1) // data[0], 8), np.uint8)
-    out[:, : data[0]] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(data[9:], decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
     return out.view("<u8").reshape(-1).astype(np.uint64)
 
 
