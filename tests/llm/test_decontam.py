@@ -67,10 +67,65 @@ def test_parts_of_items(spark, edge_docs):
     assert (found.doc_id, found.first_word, found.behind_word) == (1, 60, 80) and abs(found.score - 0.5) < 1e-9
 
 
-def test_blocks_and_empty_tables(spark, edge_docs, no_docs, monkeypatch):
+def test_large_benchmarks_and_empty_tables(spark, edge_docs, no_docs, monkeypatch):
     docs, bench, held = _case(spark, edge_docs)
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(decontam, "KNOWN", 20)  # nothing goes to all tasks: words and n-grams are shuffled
     assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()} == held
     assert decontam.leaks(no_docs, bench).count() == 0
     assert decontam.leaks(docs, bench.limit(0)).count() == 0
     assert decontam.without_leaks(docs, bench.limit(0)).count() == docs.count()
+
+
+def _edited(rng, text, share):
+    out = []
+    for w in text.split():
+        kind = rng.random()
+        if kind >= share:
+            out.append(w)
+        elif kind < share / 2:
+            out.append(_prose(rng, 1))
+        elif kind < 3 * share / 4:
+            out += [w, _prose(rng, 1)]
+    return " ".join(out)
+
+
+def test_recall_of_edited_copies(spark, edge_docs):
+    """Words replaced, put in or taken out at these rates; documents without copies stay."""
+    rng = random.Random(8)
+    items = [_prose(rng, rng.randint(20, 60)) for _ in range(60)]
+    rows, planted = [(k, f"{_prose(rng, 150)}") for k in range(300)], {}
+    for share in (0.05, 0.1, 0.2, 0.3):
+        planted[share] = set()
+        for k, item in enumerate(items):
+            rows.append((len(rows), f"{_prose(rng, 60)} {_edited(rng, item, share)} {_prose(rng, 60)}"))
+            planted[share].add((len(rows) - 1, k))
+    docs = spark.createDataFrame([(i, t, 0.0, 0, "") for i, t in rows], edge_docs.schema)
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, spark.createDataFrame([(k, t, 0) for k, t in enumerate(items)], BENCH)).collect()}
+    recall = {share: len(got & some) / len(some) for share, some in planted.items()}
+    assert min(recall[s] for s in (0.05, 0.1, 0.2)) == 1 and recall[0.3] >= 0.9, recall
+    assert not got - set().union(*planted.values())
+
+
+def test_against_brute_force(spark, edge_docs):
+    """Every document aligned with every item: the same pairs and scores where a seed stands."""
+    docs, bench, _ = _case(spark, edge_docs)
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.leaks(docs, bench).collect()}
+    want = {}
+    for d in docs.collect():
+        for b in bench.collect():
+            t, item = decontam.hashed(d.text)[:3000], decontam.hashed(b.text)
+            if len(t) and len(item):
+                share = brute_align(item.tolist(), t.tolist()) / (2 * len(item)) if len(t) < 400 else 0
+                if share >= max(0.4, min(0.7, 8 / len(item))):
+                    want[d.doc_id, b.item_id] = share
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_ids_stay_exact_and_names_may_clash(spark):
+    rng = random.Random(9)
+    item, ids = _prose(rng, 30), [(1 << 60) + 1, (1 << 60) + 3, None]
+    docs = spark.createDataFrame([(i, item, 1) for i in ids] + [(5, "clean text", 1)], "doc_id long, text string, _held int").coalesce(1)
+    bench = spark.createDataFrame([((1 << 61) + 1, item)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()} == {(i, (1 << 61) + 1) for i in ids}
+    kept = decontam.without_leaks(docs, bench)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [5]
