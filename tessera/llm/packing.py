@@ -3,8 +3,9 @@
 Each partition packs its pieces by best-fit decreasing and certifies its number of bins with dual-feasible-function
 lower bounds. A partition whose count exceeds its bound has a gap: it gives up all bins that are not full. One whose
 count meets the bound gives up only its emptiest bin, since the bounds of partitions add up to more than the bound of
-the whole. What is given up is dealt out anew over fewer partitions and packed again, until one partition holds all of
-it or the whole count meets the bound of the whole. A partition holds at most some `PER_PARTITION` narrow rows.
+the whole. What is given up is dealt out anew and packed again, until one partition holds all of it, the whole count
+meets the bound of the whole, or a turn saves no sequence. A partition holds at most some `PER_PARTITION` narrow rows. Each
+row carries its certificate: the bins and the bound of the partition that placed it, and those of the whole.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,6 @@ from tessera.llm.tokens import default_vocabulary, encoded
 CAPACITY = 2048
 END_ID = 0
 PER_PARTITION = 100_000
-MOST_ROUNDS = 8
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,41 +91,48 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION) -> DataFrame:
-    """Put rows (column length, 1 to capacity) into sequences: adds sequence_id and offset, gapless from 0."""
+    """Put rows (column length, 1 to capacity) into sequences.
+
+    Adds sequence_id and offset, gapless from 0; partition_bins and partition_bound of the partition that placed the row;
+    n_sequences and least_sequences of the whole: how many there are, and how many any packing needs at least.
+    """
     names = rows.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     left = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
     bound = global_bound(left, capacity)
-    done, count, n = [], 0, left.count()
-    for turn in range(MOST_ROUNDS):
+    done, count, best, n, turn = [], 0, None, left.count(), 0
+    while True:
         parts = max(1, -(-n // per_partition))
-        last = parts == 1 or turn == MOST_ROUNDS - 1
 
-        def fill(batches: Iterator[pd.DataFrame], turn: int = turn, last: bool = last) -> Iterator[pd.DataFrame]:
-            own = [b for b in batches if len(b)]
+        def fill(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
+            own = [b for b in batches if b.num_rows]
             if not own:
                 return
-            frame = pd.concat(own, ignore_index=True).sort_values("_row", ignore_index=True)
-            lengths = frame["length"].to_numpy(np.int64)
+            table = pa.Table.from_batches(own)
+            table = table.take(pc.sort_indices(table["_row"])).combine_chunks()
+            lengths = table["length"].to_numpy().astype(np.int64)
             bins, offsets, room = best_fit_decreasing(lengths, capacity)
-            gap = len(room) - lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-            open_bins = np.zeros(len(room), bool) if last else room > 0 if gap else (room > 0) & (np.arange(len(room)) == room.argmax())
-            frame["sequence_id"] = (turn << 56) + (TaskContext.get().partitionId() << 28) + bins
-            frame["offset"], frame["_open"] = offsets, open_bins[bins]
-            yield frame
+            least = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+            open_bins = room > 0 if len(room) > least else (room > 0) & (np.arange(len(room)) == room.argmax())
+            size, ids = len(lengths), (turn << 48) + (TaskContext.get().partitionId() << 24) + bins
+            for name, values in (("sequence_id", ids), ("offset", offsets), ("partition_bins", np.full(size, len(room))), ("partition_bound", np.full(size, least)), ("_open", open_bins[bins])):
+                table = table.append_column(name, pa.array(values))
+            yield from table.to_batches(max_chunksize=10_000)
 
         dealt = left.repartition(parts, F.xxhash64("_row", F.lit(turn))).select(*names, "_row")
-        filled = cut(dealt.mapInPandas(fill, f"{kinds}, _row long, sequence_id long, offset long, _open boolean"))
-        n, kept = filled.agg(F.count_if("_open"), F.count_if(~F.col("_open") & (F.col("offset") == 0))).first()
-        count += kept
-        done.append(filled.where("not _open").drop("_row", "_open"))
-        if not n or count >= bound and last:
+        filled = cut(dealt.mapInArrow(fill, f"{kinds}, _row long, sequence_id long, offset long, partition_bins long, partition_bound long, _open boolean"))
+        first = F.col("offset") == 0
+        n, opened, kept = filled.agg(F.count_if("_open"), F.count_if(F.col("_open") & first), F.count_if(~F.col("_open") & first)).first()
+        whole = count + kept + opened
+        last = parts == 1 or not n or whole <= bound or (best is not None and whole >= best)
+        done.append((filled if last else filled.where("not _open")).drop("_row", "_open"))
+        if last:
             break
-        left = filled.where("_open").select(*names, "_row")
+        left, count, best, turn = filled.where("_open").select(*names, "_row"), count + kept, whole, turn + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    return out.withColumns({"n_sequences": F.lit(whole).cast("long"), "least_sequences": F.lit(bound).cast("long")})
 
 
 def global_bound(rows: DataFrame, capacity: int = CAPACITY) -> int:
@@ -137,7 +144,7 @@ def global_bound(rows: DataFrame, capacity: int = CAPACITY) -> int:
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
-    """All documents packed: doc_id, piece, start, length, ids_crc32, sequence_id and offset for each piece.
+    """All documents packed: doc_id, piece, start, length, ids_crc32, sequence_id, offset and certificates for each piece.
 
     A null text is an empty one and takes one place, that of the end id. Rows that repeat a doc_id are packed each.
     An empty table gives no rows. Other columns are not read.

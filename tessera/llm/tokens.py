@@ -3,7 +3,7 @@
 A byte-level BPE with the usual word pattern never merges across a single space that stands before another
 character, so a text without doubled spaces can be cut there and each piece encoded by itself: the ids are those of
 the whole text. Natural text repeats its pieces, so most come from the cache. Texts with doubled spaces are encoded
-whole. Strings of special tokens in a text count as ordinary text.
+whole, and so are texts that hold the string of a token added to the vocabulary, which the library gives its own id.
 """
 
 from __future__ import annotations
@@ -68,14 +68,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.first = _Pieces(self.tokenizer, "")
         self.rest = _Pieces(self.tokenizer, " ", self.first)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if "  " in text:
+        if "  " in text or any(map(text.__contains__, self.added)):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         head, *tail = text.split(" ")
         return self.first[head] + b"".join(map(self.rest.__getitem__, tail))
