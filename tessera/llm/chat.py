@@ -16,7 +16,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,56 +92,68 @@ def digests(rendered: DataFrame) -> DataFrame:
     Rows are sorted within partitions and streamed: a conversation needs one pass in order, not memory.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        now, started = None, False
-        state: list = []
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
-        def closed() -> list:
-            return [now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]]
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+
+        def closed() -> tuple:
+            return (now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
+
+        def told(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+            kinds = (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
         for batch in batches:
-            done = []
-            for null, conv_id, formatted, a, b in zip(batch["conv_id"].isna(), batch["conv_id"], batch["formatted"], batch["loss_start"], batch["loss_end"], strict=True):
-                conv_id = None if null else int(conv_id)
-                if not started or conv_id != now:
-                    if started:
+            done, kind = [], batch.schema.field("conv_id").type
+            for conv_id, formatted, a, b in zip(*(batch[c].to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end")), strict=True):
+                if state is None or conv_id != now:
+                    if state is not None:
                         done.append(closed())
-                    now, started, state = conv_id, True, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    now, state = conv_id, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 for role, text in parse(formatted):
                     state[0] += 1
                     state[1].update(f"{role}\n{text}\n".encode())
-                if not pd.isna(a):
-                    loss = unescape(formatted[int(a) : int(b)])
+                if a is not None:
+                    loss = unescape(formatted[a:b])
                     state[2] += len(loss)
                     state[3].update(loss.encode())
                 state[4] += len(formatted)
             if done:
-                yield pd.DataFrame(done, columns=names).astype({"conv_id": "Int64"})
-        if started:
-            yield pd.DataFrame([closed()], columns=names).astype({"conv_id": "Int64"})
+                yield told(done, kind)
+        if state is not None:
+            yield told([closed()], kind)
 
+    id_kind = rendered.schema["conv_id"].dataType.simpleString()
     ordered = rendered.repartition(by_task(rendered), "conv_id").sortWithinPartitions("conv_id", "seq").select("conv_id", "formatted", "loss_start", "loss_end")
-    return ordered.mapInPandas(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(read, f"conv_id {id_kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def events_of(turns: DataFrame) -> DataFrame:
-    """Stored turns (conv_id, turn, role, text) as the event log that would have made them: a start, then deltas.
+    """Stored turns (conv_id, turn, role, text) as an event log that would have made them.
 
+    A message starts and streams its text in deltas. By a hash of its id, a quarter of all messages streamed a draft first and
+    were generated again, a quarter were edited after a draft, and a quarter stand beside a message that was deleted.
     Turns order by turn (nulls first), then role and a digest of the text; rows that repeat are turns of their own.
     """
-    copies = turns.groupBy(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.coalesce("text", F.lit("")).alias("text")).count()
+    copies = turns.groupBy("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text")).count()
     one = copies.select("conv_id", "turn", "role", "text", F.sha1("text").alias("tie"), F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("copy"))
-    cuts = F.transform(F.sequence(F.lit(0), F.ceil(F.length("text") / DELTA).cast("int") - 1), lambda k: F.substr("text", k * DELTA + 1, F.lit(DELTA)))
-    deltas = F.when(F.length("text") > 0, F.concat(F.array(F.lit("")), cuts)).otherwise(F.array(F.lit("")))
-    named = F.sha1(F.to_json(F.struct("turn", "role", "tie", "copy"))).alias("message_id")
-    logged = one.select("conv_id", "turn", "role", "tie", "copy", named, F.posexplode(deltas).alias("k", "text"))
-    return logged.select(
-        "conv_id", "message_id", F.struct("turn", "role", "tie", "copy", "k").alias("seq"),
-        F.when(F.col("k") == 0, "start").otherwise("delta").alias("kind"), "role", "text",
-    )
+    named = one.withColumn("message_id", F.sha1(F.to_json(F.struct("turn", "role", "tie", "copy"))))
+
+    def event(kind: str, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+
+    cuts = F.transform(F.sequence(F.lit(0), F.ceil(F.length("text") / DELTA).cast("int") - 1), lambda k: event("delta", F.substr("text", k * DELTA + 1, F.lit(DELTA))))
+    start, draft, nothing = event("start", F.lit("")), event("delta", F.concat(F.lit("draft "), F.substr("text", F.lit(1), F.lit(DELTA)))), F.array().cast("array<struct<kind: string, text: string>>")
+    fate = F.pmod(F.xxhash64("conv_id", "message_id"), F.lit(4))
+    before = F.when(fate == 1, F.array(start, draft, event("regenerate", F.lit("")))).when(fate == 2, F.array(start, draft, event("edit", F.lit("")))).otherwise(F.array(start))
+    own = F.struct(F.col("message_id"), F.concat(before, F.when(F.length("text") > 0, cuts).otherwise(nothing)).alias("log"))
+    gone = F.struct(F.concat(F.col("message_id"), F.lit("-gone")).alias("message_id"), F.array(start, draft, event("delete", F.lit(None).cast("string"))).alias("log"))
+    messages = named.select("conv_id", "turn", "role", "tie", "copy", F.explode(F.when(fate == 3, F.array(own, gone)).otherwise(F.array(own))).alias("m"))
+    logged = messages.select("conv_id", "turn", "role", "tie", "copy", F.col("m.message_id").alias("message_id"), F.posexplode("m.log").alias("k", "e"))
+    return logged.select("conv_id", "message_id", F.struct("turn", "role", "tie", "copy", "k").alias("seq"), F.col("e.kind").alias("kind"), "role", F.col("e.text").alias("text"))
 
 
 def formatted_conversations(turns: DataFrame) -> DataFrame:
-    """Stored turns as events, folded, rendered and read back. A null text is empty, a null role an empty name."""
+    """Stored turns as events, folded, rendered and read back. A null text is empty, a null role an empty name; conv_id has any type."""
     return digests(render(fold(events_of(turns))))

@@ -51,3 +51,17 @@ def test_fold_of_events(spark):
     assert got == [(1, "user", "hi!"), (1, "assistant", "good"), (2, "", "only")]
     whole = "".join(r.formatted for r in chat.render(chat.fold(events)).where("conv_id = 1").orderBy("seq").collect())
     assert chat.parse(whole) == [("user", "hi!"), ("assistant", "good")]
+
+
+def test_logs_hold_every_kind_of_event(spark):
+    c = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    kinds = {r.kind: r["count"] for r in chat.events_of(c).groupBy("kind").count().collect()}
+    assert min(kinds[k] for k in ("start", "delta", "edit", "regenerate", "delete")) > 10
+
+
+def test_ids_stay_exact_and_may_be_strings(spark):
+    ids = [(1 << 60) + 1, (1 << 60) + 3, None]
+    rows = [(i, 0, "user", "hello") for i in ids]
+    assert {r.conv_id for r in chat.formatted_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)).collect()} == set(ids)
+    rows = [(i, 0, "user", "hello") for i in ("a", "b", None)]
+    assert {r.conv_id for r in chat.formatted_conversations(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()} == {"a", "b", None}
