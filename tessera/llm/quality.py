@@ -142,7 +142,7 @@ def fit(rows: list[tuple[list[int], list[float], float]], rounds: int = 250) ->
 
 
 def learn(docs: DataFrame, bound: int = FITTED) -> Scorer:
-    """Votes of all documents, their posterior labels, and a scorer fitted on at most bound documents by id hash."""
+    """Votes of all documents, their posterior labels, and a scorer fitted on at most bound documents, the first by a hash of id and text."""
 
     @F.pandas_udf("string")
     def vote(texts: pd.Series) -> pd.Series:
@@ -151,15 +151,17 @@ def learn(docs: DataFrame, bound: int = FITTED) -> Scorer:
     found = [(r["p"], r["count"]) for r in docs.select(vote("text").alias("p")).groupBy("p").count().orderBy("p").collect()]
     clean, n = posteriors(found), sum(k for _, k in found)
     share = 1_000_000 if not n else min(1_000_000, int(1_000_000 * 1.05 * bound / n) + 1)
-    sample = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).limit(bound)
+    order = F.xxhash64("doc_id", "text")
+    sample = docs.select(order.alias("at"), "text").where(F.pmod("at", F.lit(1_000_000)) < share)
 
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             data = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"]]
             own = [features(d) for d in data]
-            yield pd.DataFrame({"places": [p for p, _ in own], "amounts": [v for _, v in own], "clean": [clean.get(votes(facts(d)), 0.5) for d in data]})
+            yield pd.DataFrame({"at": batch["at"], "places": [p for p, _ in own], "amounts": [v for _, v in own], "clean": [clean.get(votes(facts(d)), 0.5) for d in data]})
 
-    rows = sample.mapInPandas(described, "places array<int>, amounts array<float>, clean double").collect()
+    # Rows of one hash are copies of each other, so the first in this order are the same ones however the rows are dealt.
+    rows = sample.mapInPandas(described, "at long, places array<int>, amounts array<float>, clean double").orderBy("at").limit(bound).collect()
     return fit([(r["places"], r["amounts"], r["clean"]) for r in rows])
 
 

@@ -1,3 +1,5 @@
+import numpy as np
+
 from tessera.llm import quality
 
 PROSE = "The river ran past the old mill, and nobody spoke of it again. Later that year they came back. "
@@ -48,3 +50,36 @@ def test_held_out_accuracy_on_shared_table(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rows = quality.scored(docs).join(labels, "doc_id").select("keep", "quality").collect()
     assert sum(r.keep == (r.quality == 1) for r in rows) / len(rows) > 0.97
+
+
+def test_scores_do_not_depend_on_how_rows_are_dealt(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    one, other = ({r.doc_id: r.score for r in quality.scored(d).collect()} for d in (docs, docs.repartition(7)))
+    assert one == other
+    few, again = (quality.learn(d, 100) for d in (docs, docs.repartition(5, "text")))
+    assert np.array_equal(few.weights, again.weights)
+
+
+def test_posteriors_against_em_over_rows():
+    """The same model fitted row by row, without counts of patterns."""
+    rng = np.random.default_rng(4)
+    truth = rng.random(600) < 0.8
+    rows = []
+    for clean in truth:
+        own = ["+" if rng.random() < (0.8 if clean else 0.1) else "0", "-" if rng.random() < (0.05 if clean else 0.7) else "0", rng.choice(["+", "0", "-"], p=(0.5, 0.4, 0.1) if clean else (0.1, 0.4, 0.5))]
+        rows.append("".join(own))
+    counts = sorted({p: rows.count(p) for p in rows}.items())
+    got = quality.posteriors(counts)
+    belief = np.array([1 / (1 + np.exp(-(p.count("+") - 2 * p.count("-")))) for p in rows])
+    for _ in range(200):
+        chance = {}
+        for k, weight in (("clean", belief), ("junk", 1 - belief)):
+            for j in range(3):
+                for v in "0+-":
+                    chance[k, j, v] = (sum(w for w, p in zip(weight, rows) if p[j] == v) + 1) / (weight.sum() + 3)
+        share = belief.mean()
+        clean = np.array([share * np.prod([chance["clean", j, p[j]] for j in range(3)]) for p in rows])
+        junk = np.array([(1 - share) * np.prod([chance["junk", j, p[j]] for j in range(3)]) for p in rows])
+        belief = clean / (clean + junk)
+    assert max(abs(got[p] - b) for p, b in zip(rows, belief)) < 1e-6
+    assert np.mean([(got[p] > 0.5) == t for p, t in zip(rows, truth)]) > 0.9
