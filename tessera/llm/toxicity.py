@@ -2,8 +2,7 @@
 
 Learning takes at most `LABELLED` labelled documents (the bound of the fit). Tokens are a text's lower-cased runs of
 letters; a token's weight is its log-odds between toxic and other documents under a Dirichlet prior in proportion to the
-token's overall frequency, kept where it is at least `LEAST_Z` standard errors above zero, the `VOCABULARY` surest ones
-at most. Openings of four bytes are weighed alike and stand in for tokens that are not known. All other tokens cost
+token's overall frequency, kept where it is at least `LEAST_Z` standard errors above zero. Openings of four bytes are weighed alike and stand in for tokens that are not known. All other tokens cost
 `DRIFT`. A token's toxic documents count no further than the effective number of its neighbours there, so copies of one
 passage teach no words. A linear-time scan (Ruzzo and Tompa's) finds all maximal scoring segments of a text; a segment of score S in
 n tokens is as rare as K n exp(-lambda S) by extreme-value theory, lambda from the token scores of documents that are not
@@ -21,13 +20,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import fold_of
 
 LABELLED = 40_000
-VOCABULARY = 50_000
 LEAST_Z = 3.0
 DRIFT = 0.25
 MOST = 6.0
@@ -198,8 +196,8 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: int = 0, bound: int = LA
     prior_a, prior_b = PRIOR * a_all * (a + b) / (a_all + b_all), PRIOR * b_all * (a + b) / (a_all + b_all)
     odds = F.log((a + prior_a) / (a_all * (1 + PRIOR))) - F.log((b + prior_b) / (b_all * (1 + PRIOR)))
     error = F.sqrt(1 / (a + prior_a) + 1 / (b + prior_b))
-    weighed = counts.where("token <> X'' and toxic >= 3").join(_contexts(labelled), "token").select("token", "other", odds.alias("odds"), (odds / error).alias("z"))
-    best = weighed.where((F.col("z") >= LEAST_Z) & (F.col("odds") >= 1)).orderBy(F.desc("z"), "token").limit(VOCABULARY).collect()
+    weighed = counts.where("token <> X'' and toxic > 0").join(_contexts(labelled), "token").select("token", "other", odds.alias("odds"), (odds / error).alias("z"))
+    best = weighed.where((F.col("z") >= LEAST_Z) & (F.col("odds") >= 1)).orderBy(F.desc("z"), "token").collect()  # words of the labelled documents alone
     if not best:
         return Model({})
     weights = {bytes(r["token"]): min(MOST, r["odds"]) for r in best}
@@ -223,12 +221,10 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: int = 0, bound: int = LA
     return Model(weights, rate, fitted.scale, curve)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with toxicity (0 to 1) and passages (first token, behind last token, score of each significant segment)."""
-    columns = docs.columns
-    kind = "struct<toxicity: double, passages: array<struct<first: int, behind: int, score: double>>>"
+def judged(text: Column, model: Model) -> Column:
+    """A struct of toxicity (0 to 1) and passages (first token, behind last token, score of each significant segment)."""
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf("struct<toxicity: double, passages: array<struct<first: int, behind: int, score: double>>>")
     def judge(texts: pd.Series) -> pd.DataFrame:
         out, evidence = [], []
         for text in texts:
@@ -238,8 +234,14 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             evidence.append(model.evidence(n, [s for *_, s in segments]))
         return pd.DataFrame({"toxicity": model.probability(np.array(evidence, float)), "passages": out})
 
-    judged = docs.select(*[F.col(f"`{c}`") for c in columns], judge(F.col("text")).alias("_judged"))
-    return judged.select(*[F.col(f"`{c}`") for c in columns], F.col("_judged.toxicity").alias("toxicity"), F.col("_judged.passages").alias("passages"))
+    return judge(text)
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with the columns toxicity and passages, in place of columns of these names."""
+    names = [c for c in docs.columns if c not in ("toxicity", "passages")]
+    found = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("own"), judged(docs["text"], model).alias("judged"))
+    return found.select("own.*", "judged.*")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> DataFrame:
@@ -256,6 +258,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> Da
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that are not predicted toxic, with their columns."""
-    judged = scored(docs.withColumnRenamed("toxicity", "_toxicity").withColumnRenamed("passages", "_passages"), learn(docs.select("doc_id", "text"), labels))
-    kept = judged.where(F.col("toxicity") < 0.5).drop("toxicity", "passages")
-    return kept.toDF(*docs.columns)
+    model = learn(docs.select("doc_id", "text"), labels)
+    return docs.where(judged(docs["text"], model)["toxicity"] < 0.5)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -62,3 +63,39 @@ def test_held_out_accuracy_on_shared_table(spark):
     rows = toxicity.toxicity_scores(read("documents"), read("labels")).where("held_out").join(read("labels"), "doc_id").select("predicted", "toxic").collect()
     hit = sum(r.predicted == r.toxic == 1 for r in rows)
     assert hit / max(1, sum(r.toxic for r in rows)) > 0.8 and hit / max(1, sum(r.predicted for r in rows)) > 0.9
+
+
+def test_names_may_clash(spark, edge_docs):
+    docs, labels = _corpus(spark, edge_docs.schema)
+    odd = docs.selectExpr("doc_id", "text", "1 as _judged", "2 as toxicity", "3 as _toxicity", "4 as judged", "5 as own", "6 as passages")
+    kept = toxicity.without_toxic(odd, labels)
+    assert kept.columns == odd.columns and kept.count() == sum(1 for k in range(400) if k % 7)
+    assert {r.own for r in kept.collect()} == {5}
+    found = toxicity.scored(odd, toxicity.learn(docs, labels))
+    assert found.columns == ["doc_id", "text", "_judged", "_toxicity", "judged", "own", "toxicity", "passages"]
+
+
+def test_weights_against_brute_force(spark, edge_docs):
+    """The odds of each kept word from plain counts of the labelled documents."""
+    docs, labels = _corpus(spark, edge_docs.schema)
+    model = toxicity.learn(docs, labels)
+    import zlib
+
+    told = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 != 0}
+    rows = [(told[d.doc_id], toxicity.tokens(d.text)) for d in docs.collect() if d.doc_id in told]
+    a_all, b_all = (sum(len(set(t)) for y, t in rows if y == k) for k in (1, 0))
+    for word in (b"nastyword", b"uglyterm", b"vilething"):
+        a, b = (sum(word in t for y, t in rows if y == k) for k in (1, 0))
+        sides = []
+        for step in (-1, 1):
+            near = {}
+            for y, t in rows:
+                for k, w in enumerate(t):
+                    if y and w == word:
+                        n = t[k + step] if 0 <= k + step < len(t) else b""
+                        near[n] = near.get(n, 0) + 1
+            sides.append(sum(near.values()) ** 2 / sum(n * n for n in near.values()))
+        a = min(a, *sides)
+        prior = [toxicity.PRIOR * n * (a + b) / (a_all + b_all) for n in (a_all, b_all)]
+        odds = np.log((a + prior[0]) / (a_all * (1 + toxicity.PRIOR))) - np.log((b + prior[1]) / (b_all * (1 + toxicity.PRIOR)))
+        assert abs(model.weights[word] - min(toxicity.MOST, odds)) < 1e-9
