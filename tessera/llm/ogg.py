@@ -4,6 +4,7 @@
 so far) beside a second logical stream with one packet of facts, pages of both interleaved. `describe` reads such a
 column again: it verifies page checksums, reassembles packets (also over pages), takes the streams apart and derives
 timestamps from granule positions. Both are map-side only: nothing is shuffled and one row is in memory at a time.
+`media_features` keeps the column as a table in the shared folder between the two.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import new_folder
+
 RATE = 8000
 #: Samples in a packet.
 PACKET = 8192
@@ -49,11 +52,11 @@ def pages_of(serial: int, packets: list[bytes], granules: list[int]) -> list[byt
         whole = len(packet) // 255
         segments += [(packet[255 * k : 255 * k + 255], None) for k in range(whole)]
         segments.append((packet[255 * whole :], granule))
-    out = []
-    for number, at in enumerate(range(0, len(segments), 255)):
-        part = segments[at : at + 255]
+    out, head = [], len(packets[0]) // 255 + 1  # the first packet, the stream's header, has its pages for itself
+    for number, at in enumerate([*range(0, head, 255), *range(head, len(segments), 255)]):
+        part = segments[at : min(at + 255, head) if at < head else at + 255]
         ended = [g for _, g in part if g is not None]
-        flags = (at > 0 and segments[at - 1][1] is None) | (2 * (at == 0)) | (4 * (at + 255 >= len(segments)))
+        flags = (at > 0 and segments[at - 1][1] is None) | (2 * (at == 0)) | (4 * (at + len(part) >= len(segments)))
         out.append(_page(flags, ended[-1] if ended else -1, serial, number, bytes(len(s) for s, _ in part), b"".join(s for s, _ in part)))
     return out
 
@@ -195,5 +198,7 @@ def describe(media: DataFrame) -> DataFrame:
 
 
 def media_features(docs: DataFrame) -> DataFrame:
-    """Store every row's text as media, read the stored bytes back and describe them; rows keep their number."""
-    return describe(store(docs))
+    """Store every row's text as media in a table, read the stored bytes back and describe them; rows keep their number."""
+    place = new_folder(docs.sparkSession, "media")
+    store(docs).write.option("compression", "zstd").parquet(place)
+    return describe(docs.sparkSession.read.schema("doc_id long, media binary").parquet(place))

@@ -57,3 +57,16 @@ def test_columns(spark, edge_docs, no_docs):
     assert ogg.media_features(no_docs).count() == 0
     bad = spark.createDataFrame([(1, None), (2, bytearray(b"junk"))], "doc_id long, media binary")
     assert {r.feature for r in ogg.describe(bad).collect()} == {"unreadable"}
+
+
+def test_headers_have_pages_of_their_own():
+    media = ogg.encode(os.urandom(100_000))
+    places = [k for k in range(len(media) - 4) if media[k : k + 4] == b"OggS"]
+    serials = [int.from_bytes(media[k + 14 : k + 18], "little") for k in places]
+    assert serials[:3] == [ogg.SAMPLES, ogg.FACTS, ogg.SAMPLES] and media[places[0] + 5] == 2 and media[places[0] + 26] == 1
+    assert [media[k + 5] & 4 for k, s in zip(places, serials) if s == ogg.SAMPLES][-1] == 4
+
+
+def test_ids_stay_exact_beside_nulls(spark):
+    ids = [(1 << 60) + 1, (1 << 60) + 3, None]
+    assert {r.doc_id for r in ogg.media_features(spark.createDataFrame([(i, "a") for i in ids], "doc_id long, text string").coalesce(1)).collect()} == set(ids)
