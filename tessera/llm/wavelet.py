@@ -1,14 +1,16 @@
-"""Token ids on disk as wavelet matrices: succinct bit planes with rank and select, one compressed file a shard.
+"""Token ids on disk as wavelet matrices: succinct bit planes with rank and select, one matrix and one file a shard.
 
 `write_tokens` orders documents by doc_id, encodes each whole text, appends an end id and writes one file for each
 range of ids. A file is Parquet written by Spark's own committed writer (so it may be in any store Spark knows, and
-tasks of lost executors are run again); its rows are blocks of at most `BLOCK` ids or one longer document, each one
-self-contained `WaveletMatrix` with the documents' ids and lengths. `read_tokens` opens the blocks again.
-
-A block's bytes: the magic; n, planes and documents as little-endian 64-bit numbers; then sections, each its length
-(64 bits) and zstd-compressed bytes: the documents' ids (with a leading mark byte for each: 0 for null), their lengths
-and the planes from the highest bit. A plane holds one bit for each id, zeros of the plane before ones in the next
-plane's order. Rank directories (a count for each 64-bit word) are rebuilt on opening.
+tasks of lost executors are run again). A shard of up to `MATRIX` ids is one matrix, one row of its file; a larger one is
+several, so that no task holds more. `read_tokens` gives the documents back; `token_counts` and `occurrences` answer from
+the planes, without the ids.
+
+A matrix's bytes: the magic; n, planes and documents as little-endian 64-bit numbers; the documents' ids (with a leading mark
+byte for each: 0 for null) and lengths, each as its length (64 bits) and zstd-compressed bytes; then for each plane, from the
+highest bit, its 64-bit words and its rank directory (32 bits for each eight words: the ones before them). A plane holds one
+bit for each id, zeros of the plane before ones in the next plane's order. Planes are as they lie in memory, so that a look-up
+touches only the words it needs.
 """
 
 from __future__ import annotations
@@ -25,35 +27,61 @@ from pyspark.sql import functions as F
 from tessera.llm.common import by_task, new_folder
 from tessera.llm.tokens import default_vocabulary, encoded
 
-MAGIC = b"WAVELET1"
+MAGIC = b"WAVELET2"
 END_ID = 2
-#: Ids in a block, unless one document has more.
-BLOCK = 1 << 20
+#: Ids in a matrix, unless one document has more.
+MATRIX = 1 << 23
+_POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
 class WaveletMatrix:
     """A sequence of unsigned numbers as bit planes; access, rank, select, count and occurrences read planes only."""
 
-    def __init__(self, planes: list[np.ndarray], n: int):
-        self.n, self.words = n, [np.concatenate([p, np.zeros(-len(p) % 8 + 8, np.uint8)]).view("<u8") for p in planes]
-        self.ranks = [np.concatenate([[0], np.cumsum(np.bitwise_count(w), dtype=np.int64)]) for w in self.words]
-        self.zeros = [n - int(r[-1]) for r in self.ranks]
+    def __init__(self, planes: list[tuple[np.ndarray, np.ndarray]], n: int):
+        """planes: words and rank directory of each, as build gives them."""
+        self.n, self.words, self.before = n, [p[0] for p in planes], [p[1] for p in planes]
+        self.zeros = [n - int(d[-1]) for d in self.before]
 
     @staticmethod
-    def build(ids: np.ndarray) -> list[np.ndarray]:
-        """The planes of a sequence, packed with the lowest bit first; none for an empty sequence or only zeros."""
+    def build(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The planes of a sequence, lowest bit first in each word; none for an empty sequence or only zeros."""
         x, planes = np.ascontiguousarray(ids, np.uint32), []
         for level in reversed(range(int(x.max()).bit_length() if len(x) else 0)):
             bit = ((x >> np.uint32(level)) & np.uint32(1)).astype(bool)
-            planes.append(np.packbits(bit, bitorder="little"))
+            packed = np.packbits(bit, bitorder="little")
+            words = np.concatenate([packed, np.zeros(-len(packed) % 64, np.uint8)]).view("<u8")
+            planes.append((words, np.append(0, np.cumsum(np.bitwise_count(words).reshape(-1, 8).sum(1, dtype=np.int64))).astype("<u4")))
             x = np.concatenate([x[~bit], x[bit]])
         return planes
 
-    def _rank1(self, level: int, at):
+    def _rank1(self, level: int, at) -> np.ndarray:
+        """Ones before the positions: the directory, whole words behind its entry, and the bits of one word."""
         at = np.asarray(at, np.int64)
-        word, bit = at >> 6, (at & 63).astype(np.uint64)
-        below = self.words[level][word] & ((np.uint64(1) << bit) - np.uint64(1))
-        return self.ranks[level][word] + np.bitwise_count(below)
+        words, word = self.words[level], at >> 6
+        eight = at >> 9
+        out = self.before[level][eight].astype(np.int64)
+        last = len(words) - 1
+        for k in range(8):
+            one = (eight << 3) + k
+            kept = np.where(one < word, np.uint64(0xFFFFFFFFFFFFFFFF), np.where(one == word, (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1), np.uint64(0)))
+            out += np.bitwise_count(words[np.minimum(one, last)] & kept)
+        return out
+
+    def _select(self, level: int, bit: int, k: np.ndarray) -> np.ndarray:
+        """Positions of the k-th (from 0) bits of this kind: by the directory, then among eight words, then in one."""
+        before = self.before[level].astype(np.int64)
+        if not bit:
+            before = (np.arange(len(before), dtype=np.int64) << 9) - before
+        eight = np.searchsorted(before, k, side="right") - 1
+        left = k - before[eight]
+        words = self.words[level][(eight[:, None] << 3) + np.arange(8)]
+        words = words if bit else ~words
+        ends = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
+        one = (ends <= left[:, None]).sum(1)
+        row = np.arange(len(k))
+        left = left - np.where(one > 0, ends[row, one - 1], 0)
+        bits = np.cumsum((words[row, one][:, None] & _POWERS) != 0, axis=1)
+        return (eight << 9) + (one << 6) + (bits <= left[:, None]).sum(1)
 
     def access(self, at) -> np.ndarray:
         """The numbers at the given positions."""
@@ -82,7 +110,7 @@ class WaveletMatrix:
         if token < 0 or token >> len(self.words):
             return 0, 0
         for level in range(len(self.words)):
-            one_a, one_b = int(self._rank1(level, a)), int(self._rank1(level, b))
+            one_a, one_b = self._rank1(level, [a, b]).tolist()
             if (token >> (len(self.words) - 1 - level)) & 1:
                 a, b = self.zeros[level] + one_a, self.zeros[level] + one_b
             else:
@@ -98,61 +126,50 @@ class WaveletMatrix:
         a, b = self._range(token)
         return b - a
 
-    def _select_bit(self, level: int, bit: int, k: int) -> int:
-        """Position of the k-th (from 0) bit of this kind in a plane, by bisection over ranks."""
-        low, high = 0, self.n
-        while low < high:
-            mid = (low + high) // 2
-            ones = int(self._rank1(level, mid + 1))
-            if (ones if bit else mid + 1 - ones) > k:
-                high = mid
-            else:
-                low = mid + 1
-        return low
-
-    def select(self, token: int, k: int) -> int:
-        """Position of the k-th (from 0) occurrence of token; -1 if there are not so many."""
+    def select(self, token: int, k) -> np.ndarray:
+        """Positions of the k-th (from 0) occurrences of token; -1 where there are not so many."""
+        k = np.atleast_1d(np.asarray(k, np.int64))
         a, b = self._range(token)
-        if not 0 <= k < b - a:
-            return -1
-        at = a + k
+        there = (k >= 0) & (k < b - a)
+        at = a + k[there]
         for level in reversed(range(len(self.words))):
             bit = (token >> (len(self.words) - 1 - level)) & 1
-            at = self._select_bit(level, bit, at - self.zeros[level] if bit else at)
-        return at
+            at = self._select(level, bit, at - self.zeros[level] if bit else at)
+        out = np.full(len(k), -1, np.int64)
+        out[there] = at
+        return out
 
-    def occurrences(self, token: int) -> list[int]:
+    def occurrences(self, token: int) -> np.ndarray:
         """All positions of token in ascending order."""
-        return [self.select(token, k) for k in range(self.count(token))]
+        return self.select(token, np.arange(self.count(token)))
 
 
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """A block's bytes."""
-    import zstandard
-
+    """A matrix's bytes."""
     planes = WaveletMatrix.build(ids)
-    squeeze = zstandard.ZstdCompressor(level=1).compress
     marks = np.array([i is not None for i in doc_ids], np.uint8).tobytes() + np.array([i or 0 for i in doc_ids], "<i8").tobytes()
-    sections = [squeeze(x) for x in (marks, np.asarray(lengths, "<i8").tobytes(), *(p.tobytes() for p in planes))]
+    sections = [pa.compress(x, codec="zstd", asbytes=True) for x in (marks, np.asarray(lengths, "<i8").tobytes())]
     head = np.array([len(ids), len(planes), len(doc_ids)], "<i8").tobytes()
-    return MAGIC + head + b"".join(len(s).to_bytes(8, "little") + s for s in sections)
+    return b"".join([MAGIC, head, *(len(s).to_bytes(8, "little") + s for s in sections), *(x.tobytes() for p in planes for x in p)])
 
 
 def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    """The documents' ids, their lengths and the matrix of a block."""
-    import zstandard
-
+    """The documents' ids, their lengths and the matrix, whose planes are views of data."""
     if data[:8] != MAGIC:
-        raise ValueError("not a wavelet block")
+        raise ValueError("not a wavelet matrix")
     n, n_planes, n_docs = np.frombuffer(data, "<i8", 3, 8).tolist()
-    at, sections, expand = 32, [], zstandard.ZstdDecompressor().decompress
-    for _ in range(n_planes + 2):
-        size = int.from_bytes(data[at : at + 8], "little")
-        sections.append(expand(data[at + 8 : at + 8 + size]))
-        at += 8 + size
+    at, sections = 32, []
+    for size in (9 * n_docs, 8 * n_docs):
+        length = int.from_bytes(data[at : at + 8], "little")
+        sections.append(pa.decompress(data[at + 8 : at + 8 + length], decompressed_size=size, codec="zstd", asbytes=True))
+        at += 8 + length
     marks, values = np.frombuffer(sections[0], np.uint8, n_docs), np.frombuffer(sections[0], "<i8", n_docs, n_docs)
     doc_ids = [int(v) if m else None for m, v in zip(marks, values, strict=True)]
-    return doc_ids, np.frombuffer(sections[1], "<i8"), WaveletMatrix([np.frombuffer(s, np.uint8) for s in sections[2:]], n)
+    planes, eights = [], -(-n // 512)
+    for _ in range(n_planes):
+        planes.append((np.frombuffer(data, "<u8", 8 * eights, at), np.frombuffer(data, "<u4", eights + 1, at + 64 * eights)))
+        at += 64 * eights + 4 * (eights + 1)
+    return doc_ids, np.frombuffer(sections[1], "<i8"), WaveletMatrix(planes, n)
 
 
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = END_ID, shards: int | None = None) -> None:
@@ -172,7 +189,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
 
         for batch in batches:
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoded((t.as_py() for t in batch["text"]), vocabulary, end_id), strict=True):
-                if parts and size + len(ids) // 4 > BLOCK:
+                if parts and size + len(ids) // 4 > MATRIX:
                     yield flush()
                     block, doc_ids, parts, size = block + 1, [], [], 0
                 doc_ids.append(doc_id)
@@ -213,6 +230,42 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> Data
     return rows.join(places, ["shard", "block"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
+def _matrices(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("data binary").parquet(folder)
+
+
+def token_counts(spark: SparkSession, folder: str, tokens: list[int]) -> DataFrame:
+    """token and n: how often each of the given ids (each once) stands in the files, by rank on the planes."""
+    wanted = sorted(set(tokens))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch["data"]:
+                matrix = unpack(data.as_py())[2]
+                yield pa.RecordBatch.from_pydict({"token": pa.array(wanted, pa.int64()), "n": pa.array([matrix.count(t) for t in wanted], pa.int64())})
+
+    found = _matrices(spark, folder).mapInArrow(count, "token long, n long")
+    zeros = spark.createDataFrame([(t, 0) for t in wanted], "token long, n long")
+    return found.union(zeros).groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def occurrences(spark: SparkSession, folder: str, token: int) -> DataFrame:
+    """doc_id and at (position in the document, from 0) of each place where an id stands, by select on the planes."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch["data"]:
+                doc_ids, lengths, matrix = unpack(data.as_py())
+                ends, ids = np.cumsum(lengths), pa.array(doc_ids, pa.int64())
+                total = matrix.count(token)
+                for k in range(0, total, 1 << 16):
+                    at = matrix.select(token, np.arange(k, min(k + (1 << 16), total)))
+                    doc = np.searchsorted(ends, at, side="right")
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(at - (ends - lengths)[doc])], ["doc_id", "at"])
+
+    return _matrices(spark, folder).mapInArrow(places, "doc_id long, at long")
+
+
 def token_digests(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Write the documents' ids, read the files back and return doc_id, start, n_tokens and ids_crc32."""
     spark = docs.sparkSession

@@ -10,13 +10,13 @@ from tessera.llm.tokens import default_vocabulary, encoder
 
 def test_matrix_operations():
     rng = np.random.default_rng(3)
-    for x in (rng.integers(0, 50257, 3000), rng.integers(0, 3, 200), np.zeros(70, int), np.array([], int), np.array([5])):
+    for x in (rng.integers(0, 50257, 3000), rng.integers(0, 9, 512), rng.integers(0, 9, 1024), rng.integers(0, 3, 200), np.zeros(70, int), np.array([], int), np.array([5])):
         doc_ids, lengths, w = wavelet.unpack(wavelet.pack([1, None], [len(x), 0], x))
         assert doc_ids == [1, None] and lengths.tolist() == [len(x), 0]
         assert np.array_equal(w.tokens(), x) and np.array_equal(w.access(np.arange(len(x))), x)
         for t in {*x[:5].tolist(), 49999}:
             places = np.flatnonzero(x == t).tolist()
-            assert w.occurrences(t) == places and w.count(t) == len(places) and w.select(t, len(places)) == -1
+            assert w.occurrences(t).tolist() == places and w.count(t) == len(places) and w.select(t, [len(places), -1]).tolist() == [-1, -1]
             assert w.rank(t, len(x) // 2) == sum(p < len(x) // 2 for p in places)
 
 
@@ -26,6 +26,23 @@ def test_pieces_give_the_ids_of_whole_texts():
         assert np.frombuffer(encoder(default_vocabulary())(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids, text
 
 
+def test_shards_of_several_matrices(spark, edge_docs, monkeypatch):
+    monkeypatch.setattr(wavelet, "MATRIX", 50)
+    folder = new_folder(spark, "t")
+    wavelet.write_tokens(edge_docs, folder, shards=1)
+    assert spark.read.parquet(folder).count() > 3
+    rows = sorted(wavelet.read_tokens(spark, folder).collect(), key=lambda r: r.start)
+    assert len(rows) == edge_docs.count() and all(b.start == a.start + a.n_tokens for a, b in zip(rows, rows[1:]))
+
+
+def test_ids_are_those_of_the_library_and_exact(spark):
+    own = Tokenizer.from_file(default_vocabulary())
+    texts = {(1 << 60) + 1: "<|endoftext|> x", (1 << 60) + 3: "plain text, twice  spaced", None: "no id"}
+    rows = wavelet.token_digests(spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)).collect()
+    want = {i: np.array([*own.encode(t, add_special_tokens=False).ids, 2], "<u4") for i, t in texts.items()}
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in rows} == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in want.items()}
+
+
 def test_files_round_trip(spark, edge_docs, no_docs, monkeypatch):
     folder = new_folder(spark, "t")
     wavelet.write_tokens(edge_docs, folder, shards=3)
@@ -36,6 +53,13 @@ def test_files_round_trip(spark, edge_docs, no_docs, monkeypatch):
     for r in sorted(rows, key=lambda r: r.start):
         assert r.start == at and r.n_tokens == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
         at += r.n_tokens
+    at = {}
+    for r in rows:
+        for k, t in enumerate(r.ids):
+            at.setdefault(t, []).append((r.doc_id or -1, k))
+    for t in (2, 13, rows[0].ids[0], 49999):
+        assert sorted((r.doc_id or -1, r.at) for r in wavelet.occurrences(spark, folder, t).collect()) == sorted(at.get(t, []))
+    assert {r.token: r.n for r in wavelet.token_counts(spark, folder, [2, 13, 13, 49999]).collect()} == {t: len(at.get(t, [])) for t in (2, 13, 49999)}
     ids = [r.doc_id for r in sorted(rows, key=lambda r: r.start) if r.doc_id is not None]
     assert ids == sorted(ids)
     assert wavelet.token_digests(no_docs).count() == 0
