@@ -30,7 +30,7 @@ from tessera.llm.tokens import default_vocabulary, encoded
 MAGIC = b"WAVELET2"
 END_ID = 2
 #: Ids in a matrix, unless one document has more.
-MATRIX = 1 << 23
+MATRIX = 1 << 22
 _POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
@@ -45,9 +45,10 @@ class WaveletMatrix:
     @staticmethod
     def build(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """The planes of a sequence, lowest bit first in each word; none for an empty sequence or only zeros."""
-        x, planes = np.ascontiguousarray(ids, np.uint32), []
-        for level in reversed(range(int(x.max()).bit_length() if len(x) else 0)):
-            bit = ((x >> np.uint32(level)) & np.uint32(1)).astype(bool)
+        levels, planes = int(ids.max()).bit_length() if len(ids) else 0, []
+        x = np.ascontiguousarray(ids, np.uint16 if levels <= 16 else np.uint32)
+        for level in reversed(range(levels)):
+            bit = (x & x.dtype.type(1 << level)).astype(bool)
             packed = np.packbits(bit, bitorder="little")
             words = np.concatenate([packed, np.zeros(-len(packed) % 64, np.uint8)]).view("<u8")
             planes.append((words, np.append(0, np.cumsum(np.bitwise_count(words).reshape(-1, 8).sum(1, dtype=np.int64))).astype("<u4")))
@@ -96,14 +97,15 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """The whole sequence: the planes' stable partitions undone one by one from the lowest bit."""
-        out = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.words) <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
         for shift, (words, zeros) in enumerate(zip(reversed(self.words), reversed(self.zeros), strict=True)):
             bits = np.unpackbits(words.view(np.uint8), bitorder="little")[: self.n].view(bool)
             back = np.empty_like(out)
             back[~bits] = out[:zeros]
-            back[bits] = out[zeros:] | np.uint32(1 << shift)
+            back[bits] = out[zeros:] | kind(1 << shift)
             out = back
-        return out
+        return out.astype(np.uint32, copy=False)
 
     def _range(self, token: int, upto: int | None = None) -> tuple[int, int]:
         a, b = 0, self.n if upto is None else max(0, min(upto, self.n))

@@ -1,6 +1,8 @@
 import zlib
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tessera.llm import wavelet
@@ -26,6 +28,20 @@ def test_pieces_give_the_ids_of_whole_texts():
         assert np.frombuffer(encoder(default_vocabulary())(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids, text
 
 
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("ab '.,!?|*<\n\t\r\x1c\x0b12sltdrvemAZé\u00df×÷日½²ⅷ\u00a0\u2003\u0301ǅ\U0001f600")), max_size=14) | st.text(max_size=8))
+def test_words_cut_as_the_library_does(text):
+    e = encoder(default_vocabulary())
+    assert np.frombuffer(e(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_vocabularies_of_another_kind_encode_whole():
+    import public_tokenizers
+
+    e = encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert e.words is None and np.frombuffer(e("Some Words,  here"), "<u4").tolist() == e.tokenizer.encode("Some Words,  here", add_special_tokens=False).ids
+
+
 def test_shards_of_several_matrices(spark, edge_docs, monkeypatch):
     monkeypatch.setattr(wavelet, "MATRIX", 50)
     folder = new_folder(spark, "t")
