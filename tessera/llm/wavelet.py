@@ -52,7 +52,7 @@ class WaveletMatrix:
             packed = np.packbits(bit, bitorder="little")
             words = np.concatenate([packed, np.zeros(-len(packed) % 64, np.uint8)]).view("<u8")
             planes.append((words, np.append(0, np.cumsum(np.bitwise_count(words).reshape(-1, 8).sum(1, dtype=np.int64))).astype("<u4")))
-            x = np.concatenate([x[~bit], x[bit]])
+            x = x.take(np.concatenate([np.flatnonzero(~bit), np.flatnonzero(bit)]))
         return planes
 
     def _rank1(self, level: int, at) -> np.ndarray:
@@ -102,8 +102,8 @@ class WaveletMatrix:
         for shift, (words, zeros) in enumerate(zip(reversed(self.words), reversed(self.zeros), strict=True)):
             bits = np.unpackbits(words.view(np.uint8), bitorder="little")[: self.n].view(bool)
             back = np.empty_like(out)
-            back[~bits] = out[:zeros]
-            back[bits] = out[zeros:] | kind(1 << shift)
+            back[np.flatnonzero(~bits)] = out[:zeros]
+            back[np.flatnonzero(bits)] = out[zeros:] | kind(1 << shift)
             out = back
         return out.astype(np.uint32, copy=False)
 
