@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import xxhash
 
@@ -62,6 +64,8 @@ def test_one_of_each_and_empty(spark, edge_docs, no_docs):
     assert kept.columns == edge_docs.columns
     ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
     assert ids == [1, 4, 5, 6, 8, 9, 10, 11]
+    twice = edge_docs.union(spark.createDataFrame([(8, "another text under the same number, clean", 0.5, 7, "x")], edge_docs.schema))
+    assert sorted(r.doc_id for r in simhash.one_of_each(twice).collect() if r.doc_id is not None) == [1, 4, 5, 6, 8, 8, 9, 10, 11]
     assert simhash.near_duplicates(no_docs).count() == 0
     assert simhash.one_of_each(no_docs).count() == 0
 
@@ -70,3 +74,57 @@ def test_components_chain(spark):
     chain = [(k, k + 1) for k in range(200)] + [(500, 501), (501, 500), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert got == {**{k: 0 for k in range(201)}, 500: 500, 501: 500}
+
+
+def jaccard(a, b):
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_copies_against_brute_force(spark, edge_docs, monkeypatch):
+    """Copies at many similarities, texts that share a passage, and a large group of near copies over several tiles."""
+    monkeypatch.setattr(simhash, "TILE", 32)
+    rng = random.Random(11)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(n))
+    texts, passage = [], prose(60)
+    for _ in range(60):
+        own = prose(rng.randint(40, 300)).split()
+        texts.append(" ".join(own))
+        for _ in range(rng.randint(0, 3)):
+            other = list(own)
+            for _ in range(rng.randint(1, max(1, len(own) // 40))):
+                other[rng.randrange(len(own))] = prose(1)
+            texts.append(" ".join(other))
+    texts += [f"{passage} {prose(60)}" for _ in range(30)]
+    group = prose(200).split()
+    texts += [" ".join([*group[:k], prose(1), *group[k + 1 :]]) for k in range(100)]
+    docs = spark.createDataFrame([(k, t, 0.0, 0, "") for k, t in enumerate(texts)], edge_docs.schema)
+    label = list(range(len(texts)))
+    for _ in range(len(texts)):
+        before = list(label)
+        for a in range(len(texts)):
+            for b in range(a):
+                if label[a] != label[b] and jaccard(texts[a], texts[b]) >= 0.8:
+                    label[a] = label[b] = min(label[a], label[b])
+        if before == label:
+            break
+    want = sorted({k for k, x in enumerate(label) if x == k})
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == want
+
+
+def test_recall_of_similar_pairs():
+    """Pairs at 0.8 to 0.85 meet in a band and keep the radius."""
+    rng = random.Random(12)
+    found = total = 0
+    while total < 300:
+        own = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(rng.randint(80, 250))]
+        other = list(own)
+        for _ in range(max(1, len(own) // 48)):
+            other[rng.randrange(len(own))] = "changed"
+        a, b = " ".join(own), " ".join(other)
+        if 0.8 <= jaccard(a, b) <= 0.85:
+            (x, k), (y, m) = simhash.sketch(a), simhash.sketch(b)
+            apart = int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum())
+            found += any(p == q for p, q in zip(k, m)) and apart <= simhash.WIDE_RADIUS
+            total += 1
+    assert found / total > 0.97, found / total
