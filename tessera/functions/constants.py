@@ -4,10 +4,11 @@ from __future__ import annotations
 
 # --- Fixed values: words ---
 STOP_WORDS = (
-    "a an and are as at be by for from how if in into is it of on or that the their this to was what when where which who why with vs "
-    "than about between latest current "
-    "что как где когда кто или для это эта этот про из на по в во с со у о об ли чем какой какая какие каково есть был была были"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "if", "in", "into", "is", "it", "of", "on", "or", "that", "the", "their",
+    "this", "to", "was", "what", "when", "where", "which", "who", "why", "with", "vs", "than", "about", "between", "latest", "current", "что", "как",
+    "где", "когда", "кто", "или", "для", "это", "эта", "этот", "про", "из", "на", "по", "в", "во", "с", "со", "у", "о", "об", "ли", "чем", "какой",
+    "какая", "какие", "каково", "есть", "был", "была", "были",
+)
 FRESH_MARKERS = (
     "today", "tomorrow", "yesterday", "this week", "next week", "last week", "this month", "next month", "last month",
     "this quarter", "next quarter", "last quarter", "current", "latest", "сегодня", "завтра", "вчера", "текущий", "последний",
@@ -20,17 +21,20 @@ NEWS_PHRASES = (
 )
 RELATIVE_DAYS = {"today": 0, "tomorrow": 1, "yesterday": -1, "сегодня": 0, "завтра": 1, "вчера": -1}
 MONTHS = (
-    "jan january feb february mar march apr april may jun june jul july aug august sep sept september oct october nov november dec december "
-    "янв января фев февраля мар марта апр апреля мая июн июня июл июля авг августа сен сентября окт октября ноя ноября дек декабря"
-).split()
+    "jan", "january", "feb", "february", "mar", "march", "apr", "april", "may", "jun", "june", "jul", "july", "aug", "august", "sep", "sept",
+    "september", "oct", "october", "nov", "november", "dec", "december", "янв", "января", "фев", "февраля", "мар", "марта", "апр", "апреля", "мая",
+    "июн", "июня", "июл", "июля", "авг", "августа", "сен", "сентября", "окт", "октября", "ноя", "ноября", "дек", "декабря",
+)
 ENTITY_JOINERS = ("of", "the", "and", "for", "de", "la", "и")
 REGION_PREPOSITIONS = ("in", "for", "within", "в", "для", "по")
 NO_ENTITIES = (
-    "who what when where why how which кто что когда где почему как какой какая какие "
-    "ceo cto cfo founder president chairman capital release released latest current"
-).split()
+    "who", "what", "when", "where", "why", "how", "which", "кто", "что", "когда", "где", "почему", "как", "какой", "какая", "какие", "ceo", "cto",
+    "cfo", "founder", "president", "chairman", "capital", "release", "released", "latest", "current",
+)
 NEGATION_TOKENS = ("not", "no", "never", "false", "incorrect")
-MATCH_STOP_WORDS = "a an the of is was were on in at for and".split()
+MATCH_STOP_WORDS = (
+    "a", "an", "the", "of", "is", "was", "were", "on", "in", "at", "for", "and",
+)
 SYNTHESIS_OPENINGS = (
     "как работает", "как работают", "как использовать", "как устроен", "как устроена", "как устроено", "что такое", "чем отличается",
     "чем отличаются", "в чем разница", "в чём разница", "объясни", "опиши", "сравни", "расскажи про", "расскажи о", "how does", "how do",

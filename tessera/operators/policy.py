@@ -148,9 +148,12 @@ def query_variants(queries: Column, limit: int = 6, alike: float = 0.75) -> Colu
     return F.transform(accepted, lambda q: F.struct(q["number"].alias("number"), q["query"].alias("query")))
 
 
-def best_sentence(asked: Column, scope: Column, text: Column, limit: int = 2000) -> Column:
-    """The sentence of a text that shares most of the asked tokens (a named time counts 0.1), the first of equals, cut."""
-    found = T.sentences(F.substr(text, F.lit(1), F.lit(4000)))
+def best_sentence(asked: Column, scope: Column, text: Column, limit: int = 2000, head: int | None = 4000) -> Column:
+    """The sentence of a text that shares most of the asked tokens (a named time counts 0.1), the first of equals, cut.
+
+    Only the first head characters are looked at, which is meant for passages; None looks at the whole text.
+    """
+    found = T.sentences(text if head is None else F.substr(text, F.lit(1), F.lit(head)))
     n = F.size(F.array_distinct(asked))
 
     def score(s: Column) -> Column:

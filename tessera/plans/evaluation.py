@@ -104,7 +104,7 @@ def metric_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.metric_deltas(mean(0), mean(1)).select("name", *[F.round(c, 6).alias(c) for c in ("before", "after", "delta")])
 
 
-_ANSWER = "'Intro' || chr(10) || case conv_id % 3 when 0 then 'Answer' || chr(10) else '' end || '- ' || left(text, 30) || chr(10) || ' - insufficient evidence here' || chr(10) || chr(10) || '- late' || chr(10) || '[1] A http://www.' || role || (conv_id % 5) || '.org/x' || chr(10) || '[2] see https://b.example.com/y' || chr(10) || 'plain https://c.d'"
+_ANSWER = "'Intro' || chr(10) || case conv_id % 3 when 0 then 'Answer' || chr(10) else '' end || '- ' || text || chr(10) || ' - insufficient evidence here' || chr(10) || chr(10) || '- late' || chr(10) || '[1] A http://www.' || role || (conv_id % 5) || '.org/x' || chr(10) || '[2] see https://b.example.com/y' || chr(10) || 'plain https://c.d'"
 _LINES = "list_transform(string_split(a, chr(10)), lambda x: trim(x))"
 
 
@@ -121,7 +121,7 @@ def answer_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source addresses, distinct hosts and bullets of answers that are put together from turns."""
     text, s = F.col("text"), F.lit
     a = F.concat(
-        s("Intro\n"), F.when(F.col("conv_id") % 3 == 0, "Answer\n").otherwise(""), s("- "), F.substr(text, s(1), s(30)), s("\n - insufficient evidence here\n\n- late\n[1] A http://www."), F.col("role"),
+        s("Intro\n"), F.when(F.col("conv_id") % 3 == 0, "Answer\n").otherwise(""), s("- "), text, s("\n - insufficient evidence here\n\n- late\n[1] A http://www."), F.col("role"),
         (F.col("conv_id") % 5).cast("string"), s(".org/x\n[2] see https://b.example.com/y\nplain https://c.d"),
     )
     c = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", V.answer_source_urls(a).alias("urls"), V.answer_bullets(a).alias("bullets"))
@@ -133,8 +133,8 @@ _MATCH = "list_filter(regexp_split_to_array({}, '[^\\p{{L}}\\p{{N}}]+'), lambda
 
 
 @query(
-    "with e as (select item_id as expected_id, item_id % 8 as case_id, case item_id % 3 when 0 then upper(left(text, 50)) when 1 then right(text, 80) || ' zzz' else 'of the ' || left(text, 24) || ' qq ww' end as needle from benchmark where item_id < 40), "
-    "r as (select item_id as seq, item_id % 8 as case_id, text as claim_text from benchmark where item_id < 40), "
+    "with e as (select item_id as expected_id, item_id % 8 as case_id, case item_id % 3 when 0 then upper(left(text, 50)) when 1 then right(text, 80) || ' zzz' else 'of the ' || left(text, 24) || ' qq ww' end as needle from benchmark), "
+    "r as (select item_id as seq, item_id % 8 as case_id, text as claim_text from benchmark), "
     f"j as (select expected_id, case_id, seq, {T.fold_sql('needle')} as n, {T.fold_sql('claim_text')} as h from e join r using (case_id)), "
     f"m as (select *, contains(h, n) or contains(n, h) as holds, list_distinct({_MATCH.format('n')}) as w, {_MATCH.format('h')} as o from j), "
     "s as (select *, case when holds then 1e0 when len(w) = 0 then 0e0 else len(list_intersect(w, o)) / len(w) end as share from m) "

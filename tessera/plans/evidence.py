@@ -1,7 +1,7 @@
 """From questions to a numbered slate: claims from the benchmark, results from pages, passages from documents.
 
-Every benchmark item is a claim; pages and documents are dealt to the claims in the order of their ids, by the own id modulo
-the number of claims, as results belong to the question they were searched for. The SQL has the number of the smallest tables. Everything meets by claim, by equal keys.
+Every benchmark item is a claim; pages and documents are dealt to the claims by the own id modulo the number of items, which are
+numbered from 0, as results belong to the question they were searched for. Everything meets by claim, by equal keys.
 """
 
 from __future__ import annotations
@@ -19,14 +19,14 @@ from tessera.plans.registry import query
 from tessera.session import table
 
 AS_OF = "2026-01-01"
-CLAIMS = 40
+#: In SQL, how many claims there are.
+CLAIMS = "(select greatest(1, count(distinct item_id)) from benchmark)"
 
 
 def to_claims(spark: SparkSession, sf_dir: str, rows: DataFrame, key: str) -> DataFrame:
-    """The rows with the claim_id that their key is dealt to; without claims there are no rows."""
-    ids = table(spark, sf_dir, "benchmark").agg(F.array_sort(F.collect_set("item_id")).alias("claim_ids")).where(F.size("claim_ids") > 0)
-    at = F.pmod(F.col(key), F.size("claim_ids")).cast("int")
-    return rows.join(F.broadcast(ids), how="cross").withColumn("claim_id", F.get("claim_ids", at)).drop("claim_ids")
+    """The rows with the claim_id that their key is dealt to."""
+    n = table(spark, sf_dir, "benchmark").select(F.countDistinct("item_id")).first()[0]
+    return rows.withColumn("claim_id", F.pmod(F.col(key), F.lit(max(1, n))))
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CLAIMS_SQL = (
     f"claims as materialized (select item_id as claim_id, text as claim_text, {T.tokens_sql('text')} as tokens, {T.numbers_sql('text')} as claim_numbers, case when item_id % 4 = 0 then '2025-08-15' end as scope, item_id % 2 = 1 as fresh, "
-    f"list_filter({T.words_sql('text')}, lambda t: regexp_matches(t, '^\\p{{Lu}}.') and not list_contains({T.strings_sql(K.NO_ENTITIES)}, {T.fold_sql('t')})) as names from benchmark where item_id < {CLAIMS}), "
+    f"list_filter({T.words_sql('text')}, lambda t: regexp_matches(t, '^\\p{{Lu}}.') and not list_contains({T.strings_sql(K.NO_ENTITIES)}, {T.fold_sql('t')})) as names from benchmark), "
     "named as materialized (select * exclude names, list_filter(names, lambda t, i: list_position(names, t) = i)[1:3] as entities from claims)"
 )
 
@@ -157,8 +157,8 @@ _ROWS_SQL = (
 )
 def prompt_slate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numbered slate of every claim: ranked by rounds over addresses, packed under caps."""
-    slate = E.pack_for_prompt(E.rank_for_prompt(passage_rows(spark, sf_dir)))
-    return slate.select("claim_id", "citation", "passage_id", "host", F.md5("text").alias("text_md5"))
+    rows = passage_rows(spark, sf_dir).withColumn("text_md5", F.md5("text")).drop("text")  # digests, not texts, are shuffled
+    return E.pack_for_prompt(E.rank_for_prompt(rows)).select("claim_id", "citation", "passage_id", "host", "text_md5")
 
 
 _CW = {k: S.num(v) for k, v in K.CHEAP_WEIGHTS.items()}

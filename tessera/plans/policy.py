@@ -11,7 +11,7 @@ from tessera.functions import urls as U
 from tessera.operators import evidence as E
 from tessera.operators import policy as P
 from tessera.plans.addresses import HOSTS
-from tessera.plans.evidence import _ROWS_SQL, CLAIMS_SQL, claims, passage_rows, to_claims
+from tessera.plans.evidence import _ROWS_SQL, CLAIMS, CLAIMS_SQL, claims, passage_rows, to_claims
 from tessera.plans.registry import query
 from tessera.session import table
 
@@ -91,7 +91,7 @@ _DEPTH = "case doc_id % 7 when 0 then 'deep' when 3 then 'snippet_only' when 5 t
 
 
 @query(
-    f"with d as (select doc_id // 12 as claim_id, doc_id as seq, source || '.' || lang || '.example.com' as host, case when doc_id // 12 % 3 = 0 and {_DEPTH} = 'deep' then 'shallow' else {_DEPTH} end as depth, (doc_id * 31 % 17) / 16e0 as source_score from documents where doc_id // 12 % 4 < 3), "
+    f"with d as (select doc_id // 12 as claim_id, doc_id as seq, source || '.' || lang || '.example.com' as host, case when doc_id // 12 % 3 = 0 and {_DEPTH} = 'deep' then 'shallow' else {_DEPTH} end as depth, (doc_id * 31 % 17) / 16e0 as source_score from documents), "
     f"r as (select *, {U.registered_root_sql('host')} as root from d), t as (select *, bool_or(depth = 'deep') over (partition by claim_id) as deep, bool_or(depth = 'snippet_only') over (partition by claim_id) as snip, bool_or(depth = 'deep') over (partition by claim_id, root) as taken, "
     "row_number() over (partition by claim_id, root order by depth = 'deep', source_score desc, seq) as k from r), s as (select *, deep and not taken and depth <> 'deep' and k = 1 as spare from t), p as (select *, row_number() over (partition by claim_id, spare order by source_score desc, seq) as place from s) "
     "select claim_id, seq, depth from p where case when deep then depth = 'deep' or (spare and place <= 2) when snip then depth = 'snippet_only' else depth = 'shallow' end"
@@ -101,7 +101,7 @@ def chosen_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     claim = F.floor(k / 12)
     depth = F.when(k % 7 == 0, F.when(claim % 3 == 0, "shallow").otherwise("deep")).when(k % 7 == 3, "snippet_only").when(k % 7 == 5, "snippet_only").otherwise("shallow")
-    d = table(spark, sf_dir, "documents").where(claim % 4 < 3)
+    d = table(spark, sf_dir, "documents")
     return P.choose_documents(d.select(claim.alias("claim_id"), k.alias("seq"), F.concat_ws(".", "source", "lang", F.lit("example.com")).alias("host"), depth.alias("depth"), ((k * 31 % 17) / 16).alias("source_score"))).select("claim_id", "seq", "depth")
 
 
@@ -109,7 +109,7 @@ def chosen_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The questions of each conversation as variants that are not alike."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
-    asked = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(" ", F.lit("What about"), F.substr("text", F.lit(1), F.lit(60))).alias("q")))), lambda x: x["q"])
+    asked = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(" ", F.lit("What about"), "text").alias("q")))), lambda x: x["q"])
     v = c.groupBy("conv_id").agg(asked.alias("q")).select("conv_id", P.query_variants(F.concat("q", F.transform("q", lambda x: F.concat(F.upper(x), F.lit(" ?"))))).alias("v"))
     return v.select("conv_id", F.size("v").alias("n"), F.array_join(F.transform("v", lambda x: x["number"].cast("string")), ",").alias("numbers"))
 
@@ -118,17 +118,19 @@ _SCORE = f"{S.overlap_sql('tokens', T.tokens_sql('s'))} + case when scope is not
 
 
 @query(
-    f"with {CLAIMS_SQL}, d as (select doc_id, doc_id % 40 as claim_id, {T.sentences_sql('left(text, 4000)')} as s, text from documents), j as (select doc_id, text, tokens, scope, unnest(case when len(s) > 0 then s else [null::varchar] end) as s, generate_subscripts(case when len(s) > 0 then s else [null::varchar] end, 1) as i from d join named using (claim_id)), "
+    f"with {CLAIMS_SQL}, d as (select doc_id, doc_id % {CLAIMS} as claim_id, {T.sentences_sql('text')} as s, text from documents), j as (select doc_id, text, tokens, scope, unnest(case when len(s) > 0 then s else [null::varchar] end) as s, generate_subscripts(case when len(s) > 0 then s else [null::varchar] end, 1) as i from d join named using (claim_id)), "
     f"b as (select doc_id, text, s, row_number() over (partition by doc_id order by {_SCORE} desc, i) as k from j) select doc_id, md5(case when length(coalesce(s, text)) <= 2000 then coalesce(s, text) else rtrim(left(coalesce(s, text), 1997)) || '...' end) as sentence_md5 from b where k = 1"
 )
 def best_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentence of each document that fits its claim best."""
     d = to_claims(spark, sf_dir, table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(claims(spark, sf_dir), "claim_id")
-    return d.select("doc_id", F.md5(P.best_sentence(F.col("tokens"), F.col("scope"), F.col("text"))).alias("sentence_md5"))
+    return d.select("doc_id", F.md5(P.best_sentence(F.col("tokens"), F.col("scope"), F.col("text"), head=None)).alias("sentence_md5"))
 
 
 @query()
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prompt text of each claim's slate, by digest."""
-    slate = E.pack_for_prompt(E.rank_for_prompt(passage_rows(spark, sf_dir)))
-    return P.passage_prompt(slate).select("claim_id", F.length("prompt").alias("n_chars"), F.md5("prompt").alias("prompt_md5"))
+    rows = passage_rows(spark, sf_dir)
+    slate = E.pack_for_prompt(E.rank_for_prompt(rows.drop("text")))  # no text is shuffled before it is chosen
+    texts = rows.select("passage_id", "text").join(slate.select("passage_id", "claim_id", "citation", "host"), "passage_id")
+    return P.passage_prompt(texts).select("claim_id", F.length("prompt").alias("n_chars"), F.md5("prompt").alias("prompt_md5"))

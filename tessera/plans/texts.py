@@ -47,14 +47,14 @@ def time_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", T.time_scope(F.col("w")).alias("scope")).withColumn("has_date", F.col("scope").isNotNull())
 
 
-_SAID = "case (conv_id + turn) % 5 when 0 then 'What is the latest ' || text when 1 then text || ' compare this vs that and more?' when 2 then 'How does the python api error ' || text when 3 then 'Новости сегодня ' || left(text, 20) else text end"
+_SAID = "case (conv_id + turn) % 5 when 0 then 'What is the latest ' || text when 1 then text || ' compare this vs that and more?' when 2 then 'How does the python api error ' || text when 3 then 'Новости сегодня ' || text else text end"
 
 
 def _said() -> Column:
     text, k = F.col("text"), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5))
     return (
         F.when(k == 0, F.concat(F.lit("What is the latest "), text)).when(k == 1, F.concat(text, F.lit(" compare this vs that and more?")))
-        .when(k == 2, F.concat(F.lit("How does the python api error "), text)).when(k == 3, F.concat(F.lit("Новости сегодня "), F.substr(text, F.lit(1), F.lit(20)))).otherwise(text)
+        .when(k == 2, F.concat(F.lit("How does the python api error "), text)).when(k == 3, F.concat(F.lit("Новости сегодня "), text)).otherwise(text)
     )
 
 
@@ -104,7 +104,7 @@ def line_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.author(marked).alias("author"), T.markdown_title(marked).alias("title"), T.slug(text).alias("slug"), T.preview(text, 72).alias("preview"))
 
 
-_CITED = "left(text, 40) || ' [' || (turn + 1) || ', ' || (conv_id % 7) || ';3] and [' || turn || '] or [x1, 2] [ 5 ] [' || (conv_id % 3) || ']['"
+_CITED = "text || ' [' || (turn + 1) || ', ' || (conv_id % 7) || ';3] and [' || turn || '] or [x1, 2] [ 5 ] [' || (conv_id % 3) || ']['"
 
 
 @query(
@@ -117,7 +117,7 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citation groups written out, and the indices cited before that, of answers with citations put in."""
     s = lambda c: c.cast("string")
     turn, conv = F.col("turn"), F.col("conv_id")
-    cited = F.concat(F.substr("text", F.lit(1), F.lit(40)), F.lit(" ["), s(turn + 1), F.lit(", "), s(conv % 7), F.lit(";3] and ["), s(turn), F.lit("] or [x1, 2] [ 5 ] ["), s(conv % 3), F.lit("]["))
+    cited = F.concat("text", F.lit(" ["), s(turn + 1), F.lit(", "), s(conv % 7), F.lit(";3] and ["), s(turn), F.lit("] or [x1, 2] [ 5 ] ["), s(conv % 3), F.lit("]["))
     c = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", cited.alias("a"))
     return c.select("conv_id", "turn", T.citation_groups(F.col("a")).alias("answer"), F.array_join(F.transform(T.citation_indices(F.col("a")), s), ",").alias("cited"))
 
@@ -126,11 +126,11 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"select conv_id, turn, list_has_any({T.tokens_sql('m')}, {T.strings_sql(K.NEGATION_TOKENS)}) or {T.any_in_sql(T.fold_sql('m'), ('debunked', 'contradict'))} as negated, "
     f"array_to_string(list_filter(regexp_split_to_array({T.fold_sql('m')}, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '' and not list_contains({T.strings_sql(K.MATCH_STOP_WORDS)}, t)), ' ') as match_tokens, "
     f"coalesce(nullif(array_to_string(list_filter(string_split({T.normalized_sql('translate(m, $$\"“”?$$, $$    $$)')}, ' '), lambda t: {T.fold_sql('t')} not in ('or', 'and')), ' '), ''), m) as simplified "
-    "from (select conv_id, turn, case turn % 3 when 0 then 'It is not \"true\" or so? ' || left(text, 80) when 1 then 'Claims debunked and false. ' || left(text, 80) else left(text, 80) end as m from conversations)"
+    "from (select conv_id, turn, case turn % 3 when 0 then 'It is not \"true\" or so? ' || text when 1 then 'Claims debunked and false. ' || text else text end as m from conversations)"
 )
 def match_and_negation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Negation cues, tokens for matching, and the simplified query."""
-    cut, k = F.substr("text", F.lit(1), F.lit(80)), F.col("turn") % 3
-    m = F.when(k == 0, F.concat(F.lit('It is not "true" or so? '), cut)).when(k == 1, F.concat(F.lit("Claims debunked and false. "), cut)).otherwise(cut)
+    text, k = F.col("text"), F.col("turn") % 3
+    m = F.when(k == 0, F.concat(F.lit('It is not "true" or so? '), text)).when(k == 1, F.concat(F.lit("Claims debunked and false. "), text)).otherwise(text)
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", m.alias("m"))
     return c.select("conv_id", "turn", T.has_negation(F.col("m"), T.tokens(F.col("m"))).alias("negated"), F.array_join(T.match_tokens(F.col("m")), " ").alias("match_tokens"), T.simplified_query(F.col("m")).alias("simplified"))
