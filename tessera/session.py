@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,9 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, kept in the folder of spark.checkpoint.dir; one of our own where it is unset."""
+    """The same rows with their lineage cut, kept in the folder of spark.checkpoint.dir; one of our own where it is unset and all run here."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not place and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         context.setCheckpointDir(place or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint(eager=True)
