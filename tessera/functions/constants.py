@@ -115,3 +115,28 @@ TOP_PASSAGES = 25
 SLATE_PER_URL, SLATE_PER_HOST, SLATE_TOTAL = 2, 4, 14
 GATE_LIMIT = 20
 MOST_ITERATIONS = 2
+
+# --- Fixed values: what a composed answer says, in English and for Cyrillic questions ---
+ANSWER_SAYS = {
+    "answer": ("Answer", "Ответ"),
+    "sources": ("Sources", "Источники"),
+    "insufficient": ("Insufficient data", "Недостаточно данных"),
+    "caveats": ("Caveats", "Оговорки"),
+    "no_evidence": ("Not enough claim-level evidence for a direct answer.", "Недостаточно подтверждённых утверждений для прямого ответа."),
+    "coverage": ("coverage", "покрытие"),
+    "open": ("insufficient evidence", "недостаточно данных"),
+    "against": ("contradicted", "противоречит данным"),
+    "gap_primary": ("needs primary-source evidence", "нужно подтверждение из первичного источника"),
+    "gap_sources": ("needs {} independent sources", "нужно минимум {} независимых источника"),
+    "gap_fresh": ("needs fresh dated evidence", "нужно свежее датированное подтверждение"),
+    "few_sources": (" (supported by fewer than {} independent sources)", " (подтверждено менее чем {} независимыми источниками)"),
+    "no_primary": (" (without a detected primary source)", " (без обнаруженного первичного источника)"),
+    "not_fresh": (" (without fresh dated evidence)", " (без свежего датированного подтверждения)"),
+}
+CONTEXT_SAYS = {
+    "source": "Источник [{}] — заголовок: {}\nURL: {}\nТекст:\n{}",
+    "between": "\n\n---\n\n",
+    "before": "Контекст (каждый блок помечен номером [n]; в ответе ссылка [n] означает только этот блок):\n\n",
+    "question": "Вопрос: ",
+    "after": "\n\nИзвлеки конкретные данные из контекста выше и ответь напрямую. Номера [n] в ответе должны соответствовать блокам с тем же [n].",
+}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,6 +151,37 @@ def query_variants(queries: Column, limit: int = 6, alike: float = 0.75) -> Colu
     return F.transform(accepted, lambda q: F.struct(q["number"].alias("number"), q["query"].alias("query")))
 
 
+def accepted_variants(asked: DataFrame, limit: int = 6, alike: float = 0.75) -> DataFrame:
+    """The same choice as query_variants for each id of a table (id, place, query): rows id, number, query.
+
+    Queries stream through their id's partition in the order of place; of an id only the accepted ones are held, so an id
+    may have any number of queries.
+    """
+    q = F.col("query")
+    made = asked.select("id", "place", T.normalized(q).alias("query")).where("query <> ''").select("id", "place", "query", T.fold(q).alias("key"), F.array_distinct(T.tokens(q)).alias("words"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, started, number, kept = None, False, 0, []
+        for batch in batches:
+            at, numbers = [], []
+            for k, (own, key, words) in enumerate(zip(*(batch[c].to_pylist() for c in ("id", "key", "words")), strict=True)):
+                if not started or own != now:
+                    now, started, number, kept = own, True, 0, []
+                number += 1
+                if len(kept) < limit:
+                    words = set(words)
+                    if not any(key == other or (words and seen and len(words & seen) / len(words | seen) >= alike) for other, seen in kept):
+                        kept.append((key, words))
+                        at.append(k)
+                        numbers.append(number)
+            if at:
+                rows = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([rows["id"], pa.array(numbers, pa.int64()), rows["query"]], ["id", "number", "query"])
+
+    kind = asked.schema["id"].dataType.simpleString()
+    return made.repartition("id").sortWithinPartitions("id", "place").select("id", "key", "words", "query").mapInArrow(choose, f"id {kind}, number long, query string")
+
+
 def best_sentence(asked: Column, scope: Column, text: Column, limit: int = 2000, head: int | None = 4000) -> Column:
     """The sentence of a text that shares most of the asked tokens (a named time counts 0.1), the first of equals, cut.
 

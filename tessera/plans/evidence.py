@@ -148,13 +148,16 @@ _ROWS_SQL = (
 )
 
 
-@query(
-    f"with {_ROWS_SQL}, of_url as (select *, row_number() over w as round, first_value(-source_score) over w as lead_s, first_value(seq) over w as lead_q from rows window w as (partition by claim_id, url order by source_score desc, seq)), "
+_SLATE_SQL = (
+    f"{_ROWS_SQL}, of_url as (select *, row_number() over w as round, first_value(-source_score) over w as lead_s, first_value(seq) over w as lead_q from rows window w as (partition by claim_id, url order by source_score desc, seq)), "
     f"ranked as (select * from (select *, row_number() over (partition by claim_id order by round, lead_s, lead_q) as place from of_url) where place <= {K.TOP_PASSAGES}), "
     f"u as (select * from (select *, row_number() over (partition by claim_id, url order by place) as n from ranked) where n <= {K.SLATE_PER_URL}), "
-    f"h as (select * from (select * exclude n, row_number() over (partition by claim_id, host order by place) as n from u) where n <= {K.SLATE_PER_HOST} or host = '') "
-    f"select claim_id, citation, passage_id, host, md5(text) as text_md5 from (select *, row_number() over (partition by claim_id order by place) as citation from h) where citation <= {K.SLATE_TOTAL}"
+    f"h as (select * from (select * exclude n, row_number() over (partition by claim_id, host order by place) as n from u) where n <= {K.SLATE_PER_HOST} or host = ''), "
+    f"slate as (select * from (select *, row_number() over (partition by claim_id order by place) as citation from h) where citation <= {K.SLATE_TOTAL})"
 )
+
+
+@query(f"with {_SLATE_SQL} select claim_id, citation, passage_id, host, md5(text) as text_md5 from slate")
 def prompt_slate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numbered slate of every claim: ranked by rounds over addresses, packed under caps."""
     rows = passage_rows(spark, sf_dir).withColumn("text_md5", F.md5("text")).drop("text")  # digests, not texts, are shuffled

@@ -11,7 +11,7 @@ from tessera.functions import urls as U
 from tessera.operators import evidence as E
 from tessera.operators import policy as P
 from tessera.plans.addresses import HOSTS
-from tessera.plans.evidence import _ROWS_SQL, CLAIMS, CLAIMS_SQL, claims, passage_rows, to_claims
+from tessera.plans.evidence import _ROWS_SQL, _SLATE_SQL, CLAIMS, CLAIMS_SQL, claims, passage_rows, to_claims
 from tessera.plans.registry import query
 from tessera.session import table
 
@@ -108,10 +108,12 @@ def chosen_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The questions of each conversation as variants that are not alike."""
-    c = table(spark, sf_dir, "conversations").where("role = 'user'")
-    asked = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(" ", F.lit("What about"), "text").alias("q")))), lambda x: x["q"])
-    v = c.groupBy("conv_id").agg(asked.alias("q")).select("conv_id", P.query_variants(F.concat("q", F.transform("q", lambda x: F.concat(F.upper(x), F.lit(" ?"))))).alias("v"))
-    return v.select("conv_id", F.size("v").alias("n"), F.array_join(F.transform("v", lambda x: x["number"].cast("string")), ",").alias("numbers"))
+    said = F.concat_ws(" ", F.lit("What about"), "text")
+    forms = F.array(F.struct(F.lit(0).alias("form"), said.alias("query")), F.struct(F.lit(1).alias("form"), F.concat(F.upper(said), F.lit(" ?")).alias("query")))
+    c = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.explode(forms).alias("q"))
+    v = P.accepted_variants(c.select(F.col("conv_id").alias("id"), F.struct("q.form", "turn").alias("place"), F.col("q.query").alias("query")))
+    numbers = F.array_join(F.transform(F.array_sort(F.collect_list("number")), lambda n: n.cast("string")), ",")
+    return v.groupBy(F.col("id").alias("conv_id")).agg(F.count("*").cast("int").alias("n"), numbers.alias("numbers"))
 
 
 _SCORE = f"{S.overlap_sql('tokens', T.tokens_sql('s'))} + case when scope is not null and contains({T.fold_sql('s')}, {T.fold_sql('scope')}) then 0.1e0 else 0e0 end"
@@ -127,7 +129,9 @@ def best_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.md5(P.best_sentence(F.col("tokens"), F.col("scope"), F.col("text"), head=None)).alias("sentence_md5"))
 
 
-@query()
+@query(
+    f"with {_SLATE_SQL} select claim_id, length(prompt) as n_chars, md5(prompt) as prompt_md5 from (select claim_id, string_agg('[' || citation || '] ' || host || chr(10) || left(text, 1200), chr(10) || chr(10) order by citation) as prompt from slate group by claim_id)"
+)
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prompt text of each claim's slate, by digest."""
     rows = passage_rows(spark, sf_dir)

@@ -54,3 +54,15 @@ def test_best_sentence_and_truncation(spark):
     text = "Nothing here. Spark joins tables fast! Spark joins. The end"
     assert one(spark, P.best_sentence(T.tokens(F.lit("spark joins tables")), F.lit(None).cast("string"), F.lit(text))) == "Spark joins tables fast!"
     assert one(spark, P.truncated(F.lit("abcdef  ghij"), 10)) == "abcdef..."
+
+
+def test_variants_in_a_stream_are_those_of_an_array(spark):
+    from tessera.operators import policy as P
+
+    rows = [(k % 5, k, q) for k, q in enumerate(["a b c", " A  b c ", "", "x y z", "x y z w", "a b c d", "e f", "g h", "i j", "k l", "m n", None] * 12)]
+    asked = spark.createDataFrame(rows, "id long, place long, query string")
+    streamed = {}
+    for r in P.accepted_variants(asked).collect():
+        streamed.setdefault(r.id, []).append((r.number, r.query))
+    arrays = asked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "query"))).alias("q")).select("id", P.query_variants(F.col("q")["query"]).alias("v")).collect()
+    assert {r.id: [(x.number, x.query) for x in r.v] for r in arrays} == {k: sorted(v) for k, v in streamed.items()}
