@@ -35,6 +35,28 @@ TEMPLATES = (
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", 0.75, "mozilla public license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 0.8, "with or without fee"),
     ("cc-by", "licensed under a creative commons attribution license", 0.75, "creative commons attribution"),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", 0.85, "apache org licenses license 2 0"),
+    ("gpl-2.0", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", 0.9, "version 2 of the license"),
+    ("gpl-3.0", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", 0.9, "gnu general public license as published by the free software foundation either version 3"),
+    ("lgpl-2.1", "under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version", 0.9, "either version 2 1"),
+    ("lgpl-3.0", "under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version", 0.9, "gnu lesser general public license as published by the free software foundation either version 3"),
+    ("agpl-3.0", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", 0.9, "gnu affero general public license as published by the free software foundation either version 3"),
+    ("bsd-2-clause", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 0.85, "retain the above copyright notice"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", 0.8, "endorse or promote products derived from this software"),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at", 0.9, "copy of the mpl"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", 0.85, "eclipse public license"),
+    ("cddl-1.0", "the contents of this file are subject to the terms of the common development and distribution license", 0.8, "common development and distribution license"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", 0.85, "person or organization obtaining a copy"),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", 0.85, "authors be held liable"),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", 0.8, "related or neighboring rights"),
+    ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", 0.8, "attribution 4 0 international"),
+    ("cc-by-sa-4.0", "licensed under a creative commons attribution sharealike 4 0 international license", 0.8, "attribution sharealike"),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", 0.8, "sil open font license"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", 0.85, "without a written agreement"),
+    ("ms-pl", "this license governs use of the accompanying software if you use the software you accept this license", 0.85, "governs use of the accompanying software"),
+    ("python-2.0", "python software foundation license version 2", 1.0, "python software foundation license"),
+    ("eupl-1.2", "licensed under the eupl version 1 2", 0.85, "eupl version 1 2"),
+    ("ncsa", "to deal with the software without restriction including without limitation the rights to use copy modify merge publish", 0.85, "to deal with the software"),
     ("unlicense", "this is free and unencumbered software released into the public domain", 0.8, "released into the public domain"),
 )
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -92,6 +114,13 @@ def alignments(words: Column, postings: dict[str, list[tuple[int, int]]]) -> Col
     return F.filter(F.transform(proposed, judged), lambda a: a.isNotNull())
 
 
+def license_matches(docs: DataFrame) -> DataFrame:
+    """Every verified passage as a row: doc_id, label, first_word, behind_word and coverage; files without one give none."""
+    found = docs.select("doc_id", F.explode(alignments(words_of(F.col("text")), index(docs.select("text")))).alias("a"))
+    lengths = F.array(*[F.lit(len(row[2])) for row in _templates()])
+    return found.select("doc_id", F.col("a.label").alias("label"), F.col("a.start").alias("first_word"), (F.col("a.start") + F.get(lengths, F.col("a.template"))).alias("behind_word"), F.col("a.coverage").alias("coverage"))
+
+
 def license_scan(docs: DataFrame) -> DataFrame:
     """For each row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score.
 

@@ -45,3 +45,16 @@ def test_empty_and_sql(spark, no_docs):
 def test_native_plan(spark, edge_docs):
     plan = licenses.license_scan(edge_docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_matches_are_spans_of_words(spark):
+    rows = [(1, "x y Licensed under the Apache License, Version 2.0 z"), (2, "nothing here"), (3, "... either version 3 of the License")]
+    got = {(r.doc_id, r.label, r.first_word, r.behind_word) for r in licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (1, "apache-2.0", 2, 10) in got and (1, "apache", 5, 7) in got and {i for i, *_ in got} == {1}
+
+
+def test_every_template_finds_its_own_words(spark):
+    rows = [(n, "before " + " ".join(words) + " after") for n, _, words, *_ in licenses._templates()]
+    got = {r.doc_id: r.labels.split(",") for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in got[n] for n, label, *_ in licenses._templates())
+    assert "gpl-3.0" not in got[next(n for n, label, *_ in licenses._templates() if label == "agpl-3.0")]
