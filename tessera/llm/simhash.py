@@ -215,6 +215,8 @@ def _compared(sent: DataFrame, radius: int, populations: int = 1) -> DataFrame:
                 continue
             g = carried["g"].to_numpy()
             last = len(g) if batch is None else int(np.searchsorted(g, g[-1]))
+            if not last:  # one group so far, which goes on
+                continue
             nodes = carried["node"].to_numpy()[:last]
             words = np.frombuffer(b"".join(carried["words"].slice(0, last).to_pylist()), np.uint64).reshape(last, -1) if wide else nodes.view(np.uint64)[:, None]
             cuts = np.flatnonzero(np.diff(g[:last])) + 1
