@@ -107,3 +107,37 @@ def run_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdict = F.when(F.col("turn") % 3 == 0, "supported").when(F.col("turn") % 3 == 1, "contradicted").otherwise("insufficient_evidence")
     claims = c.join(runs.select("conv_id", "run_id"), "conv_id").select("run_id", F.col("turn").alias("claim_id"), verdict.alias("verdict"))
     return receipts.receipts(runs.drop("conv_id"), claims)
+
+
+@query(
+    "select page_id // 10 as snapshot_id, (page_id % 10 + 1)::int as position, 'T ' || page_id as title, 'https://x.org/' || page_id as url, 'Sum mary ' || page_id as abstract, "
+    "array_to_string(list_transform(generate_series(1, least(3, page_id % 6)), lambda i: 'A ' || i), ',') as authors from pages where page_id % 5 <> 0"
+)
+def paper_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Atom documents of ten pages each as papers; entries without words in both texts are left out."""
+    p, k = table(spark, sf_dir, "pages").select("page_id"), F.col("page_id")
+    named = F.transform(F.filter(F.array(*map(F.lit, range(1, 7))), lambda i: i <= k % 6), lambda i: F.concat(F.lit("<author><name> A  "), i.cast("string"), F.lit("</name></author>")))
+    said = F.when(k % 5 == 0, "  ").otherwise(F.concat(F.lit(" Sum  mary\n"), k.cast("string")))
+    entry = F.concat(F.lit("<entry><id> https://x.org/"), k.cast("string"), F.lit(" </id><title>T\n "), k.cast("string"), F.lit("</title><summary>"), said, F.lit("</summary>"), F.array_join(named, ""), F.lit("</entry>"))
+    feeds = p.groupBy(F.floor(k / 10).alias("snapshot_id")).agg(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("entry")))).alias("e"))
+    payload = F.concat(F.lit("<feed>"), F.array_join(F.col("e")["entry"], ""), F.lit("</feed>"))
+    return payloads.papers(feeds.select("snapshot_id", payload.alias("payload"))).select("snapshot_id", "position", "title", "url", "abstract", F.array_join("authors", ",").alias("authors"))
+
+
+@query(
+    "with c as (select conv_id, turn, coalesce(role, '') as role, case when turn % 7 = 6 then '[removed]' else trim(coalesce(text, '')) end as said from conversations), "
+    "h as (select conv_id, said from c where turn = 0), "
+    "k as (select *, row_number() over (partition by conv_id order by turn) as n from c where turn > 0 and said not in ('', '[deleted]', '[removed]')) "
+    "select h.conv_id, md5(concat_ws(chr(10), '# Talk ' || h.conv_id, '*r/talks · ' || (h.conv_id % 9) || ' upvotes*' || chr(10), case when h.said not in ('', '[deleted]', '[removed]') then left(h.said, 1500) end, chr(10) || '## Top Comments' || chr(10), "
+    "string_agg('**' || role || '** (' || turn || ' pts): ' || left(k.said, 600) || chr(10), chr(10) order by turn) filter (where n <= 12))) as text_md5 from h left join k on h.conv_id = k.conv_id group by h.conv_id, h.said"
+)
+def thread_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as discussion threads in JSON, read as text: the first turn is the post, the others are comments."""
+    said = F.when(F.col("turn") % 7 == 6, "[removed]").otherwise(F.coalesce("text", F.lit("")))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), said.alias("said"))
+    comment = F.struct(F.lit("t1").alias("kind"), F.struct(F.col("said").alias("body"), F.col("role").alias("author"), F.col("turn").alias("score")).alias("data"))
+    listed = c.where("turn > 0").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", comment.alias("c")))).alias("all")).select("conv_id", F.col("all")["c"].alias("comments"))
+    post = F.struct(F.lit("t3").alias("kind"), F.struct(F.concat(F.lit("Talk "), F.col("conv_id").cast("string")).alias("title"), F.col("said").alias("selftext"), (F.col("conv_id") % 9).alias("score"), F.lit("talks").alias("subreddit")).alias("data"))
+    listing = lambda children: F.concat(F.lit('{"data": {"children": '), F.coalesce(F.to_json(children), F.lit("[]")), F.lit("}}"))
+    threads = c.where("turn = 0").join(listed, "conv_id", "left").select("conv_id", F.concat(F.lit("["), listing(F.array(post)), F.lit(", "), listing(F.col("comments")), F.lit("]")).alias("payload"))
+    return threads.select("conv_id", F.md5(payloads.thread_text(F.col("payload"))).alias("text_md5"))

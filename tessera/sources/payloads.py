@@ -90,7 +90,7 @@ def papers(payloads: DataFrame) -> DataFrame:
     schema = "entry array<struct<id: string, title: string, summary: string, author: array<struct<name: string>>>>"
     e = payloads.select("snapshot_id", F.posexplode(F.from_xml("payload", schema)["entry"]).alias("k", "e"))
     title, abstract = T.normalized(F.col("e.title")), T.normalized(F.col("e.summary"))
-    authors = F.slice(F.filter(F.transform("e.author", lambda a: T.normalized(a["name"])), lambda n: n != ""), 1, 3)
+    authors = F.slice(F.filter(F.transform(F.coalesce("e.author", F.array().cast("array<struct<name: string>>")), lambda a: T.normalized(a["name"])), lambda n: n != ""), 1, 3)
     return e.select("snapshot_id", (F.col("k") + 1).alias("position"), title.alias("title"), F.trim("e.id").alias("url"), abstract.alias("abstract"), authors.alias("authors")).where("title <> '' and abstract <> ''")
 
 
