@@ -1,7 +1,8 @@
 """Connected components of a graph given as edges, by alternating large-star and small-star steps.
 
-Every step is a few joins of narrow rows, hot nodes are met by partial aggregation (a minimum for each node) and
-skew-aware joins, and the lineage is cut after each round with a checkpoint in the shared folder.
+Every step is a few joins of narrow rows. A node that a third of all edges hold is dealt out by a salt: minima by node and
+salt, then by node, then back to the salts (`with_least`), so no task gets a whole node. The lineage is cut after each
+round with a checkpoint in the shared folder.
 """
 
 from __future__ import annotations
@@ -13,6 +14,19 @@ from tessera.llm.common import cut
 
 #: Rounds after which the search is given up as wrong; the method needs a logarithm of the longest chain.
 MOST_ROUNDS = 60
+#: Parts that the rows of one key are dealt to.
+SALTS = 64
+
+
+def with_least(rows: DataFrame, key: str, value: str, name: str, by: str) -> DataFrame:
+    """The rows with the least value of their key as another column; rows of one key stay apart by a hash of column `by`.
+
+    Nulls are no least value unless there are no others. Rows with a null key are left out. The column `_salt` is ours.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(key, "_salt").agg(F.min(value).alias(name))
+    whole = parts.groupBy(key).agg(F.min(name).alias(name))
+    return salted.join(parts.select(key, "_salt").join(whole, key), [key, "_salt"]).drop("_salt")
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -21,12 +35,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-    joined = both.join(least, "u")
+    joined = with_least(both, "u", "v", "m", by="v").withColumn("m", F.least("m", "u"))
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        out = joined.select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v"))
     return out.where("u <> v").distinct()
 
 

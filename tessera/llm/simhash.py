@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import by_task, cut
-from tessera.llm.components import components
+from tessera.llm.components import components, with_least
 
 RADIUS = 4
 WIDTH = 4
@@ -254,8 +254,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH) -
     heads = cut(all_fps.groupBy("fp").agg(F.min("doc_id").alias("head")))
     joined = components(links(heads.select("fp"), radius))
     of = heads.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = of.groupBy("component").agg(F.min("head").alias("component_id"))
-    named = of.join(least, "component").select("fp", "component_id")
+    named = with_least(of, "component", "head", "component_id", by="fp").select("fp", "component_id")
     return all_fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -128,3 +128,14 @@ def test_recall_of_similar_pairs():
             found += any(p == q for p, q in zip(k, m)) and apart <= simhash.WIDE_RADIUS
             total += 1
     assert found / total > 0.97, found / total
+
+
+def test_hot_component_is_dealt_out(spark):
+    """A node that all edges hold: its component is whole, and each key's least value reaches rows in all salts."""
+    from tessera.llm import components as C
+
+    edges = spark.range(1, 3000).selectExpr("id as u", "0L as v").union(spark.range(5000, 5100).selectExpr("id as u", "id + 1 as v"))
+    got = {r.node: r.component for r in C.components(edges).collect()}
+    assert got == {**dict.fromkeys(range(3000), 0), **dict.fromkeys(range(5000, 5101), 5000)}
+    rows = spark.createDataFrame([(1, None, 1), (1, 7, 2), (1, 4, 3), (2, None, 4), (None, 3, 5)], "k long, x long, at long")
+    assert {(r.k, r.x, r.at, r.m) for r in C.with_least(rows, "k", "x", "m", by="at").collect()} == {(1, None, 1, 4), (1, 7, 2, 4), (1, 4, 3, 4), (2, None, 4, None)}
