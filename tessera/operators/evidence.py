@@ -9,6 +9,7 @@ from tessera.functions import constants as K
 from tessera.functions import scoring as S
 from tessera.functions import text as T
 from tessera.functions import urls as U
+from tessera.session import checkpointed
 
 
 def score_results(results: DataFrame, claims: DataFrame, as_of: str) -> DataFrame:
@@ -172,3 +173,31 @@ def match_claims(expected: DataFrame, runs: DataFrame) -> DataFrame:
     j = j.withColumn("_holds", holds).withColumn("share", F.when(holds, 1.0).otherwise(share)).where(F.col("_holds") | (F.col("share") >= 0.6))
     first = F.max_by(F.struct("seq", "share"), F.struct("_holds", F.when(F.col("_holds"), 1.0).otherwise(F.col("share")), -F.col("seq")))
     return j.groupBy("case_id", "expected_id").agg(first.alias("m")).select("case_id", "expected_id", F.col("m.seq").alias("seq"), F.round("m.share", 6).alias("share"))
+
+
+def top_overlaps(documents: DataFrame, claims: DataFrame, most: int = 25) -> DataFrame:
+    """The documents (doc_id, tokens) that share most of a claim's different tokens (claim_id, tokens): claim_id, doc_id, rank, overlap.
+
+    A claim's words are numbered from the rarest on. Documents of its first words show how many words the last kept one shares
+    at least; whoever shares so many of m words has one of the first m - bound + 1, so only these are probed and frequent
+    words bring no pairs. Ties go by doc_id; documents without a shared word have no row.
+    """
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = checkpointed(claims.select("claim_id", F.array_distinct("tokens").alias("asked")))
+    wanted = asked.select("claim_id", F.explode("asked").alias("token"))
+    met = checkpointed(documents.select("doc_id", F.explode(F.array_distinct("tokens")).alias("token")).join(wanted, "token", "left_semi").repartition("doc_id"))
+    known = met.groupBy("doc_id").agg(F.collect_list("token").alias("known"))
+    from_rare = Window.partitionBy("claim_id").orderBy("often", "token")
+    places = {"place": F.row_number().over(from_rare), "so_far": F.sum("often").over(from_rare), "m": F.count("*").over(Window.partitionBy("claim_id"))}
+    placed = checkpointed(wanted.join(met.groupBy("token").agg(F.count("*").alias("often")), "token").withColumns(places))
+
+    def best(probes: DataFrame) -> DataFrame:
+        pairs = met.join(probes.select("claim_id", "token"), "token").select("claim_id", "doc_id").distinct().repartition(parts, "doc_id")  # few bytes, much work
+        shared = pairs.join(known, "doc_id").join(asked, "claim_id").select("claim_id", "doc_id", F.size(F.array_intersect("asked", "known")).alias("shared"), F.size("asked").alias("n"))
+        order = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc("shared"), "doc_id"))
+        return shared.withColumn("rank", order).where(F.col("rank") <= most)
+
+    first = best(placed.where((F.col("place") == 1) | (F.col("so_far") <= 100 * most)))
+    bound = first.groupBy("claim_id").agg(F.when(F.count("*") == most, F.min("shared")).otherwise(1).alias("bound"))
+    probes = checkpointed(placed.join(bound, "claim_id").where(F.col("place") <= F.col("m") - F.col("bound") + 1))
+    return best(probes).select("claim_id", "doc_id", "rank", (F.col("shared") / F.col("n")).alias("overlap"))

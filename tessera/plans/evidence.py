@@ -187,9 +187,6 @@ def cheap_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     "select claim_id, doc_id, rank, round(overlap, 6) as overlap from (select *, row_number() over (partition by claim_id order by overlap desc, doc_id) as rank from shared) where rank <= 25"
 )
 def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 25 documents that share most of a claim's words; documents meet claims by word, not by pairs."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
-    asked = claims(spark, sf_dir).select("claim_id", F.array_distinct("tokens").alias("t")).select("claim_id", F.size("t").alias("n"), F.explode("t").alias("token"))
-    shared = d.join(asked, "token").groupBy("claim_id", "doc_id").agg((F.count("*") / F.max("n")).alias("overlap"))
-    order = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc("overlap"), "doc_id"))
-    return shared.withColumn("rank", order).where("rank <= 25").select("claim_id", "doc_id", "rank", F.round("overlap", 6).alias("overlap"))
+    """The 25 documents that share most of a claim's words; only documents with one of its rarer words are met."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+    return E.top_overlaps(d, claims(spark, sf_dir)).select("claim_id", "doc_id", "rank", F.round("overlap", 6).alias("overlap"))

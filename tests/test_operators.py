@@ -120,3 +120,20 @@ def test_every_benchmark_item_is_a_claim(spark):
     for rows in (evidence.results(spark, sf), evidence.passage_rows(spark, sf)):
         assert {r.claim_id for r in rows.select("claim_id").distinct().collect()} == ids
     assert max(r.expected_id for r in evaluation.claim_match(spark, sf).collect()) >= 40
+
+
+def test_top_overlaps_prunes_and_keeps_ties(spark):
+    """Against all pairs: frequent words, ties by id, a claim whose words no document has, one with fewer documents than asked for."""
+    import random
+
+    from tessera.operators import evidence as E
+
+    rnd = random.Random(3)
+    texts = {i: ["the", "of"] + rnd.choices([f"w{j}" for j in range(30)], k=rnd.randrange(0, 9)) for i in range(200)}
+    asked = {0: ["the", "of", "w1", "w2", "w2"], 1: ["nowhere"], 2: ["w3"], 3: [f"w{j}" for j in range(12)] + ["the", "nowhere"], 4: []}
+    got = E.top_overlaps(spark.createDataFrame(list(texts.items()), "doc_id long, tokens array<string>"), spark.createDataFrame(list(asked.items()), "claim_id long, tokens array<string>"), most=7)
+    want = set()
+    for c, words in asked.items():
+        scored = sorted(((-len(set(words) & set(t)) / len(set(words)), d) for d, t in texts.items() if set(words) & set(t)) if words else [])
+        want |= {(c, d, r, -o) for r, (o, d) in enumerate(scored[:7], 1)}
+    assert {(r.claim_id, r.doc_id, r["rank"], r.overlap) for r in got.collect()} == want
