@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import constants as K
 from tessera.functions import scoring as S
 from tessera.functions import text as T
 from tessera.functions import urls as U
@@ -64,7 +65,7 @@ def claim_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _HOST = T.strings_sql(HOSTS) + f"[(seq % {len(HOSTS)}) + 1]"
 _HAY = f"(' ' || {T.fold_sql(T.normalized_sql('title || $$ $$ || left(text, 320)'))} || ' ')"
-_CUES = f"case when {T.any_in_sql(_HAY, (' agency ', ' bureau ', ' bureaus ', ' department ', ' component ', ' administration ', ' ministry ', ' treasury ', ' member of ', ' part of ', ' within '))} then 1e0 else 0e0 end + case when contains({_HAY}, 'the') then 0.5e0 else 0e0 end + case when {U.is_official_sql('host')} then 0.5e0 else 0e0 end"
+_CUES = f"case when {T.any_in_sql(_HAY, K.RELATIONSHIP_CUES)} then 1e0 else 0e0 end + case when contains({_HAY}, 'the') then 0.5e0 else 0e0 end + case when {U.is_official_sql('host')} then 0.5e0 else 0e0 end"
 
 
 @query(
