@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontam, licenses, lm, ogg, packing, quality, simhash, toxicity, wavelet
+from tessera.llm import chat, decontam, divergence, licenses, lm, ogg, packing, quality, simhash, toxicity, wavelet
 from tessera.llm.common import documents, table
 
 
@@ -62,6 +62,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_conversations(turns.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's distance to the other sources of its language, and the terms it has most above the language."""
+    return divergence.audit(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_licenses": op2_licenses,
@@ -73,8 +78,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_chat": op10_chat,
+    "op11_divergence": op11_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_licenses": licenses.ORACLE_SQL,
+    "op11_divergence": divergence.ORACLE_SQL,
 }
