@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontam, divergence, licenses, lm, ogg, packing, quality, simhash, toxicity, wavelet
+from tessera.llm import chat, decontam, divergence, licenses, lm, ogg, packing, quality, repair, simhash, toxicity, wavelet
 from tessera.llm.common import documents, table
 
 
@@ -67,6 +67,11 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation and the cheapest edits that mend its structure."""
+    return repair.repaired(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_licenses": op2_licenses,
@@ -79,9 +84,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_chat": op10_chat,
     "op11_divergence": op11_divergence,
+    "op12_repair": op12_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_licenses": licenses.ORACLE_SQL,
     "op11_divergence": divergence.ORACLE_SQL,
+    "op12_repair": repair.ORACLE_SQL,
 }
