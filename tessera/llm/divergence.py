@@ -10,18 +10,19 @@ group's other sources by the sum of |p - q| over all kept terms, part `term` the
 above the language's share.
 
 How it runs. Documents are written once as blocks of some `BLOCK` bytes of terms. The first pass counts documents by term within
-each block; sums over blocks give exact document frequencies. What a language keeps goes back to the blocks that hold
-it, so a block's vocabulary is bounded by the block and never by the corpus. In the second pass a block's terms come
-first and make one automaton a language, each term padded with delimiters; then its texts stream past and every occurrence is
-counted again. Counts meet as sparse postings (language, source, term, count). Pairs are summed in tiles of sources and
-cells of terms, in which only terms with a posting are looked at; what all absent terms add follows from V. No key has to
-fit one task: a word or a source that a third of all rows hold is one row of a block's counts.
+each block and sends them, packed, to the terms' buckets (`buckets.py`); sums over blocks give exact document frequencies,
+and each block is told which of its terms are kept, so a block's vocabulary is bounded by the block and never by the corpus.
+In the second pass these make one automaton a language, each term padded with delimiters, and every occurrence in the
+block's texts is counted again. Counts meet in the same buckets as sparse postings (language, source, term, count). Pairs are
+summed in tiles of sources and cells of terms, in which only terms with a posting are looked at; what all absent terms add
+follows from V. No key has to fit one task: a word or a source that a third of all rows hold is one entry of a block's counts.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 from operator import itemgetter
 
 import ahocorasick
@@ -32,15 +33,19 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from tessera.llm.common import by_task, cut, new_folder
+from tessera.llm.buckets import met, number, of, one_by_one
+from tessera.llm.common import cut, new_folder
 
 #: Documents of a language that have to hold a term.
 KEPT = 30
 #: Ranks of part `term`.
 TOP = 50
 #: Bytes of terms in a block, unless one document has more.
-BLOCK = 8 << 20
+BLOCK = 16 << 20
+#: Bytes of terms whose counts meet in one bucket, about.
+SHARE = 16 << 20
 #: Sources and terms that one task compares at a time, about.
 TILE, CELL = 128, 4096
 #: What each byte of a text becomes: letters in lower case, bytes of characters above 127, spaces for all others.
@@ -53,54 +58,91 @@ def terms(text: bytes | None) -> list[bytes]:
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """All documents as a table in the shared folder: block, lang, source, text (terms with a space on either side); nulls are empty."""
+    """All documents as a table in the shared folder: block, lang, source, size, texts; nulls are empty.
+
+    A row has a group's documents in a block: their terms with a space on either side, a line each, compressed.
+    """
+    names = ["block", "lang", "source", "size", "texts"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size = TaskContext.get().partitionId() << 32, 0
+        block, size, held = TaskContext.get().partitionId() << 32, 0, {}
+
+        def told() -> pa.RecordBatch:
+            texts = [b"\n".join(x) for x in held.values()]
+            groups = [pa.array([g[k] for g in held], pa.string()) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([pa.array([block] * len(held), pa.int64()), *groups, pa.array(map(len, texts), pa.int64()), pa.array([pa.compress(t, codec="zstd", asbytes=True) for t in texts], pa.binary())], names)
+
         for batch in batches:
-            texts, blocks = [], []
-            for text in batch["text"].cast(pa.binary()).to_pylist():
+            for lang, source, text in zip(*(batch[c].to_pylist() for c in ("lang", "source")), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
+                line = b" ".join([b"", *terms(text), b""])
+                held.setdefault((lang or "", source or ""), []).append(line)
+                size += len(line)
                 if size >= BLOCK:
-                    block, size = block + 1, 0
-                texts.append(b" ".join([b"", *terms(text), b""]))
-                blocks.append(block)
-                size += len(texts[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), *(pc.fill_null(batch[c], "") for c in ("lang", "source")), pa.array(texts, pa.binary())], ["block", "lang", "source", "text"])
-
-    place, schema = new_folder(docs.sparkSession, "divergence-blocks"), "block long, lang string, source string, text binary"
-    named = docs.select(F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    named.mapInArrow(deal, schema).write.option("compression", "zstd").parquet(place)
+                    yield told()
+                    block, size, held = block + 1, 0, {}
+        if held:
+            yield told()
+
+    place, schema = new_folder(docs.sparkSession, "divergence-blocks"), "block long, lang string, source string, size long, texts binary"
+    named = docs.select(*(F.col(c).cast("string").alias(c) for c in ("lang", "source", "text")))
+    named.mapInArrow(deal, schema).write.parquet(place)
     return docs.sparkSession.read.schema(schema).parquet(place)
 
 
-def _told(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+def _texts(size: int, texts: bytes) -> bytes:
+    return pa.decompress(texts, decompressed_size=size, codec="zstd", asbytes=True)
 
 
-def _frequencies(blocks: DataFrame) -> DataFrame:
-    """Documents by term within each block: block, lang, term, n. A block that two tasks read has two rows for a term."""
-    schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("term", pa.binary()), ("n", pa.int64())])
+def _packed(counts: Counter, buckets: int) -> list[tuple[int, bytes, bytes]]:
+    """Terms with their counts, by bucket: the bucket, terms with spaces between, counts."""
+    words = sorted(counts)
+    home = of(np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)), buckets)
+    order = np.argsort(home, kind="stable")
+    cuts = np.flatnonzero(np.diff(home[order], prepend=-1))
+    out = []
+    for a, b in zip(cuts, [*cuts[1:], len(words)][: len(cuts)], strict=True):
+        own = [words[k] for k in order[a:b]]
+        out.append((int(home[order[a]]), b" ".join(own), np.array([counts[w] for w in own], "<i8").tobytes()))
+    return out
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, {}
 
-        def told() -> pa.RecordBatch:
-            return _told([(now, lang, term, n) for lang, found in held.items() for term, n in found.items()], schema)
+def _unpacked(words: bytes, counts: bytes) -> dict[bytes, int]:
+    return dict(zip(words.split(), np.frombuffer(counts, "<i8").tolist(), strict=True))
+
 
+def _kept(blocks: DataFrame, buckets: int) -> DataFrame:
+    """What each block is told of its terms: block, lang, terms that enough documents hold."""
+    schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("lang", pa.string()), ("terms", pa.binary()), ("counts", pa.binary())])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, lang, text in zip(*(batch[c].to_pylist() for c in ("block", "lang", "text")), strict=True):
-                if block != now:
-                    if held:
-                        yield told()
-                    now, held = block, {}
-                held.setdefault(lang, Counter()).update(set(text.split()))
-        if held:
-            yield told()
+            for block in dict.fromkeys(batch["block"].to_pylist()):  # a block's rows may be in two batches or tasks: sums stay right
+                found: dict[str, Counter] = {}
+                for r in batch.filter(pc.equal(batch["block"], block)).to_pylist():
+                    own = found.setdefault(r["lang"], Counter())
+                    for line in _texts(r["size"], r["texts"]).split(b"\n"):
+                        own.update(set(line.split()))
+                rows = [(bucket, block, lang, *x) for lang, own in found.items() for bucket, *x in _packed(own, buckets)]
+                yield _told(rows, schema)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in one_by_one(batches):
+            sums: dict[str, Counter] = {}
+            for lang, words, counts in zip(*(rows[c].to_pylist() for c in ("lang", "terms", "counts")), strict=True):
+                sums.setdefault(lang, Counter()).update(_unpacked(words, counts))
+            kept = {lang: {w for w, n in found.items() if n >= KEPT} for lang, found in sums.items()}
+            answers = [(block, lang, b" ".join(kept[lang].intersection(words.split()))) for block, lang, words in zip(*(rows[c].to_pylist() for c in ("block", "lang", "terms")), strict=True)]
+            yield _told([a for a in answers if a[2]], pa.schema([schema.field(c) for c in ("block", "lang", "terms")]))
+
+    sent = blocks.mapInArrow(send, "bucket long, block long, lang string, terms binary, counts binary")
+    return met(sent, buckets).mapInArrow(add_up, "block long, lang string, terms binary")
 
-    return blocks.select("block", "lang", "text").mapInArrow(count, "block long, lang string, term binary, n long")
+
+def _told(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
-def automaton(kept: list[bytes]) -> ahocorasick.Automaton:
+def automaton(kept: Iterable[bytes]) -> ahocorasick.Automaton:
     """An automaton that finds the terms, each between two delimiters, in text read byte by byte as Latin-1."""
     out = ahocorasick.Automaton()
     for term in kept:
@@ -109,35 +151,35 @@ def automaton(kept: list[bytes]) -> ahocorasick.Automaton:
     return out
 
 
-def _postings(blocks: DataFrame, kept: DataFrame) -> DataFrame:
-    """Occurrences of kept terms (block, lang, term) by lang, source and term, recounted block by block."""
-    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64())])
-
-    def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, words, machines, counts = None, {}, {}, {}
-
-        def told() -> pa.RecordBatch:
-            return _told([(*group, term, n) for group, found in counts.items() for term, n in found.items()], schema)
-
-        for batch in batches:
-            for block, lang, source, text, is_text in zip(*(batch[c].to_pylist() for c in ("block", "lang", "source", "text", "is_text")), strict=True):
-                if block != now:
-                    if counts:
-                        yield told()
-                    now, words, machines, counts = block, {}, {}, {}
-                if not is_text:
-                    words.setdefault(lang, set()).add(text)
-                elif lang in words:
-                    if lang not in machines:
-                        machines[lang] = automaton(words[lang])
-                    counts.setdefault((lang, source), Counter()).update(map(itemgetter(1), machines[lang].iter(text.decode("latin-1"))))
-        if counts:
-            yield told()
-
-    words = kept.select("block", "lang", F.lit(None).cast("string").alias("source"), F.col("term").alias("text"), F.lit(False).alias("is_text"))
-    both = words.unionByName(blocks.withColumn("is_text", F.lit(True))).repartition(by_task(blocks), "block").sortWithinPartitions("block", "is_text")
-    found = both.mapInArrow(recount, "lang string, source string, term binary, n long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+def _postings(blocks: DataFrame, kept: DataFrame, buckets: int) -> DataFrame:
+    """Occurrences of kept terms by lang, source and term, recounted block by block."""
+    schema = pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("terms", pa.binary()), ("counts", pa.binary())])
+
+    def recount(left: pa.Table, right: pa.Table) -> pa.Table:
+        words: dict[str, set] = {}
+        for lang, found in zip(right["lang"].to_pylist(), right["terms"].to_pylist(), strict=True):
+            words.setdefault(lang, set()).update(found.split())
+        rows, groups = [], sorted(zip(*(left[c].to_pylist() for c in ("lang", "source", "size", "texts")), strict=True))
+        for lang, own in groupby(groups, itemgetter(0)):
+            if lang in words:
+                machine = automaton(words.pop(lang))
+                for source, texts in groupby(own, itemgetter(1)):
+                    counts = Counter()
+                    for _, _, size, packed in texts:
+                        counts.update(map(itemgetter(1), machine.iter(_texts(size, packed).decode("latin-1"))))
+                    rows += [(bucket, lang, source, *x) for bucket, *x in _packed(counts, buckets)]
+        return pa.Table.from_batches([_told(rows, schema)])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in one_by_one(batches):
+            sums: dict[tuple, Counter] = {}
+            for lang, source, words, counts in zip(*(rows[c].to_pylist() for c in ("lang", "source", "terms", "counts")), strict=True):
+                sums.setdefault((lang, source), Counter()).update(_unpacked(words, counts))
+            for group, found in sums.items():
+                yield _told([(*group, w, n) for w, n in found.items()], pa.schema([*(schema.field(c) for c in ("lang", "source")), ("term", pa.binary()), ("n", pa.int64())]))
+
+    found = blocks.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(recount, "bucket long, lang string, source string, terms binary, counts binary")
+    return met(found, buckets).mapInArrow(add_up, "lang string, source string, term binary, n long")
 
 
 def _share(n: Column, total: Column, v: Column) -> Column:
@@ -196,9 +238,8 @@ def audit(docs: DataFrame) -> DataFrame:
     have any name.
     """
     blocks = _blocks(docs)
-    in_all = F.sum("n").over(Window.partitionBy("lang", "term"))
-    kept = _frequencies(blocks).withColumn("all", in_all).where(F.col("all") >= KEPT).select("block", "lang", "term")
-    postings = cut(_postings(blocks, kept))
+    buckets = number(blocks, blocks.agg(F.sum("size")).first()[0] or 0, SHARE)
+    postings = cut(_postings(blocks, _kept(blocks, buckets), buckets))
     by_term = postings.groupBy("lang", "term").agg(F.sum("n").alias("n"))
     langs = by_term.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("v"))
     sums = postings.groupBy("lang", "source").agg(F.sum("n").alias("own"))
