@@ -8,11 +8,12 @@ at `MOST_PARTITIONS`.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import by_task
@@ -20,6 +21,27 @@ from tessera.llm.common import by_task
 MOST_PARTITIONS = 20_000
 
 
+def small(x: np.ndarray) -> bytes:
+    """Unsigned numbers, compressed: in as few bytes each as the largest needs, all lowest bytes first and all highest ones last."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    return bytes([width]) + len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def wide(data: bytes) -> np.ndarray:
+    """The numbers of `small`."""
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(data[9:], decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.view("<u8").reshape(-1).astype(np.uint64)
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of frames that nobody holds any more; it waits for the driver's garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def number(df: DataFrame, size: int, share: int) -> int:
     """Buckets for size bytes of which one should get about a share; as many as the session has shuffle partitions at least."""
     return max(by_task(df), -(-size // share))

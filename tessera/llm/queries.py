@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontam, divergence, licenses, lm, ogg, packing, quality, repair, simhash, toxicity, wavelet
+from tessera.llm import chat, decontam, divergence, licenses, lm, ogg, packing, quality, repair, simhash, suffixes, toxicity, wavelet
 from tessera.llm.common import documents, table
 
 
@@ -72,6 +72,11 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired(table(spark, sf_dir, "conversations"))
 
 
+def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without the strings of 100 bytes that started earlier."""
+    return suffixes.removals(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_licenses": op2_licenses,
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": op10_chat,
     "op11_divergence": op11_divergence,
     "op12_repair": op12_repair,
+    "op13_suffixes": op13_suffixes,
 }
 
 ORACLE_SQL: dict[str, str] = {
