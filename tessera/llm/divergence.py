@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import groupby
+from itertools import chain, groupby
 from operator import itemgetter
 
 import ahocorasick
@@ -93,49 +93,56 @@ def _texts(size: int, texts: bytes) -> bytes:
     return pa.decompress(texts, decompressed_size=size, codec="zstd", asbytes=True)
 
 
-def _packed(counts: Counter, buckets: int) -> list[tuple[int, bytes, bytes]]:
-    """Terms with their counts, by bucket: the bucket, terms with spaces between, counts."""
-    words = sorted(counts)
-    home = of(np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)), buckets)
-    order = np.argsort(home, kind="stable")
-    cuts = np.flatnonzero(np.diff(home[order], prepend=-1))
-    out = []
-    for a, b in zip(cuts, [*cuts[1:], len(words)][: len(cuts)], strict=True):
-        own = [words[k] for k in order[a:b]]
-        out.append((int(home[order[a]]), b" ".join(own), np.array([counts[w] for w in own], "<i8").tobytes()))
-    return out
+def _packed(groups: dict, buckets: int) -> list[tuple[int, list[str], list[tuple]]]:
+    """Counts of terms by group (a tuple of names), by bucket: the bucket, then lists of each name, of terms (spaces between) and of counts."""
+    found: dict[int, list] = {}
+    for group, counts in groups.items():
+        words = sorted(counts)
+        home = of(np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)), buckets)
+        order = np.argsort(home, kind="stable")
+        cuts = np.flatnonzero(np.diff(home[order], prepend=-1)).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(words)], strict=False):
+            own = [words[k] for k in order[a:b]]
+            found.setdefault(int(home[order[a]]), []).append((*group, b" ".join(own), np.array([counts[w] for w in own], "<i8").tobytes()))
+    return [(bucket, *map(list, zip(*rows, strict=True))) for bucket, rows in found.items()]
+
+
+def _sums(rows: pa.Table, *names: str) -> dict[tuple, Counter]:
+    """A bucket's counts of terms over all blocks, by group."""
+    sums: dict[tuple, Counter] = {}
+    for *group, words, counts in zip(*(chain.from_iterable(rows[c].to_pylist()) for c in (*names, "terms", "counts")), strict=True):
+        sums.setdefault(tuple(group), Counter()).update(dict(zip(words.split(), np.frombuffer(counts, "<i8").tolist(), strict=True)))
+    return sums
 
 
-def _unpacked(words: bytes, counts: bytes) -> dict[bytes, int]:
-    return dict(zip(words.split(), np.frombuffer(counts, "<i8").tolist(), strict=True))
+_TEXTS, _BYTES = pa.list_(pa.string()), pa.list_(pa.binary())
 
 
 def _kept(blocks: DataFrame, buckets: int) -> DataFrame:
-    """What each block is told of its terms: block, lang, terms that enough documents hold."""
-    schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("lang", pa.string()), ("terms", pa.binary()), ("counts", pa.binary())])
+    """What each block is told of its terms: block, langs and, for each, the terms that enough documents hold."""
+    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("langs", _TEXTS), ("terms", _BYTES), ("counts", _BYTES)])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in dict.fromkeys(batch["block"].to_pylist()):  # a block's rows may be in two batches or tasks: sums stay right
-                found: dict[str, Counter] = {}
+                found: dict[tuple, Counter] = {}
                 for r in batch.filter(pc.equal(batch["block"], block)).to_pylist():
-                    own = found.setdefault(r["lang"], Counter())
+                    own = found.setdefault((r["lang"],), Counter())
                     for line in _texts(r["size"], r["texts"]).split(b"\n"):
                         own.update(set(line.split()))
-                rows = [(bucket, block, lang, *x) for lang, own in found.items() for bucket, *x in _packed(own, buckets)]
-                yield _told(rows, schema)
+                yield _told([(block, *row) for row in _packed(found, buckets)], schema)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in one_by_one(batches):
-            sums: dict[str, Counter] = {}
-            for lang, words, counts in zip(*(rows[c].to_pylist() for c in ("lang", "terms", "counts")), strict=True):
-                sums.setdefault(lang, Counter()).update(_unpacked(words, counts))
-            kept = {lang: {w for w, n in found.items() if n >= KEPT} for lang, found in sums.items()}
-            answers = [(block, lang, b" ".join(kept[lang].intersection(words.split()))) for block, lang, words in zip(*(rows[c].to_pylist() for c in ("block", "lang", "terms")), strict=True)]
-            yield _told([a for a in answers if a[2]], pa.schema([schema.field(c) for c in ("block", "lang", "terms")]))
+            kept = {lang: {w for w, n in found.items() if n >= KEPT} for (lang,), found in _sums(rows, "langs").items()}
+            answers = []
+            for block, langs, words in zip(*(rows[c].to_pylist() for c in ("block", "langs", "terms")), strict=True):
+                own = [(lang, b" ".join(kept[lang].intersection(w.split()))) for lang, w in zip(langs, words, strict=True)]
+                answers.append((block, *map(list, zip(*own, strict=True))))
+            yield _told(answers, pa.schema([schema.field(c) for c in ("block", "langs", "terms")]))
 
-    sent = blocks.mapInArrow(send, "bucket long, block long, lang string, terms binary, counts binary")
-    return met(sent, buckets).mapInArrow(add_up, "block long, lang string, terms binary")
+    sent = blocks.mapInArrow(send, "block long, bucket long, langs array<string>, terms array<binary>, counts array<binary>")
+    return met(sent, buckets).mapInArrow(add_up, "block long, langs array<string>, terms array<binary>")
 
 
 def _told(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -153,32 +160,25 @@ def automaton(kept: Iterable[bytes]) -> ahocorasick.Automaton:
 
 def _postings(blocks: DataFrame, kept: DataFrame, buckets: int) -> DataFrame:
     """Occurrences of kept terms by lang, source and term, recounted block by block."""
-    schema = pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("terms", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([("bucket", pa.int64()), ("langs", _TEXTS), ("sources", _TEXTS), ("terms", _BYTES), ("counts", _BYTES)])
 
     def recount(left: pa.Table, right: pa.Table) -> pa.Table:
         words: dict[str, set] = {}
-        for lang, found in zip(right["lang"].to_pylist(), right["terms"].to_pylist(), strict=True):
+        for lang, found in zip(*(chain.from_iterable(right[c].to_pylist()) for c in ("langs", "terms")), strict=True):
             words.setdefault(lang, set()).update(found.split())
-        rows, groups = [], sorted(zip(*(left[c].to_pylist() for c in ("lang", "source", "size", "texts")), strict=True))
-        for lang, own in groupby(groups, itemgetter(0)):
-            if lang in words:
-                machine = automaton(words.pop(lang))
-                for source, texts in groupby(own, itemgetter(1)):
-                    counts = Counter()
-                    for _, _, size, packed in texts:
-                        counts.update(map(itemgetter(1), machine.iter(_texts(size, packed).decode("latin-1"))))
-                    rows += [(bucket, lang, source, *x) for bucket, *x in _packed(counts, buckets)]
-        return pa.Table.from_batches([_told(rows, schema)])
+        sums: dict[tuple, Counter] = {}
+        for lang, own in groupby(sorted(zip(*(left[c].to_pylist() for c in ("lang", "source", "size", "texts")), strict=True)), itemgetter(0)):
+            machine = automaton(words.pop(lang, ()))
+            for _, source, size, packed in own if len(machine) else ():
+                sums.setdefault((lang, source), Counter()).update(map(itemgetter(1), machine.iter(_texts(size, packed).decode("latin-1"))))
+        return pa.Table.from_batches([_told(_packed(sums, buckets), schema)])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in one_by_one(batches):
-            sums: dict[tuple, Counter] = {}
-            for lang, source, words, counts in zip(*(rows[c].to_pylist() for c in ("lang", "source", "terms", "counts")), strict=True):
-                sums.setdefault((lang, source), Counter()).update(_unpacked(words, counts))
-            for group, found in sums.items():
-                yield _told([(*group, w, n) for w, n in found.items()], pa.schema([*(schema.field(c) for c in ("lang", "source")), ("term", pa.binary()), ("n", pa.int64())]))
+            for group, found in _sums(rows, "langs", "sources").items():
+                yield _told([(*group, w, n) for w, n in found.items()], pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64())]))
 
-    found = blocks.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(recount, "bucket long, lang string, source string, terms binary, counts binary")
+    found = blocks.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(recount, "bucket long, langs array<string>, sources array<string>, terms array<binary>, counts array<binary>")
     return met(found, buckets).mapInArrow(add_up, "lang string, source string, term binary, n long")
 
 
