@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_task
+from tessera.llm.common import by_task, cut
 
 MOST_PARTITIONS = 20_000
 
@@ -42,6 +42,20 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def laid_out(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt out by a key and checkpointed in a way that later joins and co-groups by that key need not deal them out again.
+
+    Spark keeps a checkpoint's partitioning only where the plan behind it is not adaptive, so adaptive plans are off meanwhile.
+    """
+    spark = df.sparkSession
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(by_task(df), key))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def number(df: DataFrame, size: int, share: int) -> int:
     """Buckets for size bytes of which one should get about a share; as many as the session has shuffle partitions at least."""
     return max(by_task(df), -(-size // share))

@@ -33,8 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.buckets import met, number, of, one_by_one, released, small, wide
-from tessera.llm.common import by_task, cut
+from tessera.llm.buckets import laid_out, met, number, of, one_by_one, released, small, wide
+from tessera.llm.common import cut
 
 LENGTH = 100
 #: A perfect difference set. Every number from 1 to 56 is the difference of one pair of its numbers modulo 57.
@@ -73,7 +73,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     packed = named.mapInArrow(deal, "block long, size long, doc_ids array<long>, lengths array<long>, texts binary")
-    return cut(packed.repartition(by_task(docs), "block"))
+    return laid_out(packed, "block")
 
 
 class Block:
