@@ -1,13 +1,14 @@
 """Toxic passages by maximum-scoring segments of token log-odds, calibrated by extreme values.
 
-Learning takes at most `LABELLED` labelled documents (the bound of the fit). Tokens are a text's lower-cased runs of
+Learning takes at most `LABELLED` labelled documents, of equal ones one (the bound of the fit). Tokens are a text's lower-cased runs of
 letters; a token's weight is its log-odds between toxic and other documents under a Dirichlet prior in proportion to the
 token's overall frequency, kept where it is at least `LEAST_Z` standard errors above zero. Openings of four bytes are weighed alike and stand in for tokens that are not known. All other tokens cost
 `DRIFT`. A token's toxic documents count no further than the effective number of its neighbours there, so copies of one
 passage teach no words. A linear-time scan (Ruzzo and Tompa's) finds all maximal scoring segments of a text; a segment of score S in
 n tokens is as rare as K n exp(-lambda S) by extreme-value theory, lambda from the token scores of documents that are not
 toxic and K from those documents. What the significant segments of a text add up to, in natural logarithms of
-rarity, goes through a logistic curve fitted on the same labelled documents.
+rarity, goes through a logistic curve fitted on the same labelled documents, from a histogram of at most `STEPS` steps in
+its logarithm. The driver sees the words that are kept, some sums and that histogram, never a document.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold_of
+from tessera.llm.common import cut, fold_of
 
 LABELLED = 40_000
 LEAST_Z = 3.0
@@ -31,6 +32,8 @@ DRIFT = 0.25
 MOST = 6.0
 PRIOR = 0.05
 OPENING = 4
+#: Steps of a sixty-fourth in the logarithm of evidence that are told apart.
+STEPS = 2048
 _LETTERS = bytes(b if b >= 0x80 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
@@ -103,11 +106,17 @@ class Model:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, held_out: int, bound: int) -> DataFrame:
-    """At most bound labelled documents outside the held-out fold, chosen by a hash of the id; text and toxic."""
+    """At most bound labelled documents outside the held-out fold, those of the least hashes of id and text; text and toxic.
+
+    Rows of one id and text are one document, however many they are; an id may stand for several texts, all under its
+    label. First as many ids are taken by a hash, then, of their rows, those up to the hash that the bound allows.
+    """
     named = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = named.where(fold_of(F.col("doc_id")) != held_out).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     ids = some.select(F.col("doc_id").alias("_labelled"), F.col("toxic").alias("_toxic"))
-    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_labelled")).select("text", F.col("_toxic").alias("toxic"))
+    near = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_labelled")).select(F.xxhash64("doc_id", "text").alias("h"), "text", F.col("_toxic").alias("toxic"))
+    last = near.select("h").distinct().orderBy("h").limit(bound).agg(F.max("h")).first()[0]
+    return near.where(F.col("h") <= F.lit(last).cast("long")).groupBy("h").agg(F.min(F.struct("text", "toxic")).alias("d")).select("d.*")
 
 
 def _counted(labelled: DataFrame) -> DataFrame:
@@ -165,13 +174,13 @@ def _rate(scores: np.ndarray, shares: np.ndarray, drift: float) -> float:
     return low
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Intercept and slope by Newton's method with a little ridge; each class weighs as it is."""
     beta, rows = np.zeros(2), np.stack([np.ones_like(x), x], axis=1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(rows @ beta, -30, 30)))
-        gradient = rows.T @ (y - p) - 1e-3 * beta
-        hessian = (rows * (p * (1 - p))[:, None]).T @ rows + 1e-3 * np.eye(2)
+        gradient = rows.T @ (weight * (y - p)) - 1e-3 * beta
+        hessian = (rows * (weight * p * (1 - p))[:, None]).T @ rows + 1e-3 * np.eye(2)
         step = np.linalg.solve(hessian, gradient)
         beta = beta + step
         if np.abs(step).max() < 1e-8:
@@ -181,7 +190,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def learn(docs: DataFrame, labels: DataFrame, held_out: int = 0, bound: int = LABELLED) -> Model:
     """A model from labelled documents outside the held-out fold; no toxic label or no other one gives one without weights."""
-    labelled = _labelled(docs, labels, held_out, bound)
+    labelled = cut(_labelled(docs, labels, held_out, bound))
     counts = _counted(labelled)
     whole = {bool(r["star"]): r for r in counts.where("token <> X''").groupBy(F.endswith("token", F.lit(b"*")).alias("star")).agg(F.sum("toxic").alias("a"), F.sum("other").alias("b")).collect()}
     if False not in whole or not whole[False]["a"] or not whole[False]["b"]:
@@ -211,13 +220,19 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: int = 0, bound: int = LA
             own = [raw.segments(t) for t in batch["text"]]
             yield pd.DataFrame({"toxic": batch["toxic"], "n": [n for n, _ in own], "scores": [[s for *_, s in segments] for _, segments in own]})
 
-    seen = labelled.mapInPandas(found, "toxic int, n long, scores array<double>").collect()
-    null = [(r["n"], max(r["scores"], default=0.0)) for r in seen if not r["toxic"]]
+    seen = cut(labelled.mapInPandas(found, "toxic int, n long, scores array<double>"))
     x0 = float(np.median(scores))
-    scale = (sum(m >= x0 for _, m in null) + 1) / max(1e-9, sum(n for n, _ in null) * np.exp(-rate * x0))
+    null = seen.where("toxic <= 0").agg(F.count_if(F.coalesce(F.array_max("scores"), F.lit(0.0)) >= x0).alias("high"), F.sum("n").alias("n")).first()
+    scale = (null["high"] + 1) / max(1e-9, (null["n"] or 0) * np.exp(-rate * x0))
     fitted = Model(weights, rate, float(min(scale, 1.0)))
-    evidence = np.array([fitted.evidence(r["n"], r["scores"]) for r in seen])
-    curve = _logistic(np.log1p(evidence), np.array([float(r["toxic"] > 0) for r in seen]))
+
+    def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = np.log1p([fitted.evidence(n, s) for n, s in zip(batch["n"], batch["scores"], strict=True)])
+            yield pd.DataFrame({"toxic": batch["toxic"] > 0, "step": np.minimum(np.rint(64 * own), STEPS - 1).astype(np.int64)})
+
+    steps = seen.mapInPandas(evidence, "toxic boolean, step long").groupBy("toxic", "step").count().orderBy("toxic", "step").collect()
+    curve = _logistic(*(np.array([x[k] for x in ((r["step"] / 64, float(r["toxic"]), float(r["count"])) for r in steps)]) for k in range(3)))
     return Model(weights, rate, fitted.scale, curve)
 
 
@@ -249,7 +264,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> Da
 
     Null and empty texts have no segments and get the curve's start; rows that repeat get equal scores; a null doc_id
     counts as the text 'null' in the fold. Labels that disagree count as toxic. Without labels of both kinds all
-    scores are near zero. Of docs only doc_id and text are read, so other columns may have any name.
+    scores are near zero. doc_id has any type. Of docs only doc_id and text are read, so other columns may have any name.
     """
     narrow = docs.select("doc_id", "text")
     out = scored(narrow, learn(narrow, labels, held_out))
