@@ -29,6 +29,16 @@ def with_least(rows: DataFrame, key: str, value: str, name: str, by: str) -> Dat
     return salted.join(parts.select(key, "_salt").join(whole, key), [key, "_salt"]).drop("_salt")
 
 
+def met(rows: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join of rows with a table of one row a key (not null); rows of one key stay apart by a hash of column `by`.
+
+    Only keys and salts that rows have are joined with the table first, so a key without many rows is sent once.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    parts = salted.select(key, "_salt").distinct().join(one, key)
+    return salted.join(parts, [key, "_salt"]).drop("_salt")
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step: large links each node's larger neighbours to its least one, small links the smaller ones and itself."""
     if large:

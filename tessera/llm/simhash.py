@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import by_task, cut
-from tessera.llm.components import components, with_least
+from tessera.llm.components import components, met, with_least
 
 RADIUS = 4
 WIDTH = 4
@@ -255,7 +255,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH) -
     joined = components(links(heads.select("fp"), radius))
     of = heads.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = with_least(of, "component", "head", "component_id", by="fp").select("fp", "component_id")
-    return all_fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return met(all_fps, named, "fp", by="doc_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _texts(named: DataFrame) -> DataFrame:
+    """One row for each doc_id and text: doc_id, node (the text's hash), text. Rows that repeat are merged where they are read."""
+    return named.groupBy("doc_id", F.xxhash64("text").alias("node")).agg(F.min("text").alias("text"))
 
 
 def _similar(edges: DataFrame, docs: DataFrame, heads: DataFrame, least: float) -> DataFrame:
@@ -276,22 +281,24 @@ def _similar(edges: DataFrame, docs: DataFrame, heads: DataFrame, least: float)
         return pd.Series(out, dtype=bool)
 
     nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(heads.select("node", "head"), "node")
-    texts = docs.select(F.col("doc_id").alias("head"), "text", F.xxhash64("text").alias("node")).join(nodes, ["head", "node"]).dropDuplicates(["node"]).select("node", "text")
+    texts = _texts(docs).withColumnRenamed("doc_id", "head").join(nodes, ["head", "node"]).select("node", "text")
     sets = cut(texts.mapInArrow(read, "node long, own binary"))
-    met = edges.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
-    return met.where(near("a", "b")).select("u", "v")
+    one = met(edges, sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u", by="v")
+    both = met(one, sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v", by="u")
+    return both.where(near("a", "b")).select("u", "v")
 
 
 def one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The documents with the least doc_id of each group of near copies; all columns stay.
 
     A group is what links of Jaccard similarity `similar` (0.8 or more) between sets of five-word shingles join. Equal texts
-    are one first. Of rows that repeat doc_id and text one stays; a doc_id that stands for several texts is each of
+    are one first. Of rows that repeat doc_id and text one stays, that of the least hash of all its columns, so
+    recomputed tasks choose alike; a doc_id that stands for several texts is each of
     them. Wordless texts are one group. Rows with a null doc_id stay as they are, since no id can name them.
     """
     named = docs.where("doc_id is not null").select("doc_id", "text")
     first = named.groupBy(F.xxhash64("text").alias("node")).agg(F.min("doc_id").alias("head"))
-    firsts = named.select(F.col("doc_id").alias("head"), "text", F.xxhash64("text").alias("node")).join(first, ["head", "node"]).dropDuplicates(["node"])
+    firsts = _texts(named).withColumnRenamed("doc_id", "head").join(first, ["head", "node"])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,5 +312,7 @@ def one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     joined = components(_similar(edges, named, heads, similar))
     of = heads.select("node", "head").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     kept = of.groupBy("component").agg(F.min(F.struct("head", "node")).alias("least")).select("least.head", "least.node")
-    unique = docs.join(kept, (docs["doc_id"] == kept["head"]) & (F.xxhash64(docs["text"]) == kept["node"]), "left_semi").dropDuplicates(["doc_id", "text"])
-    return unique.union(docs.where("doc_id is null"))
+    own = F.struct(*(docs[f"`{c}`"] for c in docs.columns))
+    rows = docs.select(docs["doc_id"].alias("head"), F.xxhash64(docs["text"]).alias("node"), own.alias("own"), F.xxhash64(F.to_json(own)).alias("order"))
+    unique = rows.where("head is not null").join(kept, ["head", "node"], "left_semi").groupBy("head", "node").agg(F.min_by("own", "order").alias("own"))
+    return unique.select("own.*").union(docs.where("doc_id is null"))

@@ -139,3 +139,17 @@ def test_hot_component_is_dealt_out(spark):
     assert got == {**dict.fromkeys(range(3000), 0), **dict.fromkeys(range(5000, 5101), 5000)}
     rows = spark.createDataFrame([(1, None, 1), (1, 7, 2), (1, 4, 3), (2, None, 4), (None, 3, 5)], "k long, x long, at long")
     assert {(r.k, r.x, r.at, r.m) for r in C.with_least(rows, "k", "x", "m", by="at").collect()} == {(1, None, 1, 4), (1, 7, 2, 4), (1, 4, 3, 4), (2, None, 4, None)}
+
+
+def test_repeated_rows_with_other_columns_are_chosen_alike(spark):
+    rows = [(1, "some text of five words", k, {"a": k}) for k in range(50)] + [(2, "some other text of six words", 7, None), (None, "some text of five words", 8, {}), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` long, own map<string, long>")
+    found = [sorted(map(str, simhash.one_of_each(docs.repartition(n)).collect())) for n in (1, 3, 7)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 4
+
+
+def test_hot_copies_are_dealt_out(spark):
+    """Equal texts under many ids meet their component by key and salt."""
+    docs = spark.range(5000).selectExpr("id as doc_id", "if(id % 3 = 0, 'the one text', concat('text of its own ', id)) as text")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).where("doc_id % 3 = 0").collect()}
+    assert got == dict.fromkeys(range(0, 5000, 3), 0)
