@@ -11,12 +11,13 @@ expectation-maximisation on held-out counts: documents of one part of the traini
 part are predicted. Final counts are those of both parts. A text begins behind two start marks and ends with an end
 mark, which is a word. As in the base score, all unknown words are one type; all types together sum to one.
 
-How it runs. Documents are written as blocks of some `BLOCK` bytes of text, each of one part. A block's n-grams are
-counted within the block, and each distinct one goes once, as part of a packed sorted array, to the partition that its key names;
-so a word, pair or passage that a third of all rows hold arrives once a block there, and no key is hot. A partition adds
-up its n-grams over all blocks and answers each block with the counts in the block's own order. Blocks meet their
-answers (a co-group by block) and score their documents. Tables of n-grams are never in one task or on the driver; the
-driver sees histograms of at most `BUCKETS` x 2 `LEVELS` cells and some totals.
+How it runs. Documents are written as blocks of text, each of one part; blocks grow with the corpus from `BLOCK` to `MOST_BLOCK`
+bytes. A block's n-grams are counted within the block, and each distinct one goes once, as part of a packed sorted array, to the
+bucket of its key (`buckets.py`): at most one row a bucket and order, never more rows than n-grams, and for `MOST_BUCKETS`
+buckets at most a fixed number a block. So a word, pair or passage that a third of all rows hold arrives once a block, and no
+key is hot. Tasks hold one bucket at a time, add up its n-grams over all blocks and answer each block with the counts in the
+block's own order. Blocks meet their answers (a co-group by block) and score their documents. Tables of n-grams are never in
+one task or on the driver; the driver sees histograms of at most `BUCKETS` x 2 `LEVELS` cells and some totals.
 
 Keys are hashes. Those of words have 62 bits: among n distinct words two share one with a chance of some n * n / 2**63. Those of
 pairs and triples have `SPARE` bits more than the binary logarithm of the corpus' bytes, 62 at most, so whatever the size
@@ -35,12 +36,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_task, fold_of, new_folder
+from tessera.llm.buckets import met, number, of, one_by_one, small, wide
+from tessera.llm.common import fold_of, new_folder
 
-#: Bytes of text in a block, unless one document has more.
-BLOCK = 4 << 20
-#: Bytes of text whose n-grams one partition adds up, about.
-SHARE = 8 << 20
+#: Bytes of text in a block, unless one document has more: the least, the most, and how many blocks there are before they grow.
+BLOCK, MOST_BLOCK, BLOCKS = 4 << 20, 64 << 20, 1 << 16
+#: Bytes of text whose n-grams meet in one bucket, about; and how many buckets there are before these grow.
+SHARE, MOST_BUCKETS = 8 << 20, 1 << 20
 SPARE = 20
 BUCKETS = 40
 #: Sixteenths of a power of two that are kept apart on each side when an estimate is held against the lower order's.
@@ -84,28 +86,8 @@ def grams(texts: list[bytes], bits: int = 62) -> tuple[list[np.ndarray], np.ndar
     return [_mixed(first) >> np.uint64(2), second >> np.uint64(64 - bits), third >> np.uint64(64 - bits)], lengths
 
 
-def _small(x: np.ndarray) -> bytes:
-    """Unsigned numbers, compressed: in as few bytes each as the largest needs, all lowest bytes first and all highest ones last."""
-    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-    return bytes([width]) + len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
-
-
-def _wide(data: bytes) -> np.ndarray:
-    """The numbers of `_small`."""
-    width, n = data[0], int.from_bytes(data[1:9], "little")
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(pa.decompress(data[9:], decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
-    return out.view("<u8").reshape(-1).astype(np.uint64)
-
-
-def _homes(parts: int, bits: int) -> np.ndarray:
-    """The least key of each partition: keys are dealt out in their own order."""
-    return np.array([(k << bits) // parts for k in range(parts)], np.uint64)
-
-
-def _blocks(docs: DataFrame, part: Column) -> DataFrame:
-    """All documents in blocks of one part each, as a table in the shared folder: block, part, bytes, doc_ids, lengths, texts.
+def _blocks(docs: DataFrame, part: Column, most: int) -> DataFrame:
+    """All documents in blocks of one part and at most `most` bytes each, as a table in the shared folder: block, part, bytes, doc_ids, lengths, texts.
 
     texts are the block's UTF-8 bytes one behind the other (null: none), compressed.
     """
@@ -132,7 +114,7 @@ def _blocks(docs: DataFrame, part: Column) -> DataFrame:
                 ends = np.cumsum(np.append(0, pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)))
                 at = 0
                 while at < len(texts):
-                    upto = int(np.searchsorted(ends, ends[at] + BLOCK - size[which], side="right")) - 1
+                    upto = int(np.searchsorted(ends, ends[at] + most - size[which], side="right")) - 1
                     upto = min(max(upto, at if held[which] else at + 1), len(texts))
                     if upto > at:
                         held[which].append((rows["doc_id"].slice(at, upto - at), texts.slice(at, upto - at)))
@@ -145,7 +127,7 @@ def _blocks(docs: DataFrame, part: Column) -> DataFrame:
                 yield block(which)
 
     place, schema = new_folder(docs.sparkSession, "lm-blocks"), f"block long, part int, bytes long, doc_ids array<{kind}>, lengths array<long>, texts binary"
-    docs.select(part.alias("part"), "doc_id", "text").mapInArrow(deal, schema).write.option("parquet.block.size", 4 * BLOCK).parquet(place)
+    docs.select(part.alias("part"), "doc_id", "text").mapInArrow(deal, schema).write.option("parquet.block.size", 16 << 20).parquet(place)
     return docs.sparkSession.read.schema(schema).parquet(place)
 
 
@@ -157,14 +139,14 @@ def _texts(size: int, lengths: list[int], packed: bytes) -> list[bytes]:
     return out
 
 
-def _answers(blocks: DataFrame, parts: int, bits: int) -> DataFrame:
+def _answers(blocks: DataFrame, buckets: int, bits: int) -> DataFrame:
     """Counts of every block's n-grams over all training documents, as a table in the shared folder.
 
-    Rows: block, order, home (a partition), c (counts of the block's distinct keys that live there, ascending by key) and n (for
+    Rows: block, order, bucket, c (counts of the block's distinct keys in there, ascending by key) and n (for
     blocks of the held-out part: counts without that part). Rows without a block have in types and tokens how many words
     live there, of both parts and, in early_types and early_tokens, of the first.
     """
-    homes = [_homes(parts, 62), *[_homes(parts, bits)] * 2]
+    sizes = [62, bits, bits]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,52 +157,53 @@ def _answers(blocks: DataFrame, parts: int, bits: int) -> DataFrame:
                     found[order] = None
                     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
                     times, keys = np.diff(first, append=len(keys)), keys[first]
-                    cuts = np.append(np.searchsorted(keys, homes[order]), len(keys))
-                    at = np.flatnonzero(np.diff(cuts))
-                    bodies = [(_small(np.diff(keys[cuts[k] : cuts[k + 1]], prepend=homes[order][k])), _small(times[cuts[k] : cuts[k + 1]])) for k in at]
-                    own = [pa.array([x] * len(at), t) for x, t in ((order, pa.int32()), (block, pa.int64()), (part, pa.int32()))]
-                    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *own, *(pa.array([b[k] for b in bodies], pa.binary()) for k in (0, 1))], ["home", "order", "block", "part", "keys", "times"])
+                    home = of(keys << np.uint64(64 - sizes[order]), buckets)
+                    cuts = np.flatnonzero(np.diff(home, prepend=-1)).tolist()
+                    bodies = [(small(np.diff(keys[a:b])), small(times[a:b])) for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=False)]
+                    own = [pa.array([x] * len(cuts), t) for x, t in ((order, pa.int32()), (block, pa.int64()), (part, pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([pa.array(home[cuts], pa.int64()), *own, pa.array(keys[cuts].astype(np.int64)), *(pa.array([b[k] for b in bodies], pa.binary()) for k in (0, 1))], ["bucket", "order", "block", "part", "low", "keys", "times"])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent = [b for b in batches if b.num_rows]
-        for order in range(3):
-            rows = pa.Table.from_batches([b.filter(pc.equal(b["order"], order)) for b in sent]) if sent else None
-            if rows is None or not rows.num_rows:
-                continue
-            home, block, part = (rows[c].to_numpy() for c in ("home", "block", "part"))
-            keys = [np.cumsum(_wide(k.as_py()), dtype=np.uint64) + homes[order][h] for k, h in zip(rows["keys"], home, strict=True)]
-            times = np.concatenate([_wide(t.as_py()) for t in rows["times"]]).astype(np.int64)
-            lengths = np.array([len(k) for k in keys])
-            distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
-            del keys
-            whose = np.repeat(part, lengths)
-            n = np.bincount(of, times * (whose == ESTIMATE), len(distinct)).astype(np.int64)
-            c = n + np.bincount(of, times * (whose == HELD), len(distinct)).astype(np.int64)
-            if order == 0:
-                sums = ((c > 0).sum(), c.sum(), (n > 0).sum(), n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), *[pa.array([None], pa.int32())] * 2, *[pa.array([None], pa.binary())] * 2, *(pa.array([int(x)], pa.int64()) for x in sums)], names)
-            ends = np.cumsum(lengths)
-            for a in range(0, len(block), 256):
-                at = range(a, min(a + 256, len(block)))
-                own = [of[ends[k] - lengths[k] : ends[k]] for k in at]
-                early = [_small(n[x]) if part[k] == HELD else None for k, x in zip(at, own, strict=True)]
-                none = pa.array([None] * len(at), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(block[at], pa.int64()), pa.array([order] * len(at), pa.int32()), pa.array(home[at], pa.int32()), pa.array([_small(c[x]) for x in own], pa.binary()), pa.array(early, pa.binary()), *[none] * 4], names)
-
-    names = ["block", "order", "home", "c", "n", *TOTALS]
-    place, schema = new_folder(blocks.sparkSession, "lm-counts"), "block long, order int, home int, c binary, n binary, " + ", ".join(f"{x} long" for x in TOTALS)
-    sent = blocks.drop("doc_ids").mapInArrow(send, "home int, order int, block long, part int, keys binary, times binary")
-    sent.repartitionById(parts, F.col("home")).mapInArrow(add_up, schema).write.option("parquet.block.size", 4 * BLOCK).parquet(place)
+        for sent in one_by_one(batches):
+            bucket = sent["bucket"][0].as_py()
+            for order in range(3):
+                rows = sent.filter(pc.equal(sent["order"], order))
+                if not rows.num_rows:
+                    continue
+                low, block, part = (rows[c].to_numpy() for c in ("low", "block", "part"))
+                keys = [np.cumsum(np.append(np.uint64(a), wide(k.as_py())), dtype=np.uint64) for a, k in zip(low, rows["keys"], strict=True)]
+                times = np.concatenate([wide(t.as_py()) for t in rows["times"]]).astype(np.int64)
+                lengths = np.array([len(k) for k in keys])
+                distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+                del keys
+                whose = np.repeat(part, lengths)
+                n = np.bincount(which, times * (whose == ESTIMATE), len(distinct)).astype(np.int64)
+                c = n + np.bincount(which, times * (whose == HELD), len(distinct)).astype(np.int64)
+                if order == 0:
+                    sums = ((c > 0).sum(), c.sum(), (n > 0).sum(), n.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int32()), pa.array([None], pa.int64()), *[pa.array([None], pa.binary())] * 2, *(pa.array([int(x)], pa.int64()) for x in sums)], names)
+                ends = np.cumsum(lengths)
+                for a in range(0, len(block), 256):
+                    at = range(a, min(a + 256, len(block)))
+                    own = [which[ends[k] - lengths[k] : ends[k]] for k in at]
+                    early = [small(n[x]) if part[k] == HELD else None for k, x in zip(at, own, strict=True)]
+                    none = pa.array([None] * len(at), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(block[at], pa.int64()), pa.array([order] * len(at), pa.int32()), pa.array([bucket] * len(at), pa.int64()), pa.array([small(c[x]) for x in own], pa.binary()), pa.array(early, pa.binary()), *[none] * 4], names)
+
+    names = ["block", "order", "bucket", "c", "n", *TOTALS]
+    place, schema = new_folder(blocks.sparkSession, "lm-counts"), "block long, order int, bucket long, c binary, n binary, " + ", ".join(f"{x} long" for x in TOTALS)
+    sent = blocks.drop("doc_ids").mapInArrow(send, "bucket long, order int, block long, part int, low long, keys binary, times binary")
+    met(sent, buckets).mapInArrow(add_up, schema).write.option("parquet.block.size", 16 << 20).parquet(place)
     return blocks.sparkSession.read.schema(schema).parquet(place)
 
 
 def _counts(block: pa.Table, answers: pa.Table, column: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts of the n-grams that end at each token of a block, a row for each order; and the texts' lengths."""
     found, lengths = grams(_texts(*(block[k][0].as_py() for k in ("bytes", "lengths", "texts"))), bits)
-    by, home, out = answers["order"].to_numpy(), answers["home"].to_numpy(), []
+    by, home, out = answers["order"].to_numpy(), answers["bucket"].to_numpy(), []
     for order in range(3):
         mine = np.flatnonzero(by == order)
-        counts = np.concatenate([_wide(answers[column][int(k)].as_py()) for k in mine[np.argsort(home[mine])]]).astype(np.int64)
+        counts = np.concatenate([wide(answers[column][int(k)].as_py()) for k in mine[np.argsort(home[mine])]]).astype(np.int64)
         distinct, of = np.unique(found[order], return_inverse=True)
         if len(counts) != len(distinct):
             raise ValueError("a block and its counts do not belong together")
@@ -285,8 +268,8 @@ def _learn(blocks: DataFrame, answers: DataFrame, bits: int, totals: tuple[int,
 
     names = ["n1", "n2", "n3", "m2", "m3", "times"]
     schema, place = ", ".join(f"{x} long" for x in names), new_folder(blocks.sparkSession, "lm-held-out")
-    met = blocks.where(F.col("part") == HELD).drop("doc_ids").groupBy("block").cogroup(answers.where("n is not null").select("block", "order", "home", "n").groupBy("block"))
-    met.applyInArrow(tokens, schema).write.parquet(place)
+    there = blocks.where(F.col("part") == HELD).drop("doc_ids").groupBy("block").cogroup(answers.where("n is not null").select("block", "order", "bucket", "n").groupBy("block"))
+    there.applyInArrow(tokens, schema).write.parquet(place)
     held = blocks.sparkSession.read.schema(schema).parquet(place)
 
     def collected(told) -> np.ndarray:
@@ -335,10 +318,11 @@ def scored(docs: DataFrame, fold: int = 1, folds: int = 5) -> DataFrame:
     """
     spark, doc_id = docs.sparkSession, F.col("doc_id")
     part = F.when(fold_of(doc_id, folds) == fold, OTHER).otherwise((F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0).cast("int"))
-    blocks = _blocks(docs.select("doc_id", "text"), part)
+    length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = _blocks(docs.select("doc_id", "text"), part, min(MOST_BLOCK, max(BLOCK, length // BLOCKS)))
     size = blocks.agg(F.sum("bytes") + F.sum(F.size("doc_ids"))).first()[0] or 0
     bits = min(62, size.bit_length() + SPARE)
-    answers = _answers(blocks, max(by_task(docs), -(-size // SHARE)), bits)
+    answers = _answers(blocks, min(MOST_BUCKETS, number(docs, size, SHARE)), bits)
     texts = {r["part"]: r["n"] for r in blocks.groupBy("part").agg(F.sum(F.size("doc_ids")).alias("n")).collect()}
     v, n, early_v, early_n = (x or 0 for x in answers.where("block is null").agg(*map(F.sum, TOTALS)).first())
     answers = answers.where("block is not null")
@@ -349,7 +333,7 @@ def scored(docs: DataFrame, fold: int = 1, folds: int = 5) -> DataFrame:
         first, shares = (0.4, 0.4, 0.2) if n else (0.0, 0.0, 1.0), [np.append(0.0, np.full(BUCKETS - 1, 0.5))] * 2
     below = float(np.log10(n + 0.5 * (v + 1)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    met = blocks.groupBy("block").cogroup(answers.select("block", "order", "home", "c").groupBy("block"))
+    there = blocks.groupBy("block").cogroup(answers.select("block", "order", "bucket", "c").groupBy("block"))
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         counts, lengths = _counts(left, right, "c", bits)
@@ -359,5 +343,5 @@ def scored(docs: DataFrame, fold: int = 1, folds: int = 5) -> DataFrame:
         ids = left["doc_ids"].combine_chunks().flatten()
         return pa.table([ids, pa.array(lengths), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    out = met.applyInArrow(judge, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    out = there.applyInArrow(judge, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", (fold_of(doc_id, folds) == fold).alias("held_out"), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")

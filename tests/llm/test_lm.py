@@ -128,7 +128,7 @@ def test_probabilities_sum_to_one(spark):
 def test_packed_numbers():
     rng = np.random.default_rng(0)
     for x in (np.array([], np.uint64), np.array([0]), rng.integers(0, 1 << 62, 50).astype(np.uint64), np.array([255, 256])):
-        assert np.array_equal(lm._wide(lm._small(x)), x)
+        assert np.array_equal(lm.wide(lm.small(x)), x)
 
 
 def test_hot_words_and_repeated_documents(spark):
@@ -154,3 +154,21 @@ def test_ids_stay_exact_beside_nulls(spark):
 
 def test_empty(spark, no_docs):
     assert lm.scored(no_docs).count() == 0
+
+
+def test_rows_sent_are_bounded(spark, monkeypatch):
+    """A block sends no more rows than n-grams, and no more than three a bucket; results do not depend on blocks and buckets."""
+    rows = [(k, " ".join(f"w{(k * j) % 97}" for j in range(k % 40))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = sorted((r.doc_id, r.n_known, round(r.score, 9)) for r in lm.scored(docs).collect())
+    for buckets, block in ((5, 2000), (60, 700)):
+        monkeypatch.setattr(lm, "number", lambda *_, n=buckets: n)
+        monkeypatch.setattr(lm, "BLOCK", block)
+        blocks = lm._blocks(docs, lm.F.lit(lm.OTHER), block)
+        n_blocks, size = blocks.count(), blocks.agg(lm.F.sum("bytes")).first()[0]
+        answers = lm._answers(blocks, buckets, 50).where("block is not null")
+        sent = answers.count()
+        assert n_blocks > 4 and sent <= 3 * buckets * n_blocks and sent <= 3 * size
+        assert sorted((r.doc_id, r.n_known, round(r.score, 9)) for r in lm.scored(docs).collect()) == want
+    monkeypatch.setattr(lm, "MOST_BUCKETS", 3)
+    assert sorted((r.doc_id, r.n_known, round(r.score, 9)) for r in lm.scored(docs).collect()) == want
