@@ -13,6 +13,7 @@ from tessera.operators import evidence as E
 from tessera.plans.registry import query
 from tessera.plans.texts import _LOW, _SAID, _said
 from tessera.session import table
+from tessera.streaming import cache
 
 _EXPECTED = "case when toxic = 1 then 'contradicted' when quality = 1 then 'supported' else 'insufficient_evidence' end"
 _ACTUAL = "case doc_id % 4 when 0 then 'contradicted' when 1 then 'insufficient_evidence' else 'supported' end"
@@ -83,17 +84,27 @@ def search_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.search_cost(e.select("run_id", depth.alias("depth")), runs)
 
 
-@query(
+_CACHE_SQL = (
     "with f as (select event_id, user_id, event_type || (event_id % 7) as key from events), o as (select *, row_number() over (partition by user_id, key order by event_id) = 1 as first from f), "
     "n as (select *, case when first then count(*) filter (where first) over (partition by user_id order by event_id) end as call from o) "
     "select event_id, case when max(call) over (partition by user_id, key) > 12 then 'blocked' when first then 'miss' else 'hit' end as status from n"
 )
+
+
+@query(_CACHE_SQL)
 def search_cache_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as search requests of users: served from the cache, called, or blocked by a budget of twelve calls."""
     e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("run_id"), F.concat("event_type", (F.col("event_id") % 7).cast("string")).alias("key"), F.col("event_id").alias("seq"))
     return V.cache_with_budget(e, 12).select("event_id", "status")
 
 
+@query(_CACHE_SQL)
+def search_cache_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests as a stream with keyed state, in three parts with a restart from the checkpoint before each."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.concat("event_type", (F.col("event_id") % 7).cast("string")).alias("key"), F.col("event_id").alias("seq"), "ts", F.lit(False).alias("failed"))
+    return cache.replayed(spark, e, 12).select(F.col("seq").alias("event_id"), "status")
+
+
 @query(
     "with m as (select event_type as name, avg(value) filter (where event_id % 2 = 0) as b, avg(value) filter (where event_id % 2 = 1) as a from events group by 1) select name, round(b, 6) as before, round(a, 6) as after, round(a - b, 6) as delta from m"
 )

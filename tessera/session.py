@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores else df
 
 
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or one of our own where it is unset and all run here."""
+    context = spark.sparkContext
+    place = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not place and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return f"{(place or tempfile.mkdtemp(prefix='tessera-')).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut, kept in the folder of spark.checkpoint.dir; one of our own where it is unset and all run here."""
     context = df.sparkSession.sparkContext
