@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,32 +28,22 @@ def utility_scores(scored: DataFrame) -> DataFrame:
 
 
 def rerank(passages: DataFrame, limit: int = 8) -> DataFrame:
-    """The passages of each claim by utility, hosts repeated only behind the first half, and one of a second host if need be.
+    """The passages of each claim by utility, hosts repeated only behind the first half: claim_id, seq, place.
 
-    passages: claim_id, seq, host, utility, source_score. What the greedy choice can take is found by windows first: the
-    best `limit` of a host and the best `limit` + 1 hosts; so a group holds at most limit * (limit + 1) rows.
+    passages: claim_id, seq (orderable), host, utility, source_score. Taking one by one means: the first of each of the first
+    limit / 2 hosts (two at least), and behind the last of these whatever comes, up to the limit; with fewer hosts only the
+    first of each. The best `limit` of a host and the best `limit` hosts are all that can be taken, so
+    no window over a whole claim sees more than limit * limit rows.
     """
-    order = [F.desc("utility"), F.desc("source_score"), F.col("seq")]
+    order, half = [F.desc("utility"), F.desc("source_score"), F.col("seq")], max(2, limit // 2)
+    own = Window.partitionBy("claim_id")
     narrow = passages.select("claim_id", "seq", "utility", "source_score", U.registered_root(F.col("host")).alias("root"))
     of_root = narrow.withColumn("_k", F.row_number().over(Window.partitionBy("claim_id", "root").orderBy(*order))).where(F.col("_k") <= limit)
-    lead = F.row_number().over(Window.partitionBy("claim_id").orderBy("_k", *order))
-    leads = of_root.where("_k = 1").withColumn("_lead", lead).where(F.col("_lead") <= limit + 1).select("claim_id", "root")
-    few = of_root.join(leads, ["claim_id", "root"], "left_semi")
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        ranked = group.sort_values(["utility", "source_score", "seq"], ascending=[False, False, True])
-        taken, roots = [], set()
-        for row in ranked.itertuples():
-            if len(taken) >= limit:
-                break
-            if row.root not in roots or len(taken) >= max(2, limit // 2):
-                taken.append(row.seq)
-                roots.add(row.root)
-        if len(roots) < 2:
-            taken += ranked.loc[~ranked["root"].isin(roots), "seq"].head(1).tolist()
-        return pd.DataFrame({"claim_id": group["claim_id"].iloc[0], "seq": taken, "place": range(1, len(taken) + 1)})
-
-    return few.groupBy("claim_id").applyInPandas(pick, "claim_id long, seq long, place int")
+    leads = of_root.where("_k = 1").withColumn("_host", F.row_number().over(own.orderBy(*order))).where(F.col("_host") <= limit).select("claim_id", "root", "_host")
+    few = of_root.join(leads, ["claim_id", "root"]).withColumn("_at", F.row_number().over(own.orderBy(*order)))
+    last = F.max(F.when((F.col("_k") == 1) & (F.col("_host") == half), F.col("_at"))).over(own)
+    taken = few.withColumn("_last", last).where(((F.col("_k") == 1) & (F.col("_host") <= half)) | (F.col("_at") > F.col("_last")))
+    return taken.withColumn("place", F.row_number().over(own.orderBy("_at"))).where(F.col("place") <= limit).select("claim_id", "seq", "place")
 
 
 def bundles(support: DataFrame, claims: DataFrame) -> DataFrame:

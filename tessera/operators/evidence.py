@@ -51,16 +51,24 @@ def score_results(results: DataFrame, claims: DataFrame, as_of: str) -> DataFram
 def gate(scored: DataFrame, limit: int = K.GATE_LIMIT) -> DataFrame:
     """The best results of each claim: one for each canonical address (first of equal ones), at most limit, with rank.
 
-    Needs claim_id, canonical_url, seq, source_score, primary_score and spam; the merge is a partial aggregate, the limit a
+    Needs claim_id, canonical_url, seq (of any orderable type), source_score, primary_score and spam; the merge is a partial aggregate, the limit a
     window that keeps limit rows a task before it shuffles.
     """
     rest = [c for c in scored.columns if c not in ("claim_id", "canonical_url")]
-    merged = scored.groupBy("claim_id", "canonical_url").agg(F.max_by(F.struct(*rest), F.struct("source_score", -F.col("seq"))).alias("_best"), F.min("seq").alias("_slot"))
+    merged = scored.groupBy("claim_id", "canonical_url").agg(F.min_by(F.struct(*rest), F.struct(F.col("source_score").isNull(), -F.col("source_score"), "seq")).alias("_best"), F.min("seq").alias("_slot"))
     flat = merged.select("claim_id", "canonical_url", "_best.*", "_slot")
     order = Window.partitionBy("claim_id").orderBy(F.desc("source_score"), F.desc("primary_score"), "spam", "_slot")
     return flat.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("_slot")
 
 
+def fetch_order(candidates: DataFrame, order: list, limit: int) -> DataFrame:
+    """The first `limit` candidates of each claim (claim_id, root): the best of each root in the order given, then all others; with pick."""
+    of_root = F.row_number().over(Window.partitionBy("claim_id", "root").orderBy(*order))
+    few = candidates.withColumn("_of_root", of_root).where(F.col("_of_root") <= limit)
+    pick = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.col("_of_root") > 1, *order))
+    return few.withColumn("pick", pick).where(F.col("pick") <= limit).drop("_of_root")
+
+
 def passages(text: Column) -> Column:
     """A document's text as passages of whole sentences, up to 420 characters where sentences allow.
 

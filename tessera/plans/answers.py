@@ -16,14 +16,14 @@ _BUDGET = 4000
 
 
 @query(
-    f"with {_ROWS_SQL}, q as (select claim_id, case when seq % 2 = 0 then 'for' else 'against' end as side, seq as place, case when seq % 7 = 0 then 'none' else passage_id end as passage_id, case seq % 3 when 0 then '  ' when 1 then ' Said   so ' || passage_id when 2 then null end as quote from rows) "
+    f"with {_ROWS_SQL}, q as (select claim_id, case when (doc_id + k) % 2 = 0 then 'for' else 'against' end as side, k as place, case when (doc_id + k) % 7 = 0 then 'none' else passage_id end as passage_id, case (doc_id + k) % 3 when 0 then '  ' when 1 then ' Said   so ' || passage_id when 2 then null end as quote from rows) "
     f"select claim_id, side, place, passage_id, url, md5(case when {T.normalized_sql('quote')} <> '' then {T.normalized_sql('quote')} else left(text, {A.QUOTE_CHARS}) end) as text_md5 from q join rows using (claim_id, passage_id)"
 )
 def verified_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verifier's quotes as spans of the claims' passages."""
-    rows, k = passage_rows(spark, sf_dir), F.col("seq")
+    rows, k = passage_rows(spark, sf_dir), F.col("doc_id") + F.col("k")
     quote = F.when(k % 3 == 0, "  ").when(k % 3 == 1, F.concat(F.lit(" Said   so "), "passage_id"))
-    quotes = rows.select("claim_id", F.when(k % 2 == 0, "for").otherwise("against").alias("side"), k.alias("place"), F.when(k % 7 == 0, "none").otherwise(F.col("passage_id")).alias("passage_id"), quote.alias("quote"))
+    quotes = rows.select("claim_id", F.when(k % 2 == 0, "for").otherwise("against").alias("side"), F.col("k").cast("long").alias("place"), F.when(k % 7 == 0, "none").otherwise(F.col("passage_id")).alias("passage_id"), quote.alias("quote"))
     found = A.spans(quotes, rows.select("claim_id", "passage_id", "url", F.col("host").alias("title"), F.lit("").alias("section"), "text"))
     return found.select("claim_id", "side", "place", "passage_id", "url", F.md5("text").alias("text_md5"))
 

@@ -23,10 +23,14 @@ AS_OF = "2026-01-01"
 CLAIMS = "(select greatest(1, count(distinct item_id)) from benchmark)"
 
 
+def n_claims(spark: SparkSession, sf_dir: str) -> int:
+    """How many claims there are; one at least."""
+    return max(1, table(spark, sf_dir, "benchmark").select(F.countDistinct("item_id")).first()[0])
+
+
 def to_claims(spark: SparkSession, sf_dir: str, rows: DataFrame, key: str) -> DataFrame:
     """The rows with the claim_id that their key is dealt to."""
-    n = table(spark, sf_dir, "benchmark").select(F.countDistinct("item_id")).first()[0]
-    return rows.withColumn("claim_id", F.pmod(F.col(key), F.lit(max(1, n))))
+    return rows.withColumn("claim_id", F.pmod(F.col(key), F.lit(n_claims(spark, sf_dir))))
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +122,18 @@ def snippet_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("claim_id", F.concat(F.lit("snip-"), (F.col("rank") - 1).cast("string")).alias("passage_id"), F.md5(F.trim("snippet")).alias("text_md5"), F.round(bonus, 6).alias("bonus"))
 
 
+@query(
+    f"with ranked as (select page_id, page_id % {CLAIMS} as claim_id, {U.host_sql('url')} as h, length(html) as score from pages), "
+    f"dealt as (select *, row_number() over (partition by claim_id, root order by score desc, page_id) as of_host from (select *, {U.registered_root_sql('h')} as root from ranked)) "
+    "select page_id, claim_id, root, pick from (select *, row_number() over (partition by claim_id order by of_host > 1, score desc, page_id) as pick from dealt) where pick <= 5"
+)
+def fetch_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each claim the five best pages, the first of each host before seconds; both windows keep five rows a task before they shuffle."""
+    h = F.col("h")
+    p = to_claims(spark, sf_dir, table(spark, sf_dir, "pages"), "page_id").select("page_id", "claim_id", U.host(F.col("url")).alias("h"), F.length("html").alias("score"))
+    return E.fetch_order(p.withColumn("root", U.registered_root(h)), [F.desc("score"), F.col("page_id")], 5).select("page_id", "claim_id", "root", "pick")
+
+
 _CONTENT = T.normalized_sql("text")
 PASSAGES_SQL = (
     f"content as materialized (select doc_id, source, {_CONTENT} as c from documents), cut as materialized (select *, {T.sentences_sql('c')} as s from content), "
@@ -135,15 +151,15 @@ def passage_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages as rows: claim_id, seq, passage_id, url, host, text, source_score."""
+    """Passages as rows: claim_id, doc_id, k, seq (both of these), passage_id, url, host, text, source_score."""
     d = to_claims(spark, sf_dir, table(spark, sf_dir, "documents"), "doc_id")
     host = F.concat("source", F.lit(".example.com"))
     one = d.select("claim_id", "doc_id", host.alias("host"), F.concat(F.lit("https://"), host, F.lit("/"), F.col("doc_id").cast("string")).alias("url"), F.posexplode(E.passages(F.col("text"))).alias("k", "text"))
-    return one.select("claim_id", (F.col("doc_id") * 100000 + F.col("k")).alias("seq"), F.concat_ws(":", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")), F.lit("0"), F.col("k").cast("string")).alias("passage_id"), "url", "host", "text", F.round(F.pmod(F.col("doc_id") * 37, F.lit(101)) / 101, 6).alias("source_score"))
+    return one.select("claim_id", "doc_id", "k", F.struct("doc_id", "k").alias("seq"), F.concat_ws(":", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")), F.lit("0"), F.col("k").cast("string")).alias("passage_id"), "url", "host", "text", F.round(F.pmod(F.col("doc_id") * 37, F.lit(101)) / 101, 6).alias("source_score"))
 
 
 _ROWS_SQL = (
-    f"{PASSAGES_SQL}, rows as materialized (select doc_id % {CLAIMS} as claim_id, doc_id * 100000 + k as seq, 'doc-' || doc_id || ':0:' || k as passage_id, 'https://' || source || '.example.com/' || doc_id as url, source || '.example.com' as host, text, "
+    f"{PASSAGES_SQL}, rows as materialized (select doc_id % {CLAIMS} as claim_id, doc_id, k, {{'doc_id': doc_id, 'k': k}} as seq, 'doc-' || doc_id || ':0:' || k as passage_id, 'https://' || source || '.example.com/' || doc_id as url, source || '.example.com' as host, text, "
     "round((doc_id * 37 % 101) / 101e0, 6) as source_score from (select doc_id, source, unnest(p) as text, generate_subscripts(p, 1) - 1 as k from passaged))"
 )
 

@@ -63,29 +63,29 @@ def claim_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_HOST = T.strings_sql(HOSTS) + f"[(seq % {len(HOSTS)}) + 1]"
+_HOST = T.strings_sql(HOSTS) + f"[((doc_id + k) % {len(HOSTS)}) + 1]"
 _HAY = f"(' ' || {T.fold_sql(T.normalized_sql('title || $$ $$ || left(text, 320)'))} || ' ')"
 _CUES = f"case when {T.any_in_sql(_HAY, K.RELATIONSHIP_CUES)} then 1e0 else 0e0 end + case when contains({_HAY}, 'the') then 0.5e0 else 0e0 end + case when {U.is_official_sql('host')} then 0.5e0 else 0e0 end"
 
 
 @query(
-    f"with c as (select * from ({_DEALT})), {_ROWS_SQL}, p as (select seq // 100000 as claim_id, seq, {_HOST} as host, case seq % 3 when 0 then 'An agency of it' else 'Other' end as title, text, source_score, (seq % 7) / 20e0 as utility from rows), "
+    f"with c as (select * from ({_DEALT})), {_ROWS_SQL}, p as (select doc_id as claim_id, seq, {_HOST} as host, case (doc_id + k) % 3 when 0 then 'An agency of it' else 'Other' end as title, text, source_score, ((doc_id + k) % 7) / 20e0 as utility from rows), "
     f"m as (select p.*, utility >= 0.2e0 or source_score >= 0.7e0 as robust, source_score >= 0.68e0 as strong, {_CUES} >= 1.5e0 as cue from p semi join c using (claim_id)), "
     f"f as (select claim_id, count(*) filter (where robust) as n_robust, count(distinct host) filter (where robust) as rh, count(distinct {U.last_labels_sql('regexp_replace(lower(host), $$^www\\.$$, $$$$)')}) filter (where strong) as sh, bool_or(strong and {U.is_official_sql('host')}) as official, bool_or(strong and cue) as explicit, min(seq) filter (where strong and cue) as fe, min(seq) filter (where robust) as fr from m group by 1), "
     f"r as (select *, case when verdict = 'insufficient_evidence' and {_RELATION} and coalesce(sh, 0) >= 2 and coalesce(official, false) and coalesce(explicit, false) then 'rescue' when verdict = 'supported' and confidence < 0.05e0 then 'floor' when verdict = 'supported' and not strict and {_LISTED} then 'demote' "
     f"when verdict = 'insufficient_evidence' and not strict and shape = 'overview' and not ({_LISTED}) and coalesce(n_robust, 0) >= 2 and coalesce(rh, 0) >= 1 then 'promote' else 'none' end as rule from c left join f using (claim_id)) "
     "select claim_id, rule, case when rule in ('rescue', 'promote') then 'supported' when rule = 'demote' then 'insufficient_evidence' else verdict end as verdict, case rule when 'rescue' then greatest(confidence, 0.72e0) when 'floor' then greatest(confidence, 0.38e0) when 'demote' then least(confidence, 0.62e0) when 'promote' then greatest(confidence, 0.62e0) else confidence end as confidence, "
-    "case rule when 'rescue' then fe when 'promote' then fr end as first_support from r"
+    "case rule when 'rescue' then fe.k when 'promote' then fr.k end as first_support from r"
 )
 def adjusted_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts after the rewrite rules, each document a claim with its own passages."""
     c = _dealt(spark, sf_dir).withColumn("entities", T.strings(["the"]))
-    seq = F.col("seq")
+    n = F.col("doc_id") + F.col("k")
     p = passage_rows(spark, sf_dir).select(
-        F.floor(seq / 100000).alias("claim_id"), "seq", F.element_at(T.strings(HOSTS), (seq % len(HOSTS) + 1).cast("int")).alias("host"), F.when(seq % 3 == 0, "An agency of it").otherwise("Other").alias("title"),
-        "text", "source_score", ((seq % 7) / 20).alias("utility"),
+        F.col("doc_id").alias("claim_id"), "seq", F.element_at(T.strings(HOSTS), (n % len(HOSTS) + 1).cast("int")).alias("host"), F.when(n % 3 == 0, "An agency of it").otherwise("Other").alias("title"),
+        "text", "source_score", ((n % 7) / 20).alias("utility"),
     )
-    return P.adjust(c, p)
+    return P.adjust(c, p).withColumn("first_support", F.col("first_support.k").cast("long"))
 
 
 _DEPTH = "case doc_id % 7 when 0 then 'deep' when 3 then 'snippet_only' when 5 then 'snippet_only' else 'shallow' end"
@@ -106,7 +106,17 @@ def chosen_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.choose_documents(d.select(claim.alias("claim_id"), k.alias("seq"), F.concat_ws(".", "source", "lang", F.lit("example.com")).alias("host"), depth.alias("depth"), ((k * 31 % 17) / 16).alias("source_score"))).select("claim_id", "seq", "depth")
 
 
-@query()
+_ALIKE = "len(list_intersect(p.words, x.words)) / len(list_distinct(list_concat(p.words, x.words))) >= 0.75e0"
+
+
+@query(
+    "with q as (select conv_id, turn, form, case form when 0 then 'What about ' || text else upper('What about ' || text) || ' ?' end as query from conversations, (values (0), (1)) f(form) where role = 'user'), "
+    f"n as (select conv_id, form, turn, {T.normalized_sql('query')} as query from q), k as materialized (select conv_id, row_number() over (partition by conv_id order by form, turn) as number, {T.fold_sql('query')} as key, list_distinct({T.tokens_sql('query')}) as words from n where query <> ''), "
+    "l as (select conv_id, list({'number': number, 'key': key, 'words': words} order by number) as asked from k group by conv_id), "
+    f"a as (select conv_id, list_reduce(asked, lambda kept, x: case when len(kept.v) >= 6 or len(list_filter(kept.v, lambda p: p.key = x.v[1].key or (len(p.words) > 0 and len(x.v[1].words) > 0 and {_ALIKE.replace('x.words', 'x.v[1].words')}))) > 0 then kept else {{'v': list_append(kept.v, x.v[1])}} end) as kept "
+    "from (select conv_id, list_prepend({'v': asked[1:0]}, list_transform(asked, lambda y: {'v': [y]})) as asked from l)) "
+    "select conv_id, len(kept.v)::int as n, array_to_string(list_transform(kept.v, lambda p: p.number), ',') as numbers from a"
+)
 def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The questions of each conversation as variants that are not alike."""
     said = F.concat_ws(" ", F.lit("What about"), "text")

@@ -86,7 +86,7 @@ def query_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_MARKED = "case (conv_id + turn) % 3 when 0 then 'By: ' || left(text, 30) || chr(10) || text when 1 then chr(10) || ' ## ' || left(text, 25) || chr(10) || 'Author:  X' else text end"
+_MARKED = "case (conv_id + turn) % 3 when 0 then 'By: ' || left(text, 30) || chr(10) || text when 1 then chr(10) || ' ## ' || left(text, 25) || chr(10) || 'Author:  X' || chr(10) || text else text end"
 
 
 @query(
@@ -100,7 +100,7 @@ def line_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Author and title lines, slugs and previews of turns, of which two thirds get such lines."""
     text, k = F.col("text"), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3))
     head = lambda n: F.substr(text, F.lit(1), F.lit(n))
-    marked = F.when(k == 0, F.concat(F.lit("By: "), head(30), F.lit("\n"), text)).when(k == 1, F.concat(F.lit("\n ## "), head(25), F.lit("\nAuthor:  X"))).otherwise(text)
+    marked = F.when(k == 0, F.concat(F.lit("By: "), head(30), F.lit("\n"), text)).when(k == 1, F.concat(F.lit("\n ## "), head(25), F.lit("\nAuthor:  X\n"), text)).otherwise(text)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.author(marked).alias("author"), T.markdown_title(marked).alias("title"), T.slug(text).alias("slug"), T.preview(text, 72).alias("preview"))
 
 
