@@ -31,19 +31,17 @@ def rerank(passages: DataFrame, limit: int = 8) -> DataFrame:
     """The passages of each claim by utility, hosts repeated only behind the first half: claim_id, seq, place.
 
     passages: claim_id, seq (orderable), host, utility, source_score. Taking one by one means: the first of each of the first
-    limit / 2 hosts (two at least), and behind the last of these whatever comes, up to the limit; with fewer hosts only the
-    first of each. The best `limit` of a host and the best `limit` hosts are all that can be taken, so
-    no window over a whole claim sees more than limit * limit rows.
+    limit / 2 hosts (two at least), and behind the last of these whatever comes next, up to the limit; with fewer hosts only
+    the first of each. So hosts are summed up by a partial aggregate, and both windows keep a few rows a task.
     """
-    order, half = [F.desc("utility"), F.desc("source_score"), F.col("seq")], max(2, limit // 2)
-    own = Window.partitionBy("claim_id")
-    narrow = passages.select("claim_id", "seq", "utility", "source_score", U.registered_root(F.col("host")).alias("root"))
-    of_root = narrow.withColumn("_k", F.row_number().over(Window.partitionBy("claim_id", "root").orderBy(*order))).where(F.col("_k") <= limit)
-    leads = of_root.where("_k = 1").withColumn("_host", F.row_number().over(own.orderBy(*order))).where(F.col("_host") <= limit).select("claim_id", "root", "_host")
-    few = of_root.join(leads, ["claim_id", "root"]).withColumn("_at", F.row_number().over(own.orderBy(*order)))
-    last = F.max(F.when((F.col("_k") == 1) & (F.col("_host") == half), F.col("_at"))).over(own)
-    taken = few.withColumn("_last", last).where(((F.col("_k") == 1) & (F.col("_host") <= half)) | (F.col("_at") > F.col("_last")))
-    return taken.withColumn("place", F.row_number().over(own.orderBy("_at"))).where(F.col("place") <= limit).select("claim_id", "seq", "place")
+    half, own = max(2, limit // 2), Window.partitionBy("claim_id").orderBy("_order")
+    order = F.struct((-F.col("utility")).alias("u"), (-F.col("source_score")).alias("s"), "seq")
+    narrow = passages.select("claim_id", order.alias("_order"), U.registered_root(F.col("host")).alias("root"))
+    firsts = narrow.groupBy("claim_id", "root").agg(F.min("_order").alias("_order"))
+    leads = firsts.withColumn("place", F.row_number().over(own)).where(F.col("place") <= half).select("claim_id", "_order", "place")
+    last = leads.where(F.col("place") == half).select("claim_id", F.col("_order").alias("_last"))
+    rest = narrow.join(last, "claim_id").where(F.col("_order") > F.col("_last")).withColumn("place", F.row_number().over(own) + half).where(F.col("place") <= limit)
+    return leads.union(rest.select("claim_id", "_order", "place")).select("claim_id", F.col("_order.seq").alias("seq"), "place")
 
 
 def bundles(support: DataFrame, claims: DataFrame) -> DataFrame:
