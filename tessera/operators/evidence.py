@@ -167,22 +167,6 @@ def contract_gaps(requires_primary: Column, has_primary: Column, least_sources:
     return F.filter(named, lambda g: g.isNotNull())
 
 
-def match_claims(expected: DataFrame, runs: DataFrame) -> DataFrame:
-    """For each expected claim (case_id, expected_id, needle) the run (case_id, seq, claim_text) of its case that matches.
-
-    The first run whose text holds the needle or stands in it; else the run that shares most of the needle's distinct
-    words, the first of equals, if that share is 0.6 or more. Runs meet by case.
-    """
-    e = expected.withColumn("_needle", T.fold(F.col("needle"))).withColumn("_words", F.array_distinct(T.match_tokens(F.col("needle"))))
-    r = runs.withColumn("_hay", T.fold(F.col("claim_text"))).withColumn("_own", T.match_tokens(F.col("claim_text")))
-    j = e.join(r, "case_id")
-    holds = F.contains("_hay", F.col("_needle")) | F.contains("_needle", F.col("_hay"))
-    share = F.when(F.size("_words") == 0, 0.0).otherwise(F.size(F.array_intersect("_words", "_own")) / F.size("_words"))
-    j = j.withColumn("_holds", holds).withColumn("share", F.when(holds, 1.0).otherwise(share)).where(F.col("_holds") | (F.col("share") >= 0.6))
-    first = F.max_by(F.struct("seq", "share"), F.struct("_holds", F.when(F.col("_holds"), 1.0).otherwise(F.col("share")), -F.col("seq")))
-    return j.groupBy("case_id", "expected_id").agg(first.alias("m")).select("case_id", "expected_id", F.col("m.seq").alias("seq"), F.round("m.share", 6).alias("share"))
-
-
 def top_overlaps(documents: DataFrame, claims: DataFrame, most: int = 25) -> DataFrame:
     """The documents (doc_id, tokens) that share most of a claim's different tokens (claim_id, tokens): claim_id, doc_id, rank, overlap.
 

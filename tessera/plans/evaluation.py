@@ -10,6 +10,7 @@ from tessera.functions import text as T
 from tessera.functions.urls import host
 from tessera.operators import evaluation as V
 from tessera.operators import evidence as E
+from tessera.operators import matching as M
 from tessera.plans.registry import query
 from tessera.plans.texts import _LOW, _SAID, _said
 from tessera.session import table
@@ -157,7 +158,7 @@ def claim_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, k = F.col("text"), F.col("item_id") % 3
     needle = F.when(k == 0, F.upper(F.substr(text, F.lit(1), F.lit(50)))).when(k == 1, F.concat(F.right(text, F.lit(80)), F.lit(" zzz"))).otherwise(F.concat(F.lit("of the "), F.substr(text, F.lit(1), F.lit(24)), F.lit(" qq ww")))
     expected = b.select(F.col("item_id").alias("expected_id"), (F.col("item_id") % 8).alias("case_id"), needle.alias("needle"))
-    return E.match_claims(expected, b.select(F.col("item_id").alias("seq"), (F.col("item_id") % 8).alias("case_id"), F.col("text").alias("claim_text")))
+    return M.match_claims(expected, b.select(F.col("item_id").alias("seq"), (F.col("item_id") % 8).alias("case_id"), F.col("text").alias("claim_text")))
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import evaluation as V
 from tessera.operators import evidence as E
+from tessera.operators import matching as M
 from tessera.sources import payloads, receipts
 
 
@@ -107,7 +108,7 @@ def test_stop_and_match(spark):
     assert all(r.stop for r in E.stop_check(a, k, s, iteration=2).collect())
     expected = spark.createDataFrame([(1, 1, "Python 3.13.0 released")], "case_id long, expected_id long, needle string")
     runs = spark.createDataFrame([(1, 0, "other"), (1, 1, "Python 3.13.0 was released on October 7, 2024.")], "case_id long, seq long, claim_text string")
-    assert [r.seq for r in E.match_claims(expected, runs).collect()] == [1]
+    assert [r.seq for r in M.match_claims(expected, runs).collect()] == [1]
 
 
 def test_every_benchmark_item_is_a_claim(spark):
