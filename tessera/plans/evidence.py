@@ -134,13 +134,17 @@ def fetch_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.fetch_order(p.withColumn("root", U.registered_root(h)), [F.desc("score"), F.col("page_id")], 5).select("page_id", "claim_id", "root", "pick")
 
 
-_CONTENT = T.normalized_sql("text")
-PASSAGES_SQL = (
-    f"content as materialized (select doc_id, source, {_CONTENT} as c from documents), cut as materialized (select *, {T.sentences_sql('c')} as s from content), "
-    f"folded as (select *, case when len(s) = 0 then null else list_reduce(s, lambda a, x: case when a.run = '' then {{'run': x, 'done': a.done}} when length(a.run || ' ' || x) <= {K.PASSAGE_CHARS} then {{'run': a.run || ' ' || x, 'done': a.done}} "
-    "else {'run': x, 'done': list_append(a.done, a.run)} end, {'run': '', 'done': []::varchar[]}) end as f from cut), "
-    f"passaged as materialized (select doc_id, source, case when c = '' then []::varchar[] when length(c) < {K.LEAST_BLOCK_CHARS} or starts_with(c, '#') then [left(c, {K.PASSAGE_CHARS})] else list_append(f.done, f.run) end as p from folded)"
-)
+def passages_sql(source: str, columns: str, tag: str = "") -> str:
+    """CTEs, the last of them passaged{tag}, with the columns and the passages p of a table's text."""
+    return (
+        f"content{tag} as materialized (select {columns}, {T.normalized_sql('text')} as c from {source}), cut{tag} as materialized (select *, {T.sentences_sql('c')} as s from content{tag}), "
+        f"folded{tag} as (select *, case when len(s) = 0 then null else list_reduce(s, lambda a, x: case when a.run = '' then {{'run': x, 'done': a.done}} when length(a.run || ' ' || x) <= {K.PASSAGE_CHARS} then {{'run': a.run || ' ' || x, 'done': a.done}} "
+        f"else {{'run': x, 'done': list_append(a.done, a.run)}} end, {{'run': '', 'done': []::varchar[]}}) end as f from cut{tag}), "
+        f"passaged{tag} as materialized (select {columns}, case when c = '' then []::varchar[] when length(c) < {K.LEAST_BLOCK_CHARS} or starts_with(c, '#') then [left(c, {K.PASSAGE_CHARS})] else list_append(f.done, f.run) end as p from folded{tag})"
+    )
+
+
+PASSAGES_SQL = passages_sql("documents", "doc_id, source")
 
 
 @query(f"with {PASSAGES_SQL} select doc_id, len(p) as n_passages, md5(array_to_string(p, chr(10))) as passages_md5 from passaged")
