@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import urls as U
-from tessera.functions.entities import entities, region_hint
+from tessera.functions.entities import entities, entities_sql, region_hint, region_hint_sql
 from tessera.plans.registry import query
 from tessera.session import table
 from tessera.sources import html, payloads, receipts
@@ -92,10 +92,16 @@ def html_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("page_id", "title", F.array_join("headings", "|").alias("headings"), F.size("paragraphs").alias("n_paragraphs"), "author", "published", F.md5(line).alias("summary_md5"))
 
 
-@query()
+_NAMED = "case (conv_id + turn) % 4 when 0 then 'What did Bank of America and \"Goldman  Sachs\" say in New York City? ' || text when 1 then 'News from the U.S. Dept. of X1 GPT-4.1, for Astana — ' || text else text end"
+
+
+@query(f"select conv_id, turn, array_to_string({entities_sql(_NAMED)}, '|') as entities, {region_hint_sql(_NAMED)} as region from conversations")
 def text_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities and the region of every turn."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(entities(F.col("text")), "|").alias("entities"), region_hint(F.col("text")).alias("region"))
+    """Entities and the region of every turn; half of them get a beginning with names."""
+    k = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4))
+    said = F.when(k == 0, F.concat(F.lit('What did Bank of America and "Goldman  Sachs" say in New York City? '), "text")).when(k == 1, F.concat(F.lit("News from the U.S. Dept. of X1 GPT-4.1, for Astana — "), "text")).otherwise(F.col("text"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("said"))
+    return c.select("conv_id", "turn", F.array_join(entities(F.col("said")), "|").alias("entities"), region_hint(F.col("said")).alias("region"))
 
 
 @query()

@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import entities as N
 from tessera.functions import text as T
 from tessera.functions import urls as U
 from tessera.sources import html
@@ -42,14 +41,6 @@ def test_citations(spark):
     assert value(spark, T.citation_indices(F.lit("[3] [1] [3] [x]"))) == [1, 3]
 
 
-def test_entities_and_regions():
-    assert {"OpenAI", "GPT-4.1"} <= set(N.find_entities('What did OpenAI announce about "GPT-4.1" in March 2026?'))
-    assert N.find_entities("Bank of America and Goldman Sachs met") == ["Bank of America and", "America and Goldman Sachs", "Goldman Sachs", "Sachs"] or N.find_entities("Bank of America and Goldman Sachs met")[0].startswith("Bank of America")
-    assert N.find_entities(None) == [] and N.find_region(None) is None
-    assert N.find_region("what happened in Astana today") == "Astana"
-    assert N.find_region("latest developments in artificial intelligence") is None
-
-
 def test_priors(spark):
     got = lambda h: value(spark, U.source_prior(F.lit(h)))
     assert got("press.example.com")["domain_type"] == "official" and got("press.example.com")["primary_boost"] > 0
