@@ -28,6 +28,10 @@ END_ID = 0
 PER_PARTITION = 100_000
 
 
+#: What packing adds to its rows.
+ADDED = ("sequence_id", "offset", "partition_bins", "partition_bound", "n_sequences", "least_sequences")
+
+
 def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each length its bin and its offset there; and the room left in each bin."""
     bins, offsets, room = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), []
@@ -94,11 +98,12 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PAR
     """Put rows (column length, 1 to capacity) into sequences.
 
     Adds sequence_id and offset, gapless from 0; partition_bins and partition_bound of the partition that placed the row;
-    n_sequences and least_sequences of the whole: how many there are, and how many any packing needs at least.
+    n_sequences and least_sequences of the whole: how many there are, and how many any packing needs at least. Columns of rows
+    that have one of these names are replaced; all others may have any name.
     """
-    names = rows.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    left = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
+    own = F.struct(*[rows[f"`{c}`"] for c in rows.columns if c not in ADDED])
+    left = cut(rows.select(own.alias("own"), F.col("length").cast("long").alias("length"), F.monotonically_increasing_id().alias("row")))
+    kinds = f"own {left.schema['own'].dataType.simpleString()}, length long, row long"
     bound = global_bound(left, capacity)
     done, count, best, n, turn = [], 0, None, left.count(), 0
     while True:
@@ -109,26 +114,26 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PAR
             if not own:
                 return
             table = pa.Table.from_batches(own)
-            table = table.take(pc.sort_indices(table["_row"])).combine_chunks()
+            table = table.take(pc.sort_indices(table["row"])).combine_chunks()
             lengths = table["length"].to_numpy().astype(np.int64)
             bins, offsets, room = best_fit_decreasing(lengths, capacity)
             least = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
             open_bins = room > 0 if len(room) > least else (room > 0) & (np.arange(len(room)) == room.argmax())
             size, ids = len(lengths), (turn << 48) + (TaskContext.get().partitionId() << 24) + bins
-            for name, values in (("sequence_id", ids), ("offset", offsets), ("partition_bins", np.full(size, len(room))), ("partition_bound", np.full(size, least)), ("_open", open_bins[bins])):
+            for name, values in (("sequence_id", ids), ("offset", offsets), ("partition_bins", np.full(size, len(room))), ("partition_bound", np.full(size, least)), ("open", open_bins[bins])):
                 table = table.append_column(name, pa.array(values))
             yield from table.to_batches(max_chunksize=10_000)
 
-        dealt = left.repartition(parts, F.xxhash64("_row", F.lit(turn))).select(*names, "_row")
-        filled = cut(dealt.mapInArrow(fill, f"{kinds}, _row long, sequence_id long, offset long, partition_bins long, partition_bound long, _open boolean"))
+        dealt = left.repartition(parts, F.xxhash64("row", F.lit(turn))).select("own", "length", "row")
+        filled = cut(dealt.mapInArrow(fill, f"{kinds}, sequence_id long, offset long, partition_bins long, partition_bound long, open boolean"))
         first = F.col("offset") == 0
-        n, opened, kept = filled.agg(F.count_if("_open"), F.count_if(F.col("_open") & first), F.count_if(~F.col("_open") & first)).first()
+        n, opened, kept = filled.agg(F.count_if("open"), F.count_if(F.col("open") & first), F.count_if(~F.col("open") & first)).first()
         whole = count + kept + opened
         last = parts == 1 or not n or whole <= bound or (best is not None and whole >= best)
-        done.append((filled if last else filled.where("not _open")).drop("_row", "_open"))
+        done.append((filled if last else filled.where("not open")).select("own.*", *ADDED[:4]))
         if last:
             break
-        left, count, best, turn = filled.where("_open").select(*names, "_row"), count + kept, whole, turn + 1
+        left, count, best, turn = filled.where("open").select("own", "length", "row"), count + kept, whole, turn + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -146,7 +151,7 @@ def global_bound(rows: DataFrame, capacity: int = CAPACITY) -> int:
 def packed_documents(docs: DataFrame) -> DataFrame:
     """All documents packed: doc_id, piece, start, length, ids_crc32, sequence_id, offset and certificates for each piece.
 
-    A null text is an empty one and takes one place, that of the end id. Rows that repeat a doc_id are packed each.
+    doc_id is an integer. A null text is an empty one and takes one place, that of the end id. Rows that repeat a doc_id are packed each.
     An empty table gives no rows. Other columns are not read.
     """
     return pack(pieces(docs))
