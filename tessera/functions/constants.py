@@ -122,6 +122,7 @@ ANSWER_SAYS = {
     "sources": ("Sources", "Источники"),
     "insufficient": ("Insufficient data", "Недостаточно данных"),
     "caveats": ("Caveats", "Оговорки"),
+    "digest": ("Events from retrieved sources:", "События из источников:"),
     "no_evidence": ("Not enough claim-level evidence for a direct answer.", "Недостаточно подтверждённых утверждений для прямого ответа."),
     "coverage": ("coverage", "покрытие"),
     "open": ("insufficient evidence", "недостаточно данных"),

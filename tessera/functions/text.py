@@ -173,13 +173,36 @@ def has_negation(x: Column, folded_tokens: Column) -> Column:
     return F.arrays_overlap(folded_tokens, strings(K.NEGATION_TOKENS)) | any_in(fold(F.coalesce(x, F.lit(""))), ("debunked", "contradict"))
 
 
-def relative_days(x: Column, as_of: str) -> Column:
-    """Day words replaced by ISO dates relative to as_of; a word with marks behind it keeps none of them."""
-    out = F.coalesce(x, F.lit(""))
-    for marker, offset in K.RELATIVE_DAYS.items():
-        day = F.date_format(F.date_add(F.lit(as_of).cast("date"), F.lit(offset)), "yyyy-MM-dd")
-        out = F.regexp_replace(out, F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}.+/\-_']){marker}(?:[.+/\-_']+(?![\p{{L}}\p{{N}}.+/\-_'])|(?![\p{{L}}\p{{N}}.+/\-_']))"), day)
-    return out
+#: Words and what stands between them; together the whole text.
+PIECE = WORD + r"|[^\p{L}\p{N}]+"
+
+
+def relative_days(x: Column, as_of: Column) -> Column:
+    """Day words replaced by ISO dates relative to the day as_of: a struct of the text and of spans (start from 0, length, day).
+
+    A text is read once as words and what stands between them; a word with marks behind it keeps none of them. Places and
+    lengths are those of the text before, in code points.
+    """
+    pieces = F.transform(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(PIECE), F.lit(0)), lambda p: F.struct(p.alias("p"), fold(F.regexp_replace(p, r"[^\p{L}\p{N}]+$", "")).alias("key")))
+    days = F.create_map(*[F.lit(v) for pair in K.RELATIVE_DAYS.items() for v in pair])
+    day = lambda key: F.date_format(F.date_add(as_of.cast("date"), F.element_at(days, key)), "yyyy-MM-dd")
+    none = F.array().cast("array<struct<start: int, length: int, day: string>>")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"), none.alias("spans"))
+
+    def put(a: Column, p: Column) -> Column:
+        new, n = day(p["key"]), F.length(p["p"])
+        spans = F.when(new.isNotNull(), F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), n.alias("length"), new.alias("day"))))).otherwise(a["spans"])
+        return F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(F.coalesce(new, p["p"]))).alias("out"), spans.alias("spans"))
+
+    return F.aggregate(pieces, start, put, lambda a: F.struct(F.array_join(a["out"], "").alias("text"), a["spans"].alias("spans")))
+
+
+def relative_days_sql(x: str, as_of: str) -> str:
+    """SQL: the pieces of a text as structs of at (from 0), p and day (null: kept)."""
+    bare = fold_sql("regexp_replace(p, '[^\\p{L}\\p{N}]+$', '')")
+    day = " ".join(f"when {quoted(k)} then strftime({as_of} + {v}, '%Y-%m-%d')" for k, v in K.RELATIVE_DAYS.items())
+    pieces = f"regexp_extract_all(coalesce({x}, ''), {quoted(PIECE)})"
+    return f"list_transform([{{'m': {pieces}}}], lambda y: list_transform(y.m, lambda p, i: {{'at': coalesce(list_sum(list_transform(y.m[1:i - 1], lambda q: length(q))), 0)::bigint, 'p': p, 'day': case {bare} {day} end}}))[1]"
 
 
 def author(x: Column) -> Column:

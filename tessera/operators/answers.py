@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import constants as K
 from tessera.functions import text as T
+from tessera.session import checkpointed
 
 QUOTE_CHARS = 220
 SOURCES_A_CLAIM, SOURCES_A_LINE, CONTRADICTING = 3, 2, 2
@@ -15,17 +16,22 @@ SOURCES_A_CLAIM, SOURCES_A_LINE, CONTRADICTING = 3, 2, 2
 def spans(quotes: DataFrame, passages: DataFrame) -> DataFrame:
     """Quotes (claim_id, side, place, passage_id, quote) with the url, title and section of their passages; text is the quote or,
     where it is blank, the passage's beginning. Quotes of passages that the claim does not have are dropped."""
-    text = F.coalesce(F.nullif(T.normalized(F.col("quote")), F.lit("")), F.substr("text", F.lit(1), F.lit(QUOTE_CHARS)))
-    return quotes.join(passages, ["claim_id", "passage_id"]).select("claim_id", "side", "place", "passage_id", "url", "title", "section", text.alias("text"))
+    text = F.coalesce(F.nullif(T.normalized(F.col("quote")), F.lit("")), F.col("text"))
+    heads = passages.select("claim_id", "passage_id", "url", "title", "section", F.substr("text", F.lit(1), F.lit(QUOTE_CHARS)).alias("text"))  # no more is used, or shuffled
+    return quotes.join(heads, ["claim_id", "passage_id"]).select("claim_id", "side", "place", "passage_id", "url", "title", "section", text.alias("text"))
 
 
 def context_blocks(sources: DataFrame, budget: int) -> DataFrame:
     """One prompt context for each id from its numbered sources (id, question, number, title, url, text).
 
-    The budget of characters is shared out evenly, one at least for a source; texts are cut before they meet.
+    The budget of characters is shared out evenly, one at least for a source, so a context is as long as the budget and
+    what names its sources; an id is meant to have as many sources as a prompt may. No text is shuffled
+    beyond the budget: sources are counted without texts, and these cut before they meet the counts.
     """
-    n = F.count("*").over(Window.partitionBy("id"))
-    cut = sources.withColumn("text", F.substr(F.coalesce("text", F.lit("")), F.lit(1), F.greatest(F.lit(1), F.floor(F.lit(budget) / n)).cast("int")))
+    counts = sources.groupBy("id").agg(F.count("*").alias("_n"))
+    n = F.col("_n")
+    heads = sources.withColumn("text", F.substr("text", F.lit(1), F.lit(budget))).join(counts, "id")
+    cut = heads.withColumn("text", F.substr(F.coalesce("text", F.lit("")), F.lit(1), F.greatest(F.lit(1), F.floor(F.lit(budget) / n)).cast("int")))
     a, b, c, d, e = K.CONTEXT_SAYS["source"].split("{}")
     block = F.concat(F.lit(a), F.col("number").cast("string"), F.lit(b), F.coalesce("title", F.lit("")), F.lit(c), F.coalesce("url", F.lit("")), F.lit(d), F.col("text"), F.lit(e))
     blocks = cut.groupBy("id").agg(F.first("question").alias("question"), F.array_sort(F.collect_list(F.struct("number", block.alias("block")))).alias("blocks"))
@@ -87,7 +93,7 @@ def compose(claims: DataFrame) -> DataFrame:
     none, ru = F.array().cast(claims.schema["passages"].dataType), T.is_cyrillic(F.col("question"))
     shown = (F.col("verdict") == "supported") & F.col("publish")
     against = F.col("verdict") == "contradicted"
-    c = claims.withColumn("ru", ru).withColumn("cited", F.when(shown, F.slice("passages", 1, SOURCES_A_CLAIM)).when(against, F.slice("passages", 1, CONTRADICTING)).otherwise(none))
+    c = checkpointed(claims.withColumn("ru", ru).withColumn("cited", F.when(shown, F.slice("passages", 1, SOURCES_A_CLAIM)).when(against, F.slice("passages", 1, CONTRADICTING)).otherwise(none)))
     each = c.select("run_id", "claim_no", F.posexplode("cited").alias("at", "p")).select("run_id", "claim_no", "at", "p.url", "p.title")
     first = each.groupBy("run_id", "url").agg(F.min(F.struct("claim_no", "at", "title")).alias("first"))
     numbered = first.withColumn("number", F.row_number().over(Window.partitionBy("run_id").orderBy("first"))).select("run_id", "url", "number", F.col("first.title").alias("title"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import constants as K
 from tessera.functions import text as T
+from tessera.session import checkpointed
 
 
 def ratio(hits: Column, n: Column, otherwise: Column) -> Column:
@@ -42,24 +43,64 @@ def class_metrics(pairs: DataFrame, classes: list[str]) -> DataFrame:
     return out.withColumn("f1", part(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def percentiles(values: DataFrame, percent: list[int]) -> DataFrame:
+#: A key's values between two bounds that one window may order, the accuracy of the first bounds, and ranges that they are refined by.
+FEW, ACCURACY, RANGES, MOST_PASSES = 10_000, 1000, 512, 80
+
+
+def percentiles(values: DataFrame, percent: list[int], few: int = FEW) -> DataFrame:
     """For each key and percent (key, value): the interpolated percentile and the value of the lower nearest rank.
 
-    Equal values are counted first, so the ordered window sees a key's distinct values.
+    Nothing is sorted by key. A mergeable sketch gives bounds for each percent; a pass counts the values below and between
+    them exactly; bounds that do not hold the ranks asked for give way to the key's least and largest value, and bounds
+    with more than `few` values between them are refined by a histogram of ranges, until there are few or each range that
+    holds a rank has one value, however often; then a window over few rows can select. Percents are distinct; null values are left out, and a key without others has no row.
     """
-    counts = values.groupBy("key", "value").count()
-    upto = Window.partitionBy("key").orderBy("value")
-    ranked = counts.select("key", "value", F.sum("count").over(upto).alias("_upto"), F.sum("count").over(Window.partitionBy("key")).alias("n"))
-    asked = ranked.withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percent])))
+    some = values.where("value is not null").select("key", F.col("value").cast("double").alias("value"))
+    asked = sorted(set(percent))
+    wide = [x for p in asked for x in (max(0.0, p / 100 - 2 / ACCURACY), min(1.0, p / 100 + 2 / ACCURACY))]
+    sketch = some.groupBy("key").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.percentile_approx("value", wide, 10 * ACCURACY).alias("w"))
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("percent"), F.get("w", F.lit(2 * k)).alias("low"), F.get("w", F.lit(2 * k + 1)).alias("high")) for k, p in enumerate(asked)]))
     at = F.col("percent") * (F.col("n") - 1) / 100
-    rank = F.greatest(F.lit(1), F.floor(F.col("n") * F.col("percent") / 100))
-    found = asked.groupBy("key", "percent").agg(
-        F.min(F.when(F.col("_upto") >= F.floor(at) + 1, F.col("value"))).alias("low"),
-        F.min(F.when(F.col("_upto") >= F.least(F.floor(at) + 2, F.col("n")), F.col("value"))).alias("high"),
-        F.first(at - F.floor(at)).alias("part"),
-        F.min(F.when(F.col("_upto") >= rank, F.col("value"))).alias("lower_nearest"),
-    )
-    return found.select("key", "percent", (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("interpolated"), "lower_nearest")
+    ranks = {"first": F.floor(at) + 1, "second": F.least(F.floor(at) + 2, F.col("n")), "nearest": F.greatest(F.lit(1), F.floor(F.col("n") * F.col("percent") / 100)), "part": at - F.floor(at), "tight": F.lit(False)}
+    bounds = checkpointed(sketch.select("key", "n", "least", "most", each.alias("b")).select("key", "n", "least", "most", "b.*").withColumns(ranks))
+    from_rank, to_rank = F.least("first", "nearest"), F.greatest("second", "nearest")
+    for _ in range(MOST_PASSES):
+        met = some.join(_by_key(bounds), "key")
+        below = F.transform("bounds", lambda b: F.struct(b["percent"].alias("percent"), (F.col("value") < b["low"]).alias("below"), F.col("value").between(b["low"], b["high"]).alias("inside")))
+        told = [F.count_if(F.get(below, F.lit(k))[c]).alias(f"{c}{k}") for k in range(len(asked)) for c in ("below", "inside")]
+        counts = met.groupBy("key").agg(*told).select("key", F.explode(F.array(*[F.struct(F.lit(p).alias("percent"), F.col(f"below{k}").alias("below"), F.col(f"inside{k}").alias("inside")) for k, p in enumerate(asked)])).alias("c")).select("key", "c.*")
+        known = checkpointed(bounds.join(counts, ["key", "percent"]))
+        holds = (F.col("below") < from_rank) & (F.col("below") + F.col("inside") >= to_rank)
+        ready = holds & ((F.col("inside") <= few) | (F.col("low") == F.col("high")) | F.col("tight"))
+        if known.where(~ready).isEmpty():
+            break
+        again = known.withColumn("tight", F.col("tight") & holds).withColumn("low", F.when(holds, F.col("low")).otherwise(F.col("least"))).withColumn("high", F.when(holds, F.col("high")).otherwise(F.col("most")))
+        bounds = checkpointed(_refined(some, again, holds & ~ready, from_rank, to_rank).drop("below", "inside"))
+    near = some.join(_by_key(known), "key").select("key", "value", F.explode(F.filter("bounds", lambda b: F.col("value").between(b["low"], b["high"]))["percent"]).alias("percent"))
+    upto = F.sum("times").over(Window.partitionBy("key", "percent").orderBy("value"))
+    placed = near.groupBy("key", "percent", "value").agg(F.count("*").alias("times")).withColumn("upto", upto).join(known, ["key", "percent"]).withColumn("upto", F.col("upto") + F.col("below"))
+    value_at = lambda rank: F.min(F.when(F.col("upto") >= F.col(rank), F.col("value")))
+    found = placed.groupBy("key", "percent").agg(value_at("first").alias("one"), value_at("second").alias("two"), F.min("part").alias("part"), value_at("nearest").alias("lower_nearest"))
+    return found.select("key", "percent", (F.col("one") + (F.col("two") - F.col("one")) * F.col("part")).alias("interpolated"), "lower_nearest")
+
+
+def _by_key(bounds: DataFrame) -> DataFrame:
+    """One row a key with its bounds in the order of percent."""
+    return bounds.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("percent", "low", "high"))).alias("bounds"))
+
+
+def _refined(values: DataFrame, bounds: DataFrame, wanted: Column, from_rank: Column, to_rank: Column) -> DataFrame:
+    """Bounds, where wanted, drawn together to the ranges of a histogram that hold the ranks; all other bounds as they are."""
+    marked = bounds.withColumn("refine", wanted)
+    step = lambda low, high: (high - low) / RANGES
+    inside = values.join(_by_key(marked.where("refine")), "key").select("key", "value", F.explode(F.filter("bounds", lambda b: F.col("value").between(b["low"], b["high"]))).alias("b"))
+    place = F.least(F.floor((F.col("value") - F.col("b.low")) / step(F.col("b.low"), F.col("b.high"))), F.lit(RANGES - 1))
+    ranges = inside.groupBy("key", F.col("b.percent").alias("percent"), place.alias("place")).agg(F.count("*").alias("times"), F.min("value").alias("a"), F.max("value").alias("z"))
+    upto = F.sum("times").over(Window.partitionBy("key", "percent").orderBy("place"))
+    held = ranges.withColumn("upto", upto).join(marked.select("key", "percent", "below", from_rank.alias("from_rank"), to_rank.alias("to_rank")), ["key", "percent"])
+    own = held.where((F.col("below") + F.col("upto") >= F.col("from_rank")) & (F.col("below") + F.col("upto") - F.col("times") < F.col("to_rank")))
+    drawn = own.groupBy("key", "percent").agg(F.min("a").alias("_low"), F.max("z").alias("_high"), F.bool_and(F.col("a") == F.col("z")).alias("_tight"))
+    return marked.join(drawn, ["key", "percent"], "left").withColumn("low", F.coalesce("_low", "low")).withColumn("high", F.coalesce("_high", "high")).withColumn("tight", F.coalesce("_tight", "tight")).drop("_low", "_high", "_tight", "refine")
 
 
 def search_cost(plans: DataFrame, runs: DataFrame) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import urls as U
 from tessera.functions.entities import entities, entities_sql, region_hint, region_hint_sql
 from tessera.plans.registry import query
-from tessera.session import table
+from tessera.session import shared_folder, table
 from tessera.sources import html, payloads, receipts
 
 _TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
@@ -104,15 +104,29 @@ def text_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.array_join(entities(F.col("said")), "|").alias("entities"), region_hint(F.col("said")).alias("region"))
 
 
-@query()
+_COUNTED = ", ".join(f"count(*) filter (where turn % 3 {op}) as {v}_claims" for op, v in (("= 0", "supported"), ("= 1", "contradicted"), ("not in (0, 1)", "insufficient_evidence")))
+
+
+@query(
+    f"with r as (select conv_id, arg_min(text, turn) as query, arg_max(text, turn) as answer, count(*) as claim_count, {_COUNTED}, string_agg(turn || '=' || case turn % 3 when 0 then 'supported' when 1 then 'contradicted' else 'insufficient_evidence' end, ' ' order by turn) as claims, to_timestamp(1700000000 + conv_id) at time zone 'UTC' as started from conversations group by conv_id), "
+    f"n as (select *, strftime(started, '%Y%m%dT%H%M%SZ') || '-' || left(sha1(query || '|' || strftime(started, '%Y-%m-%dT%H:%M:%S')), 8) as run_id, coalesce(nullif(left(regexp_replace(regexp_replace({T.fold_sql('query')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 64), ''), 'query') as slug from r) "
+    "select run_id, strftime(started, '%Y%m%d') as day, run_id || '-' || slug as name, md5(query) as query_md5, md5(answer) as answer_md5, strftime(started, '%Y-%m-%dT%H:%M:%S') as started_at, claim_count, supported_claims, contradicted_claims, insufficient_evidence_claims, claims from n"
+)
 def run_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as runs with a receipt each."""
+    """Conversations as runs with a receipt each, written twice to one folder and read from it."""
     c = table(spark, sf_dir, "conversations")
     started = F.timestamp_seconds(1_700_000_000 + F.col("conv_id"))
     runs = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("query"), F.max_by("text", "turn").alias("answer")).select(receipts.run_id(F.col("query"), started).alias("run_id"), "conv_id", "query", "answer", started.alias("started"))
     verdict = F.when(F.col("turn") % 3 == 0, "supported").when(F.col("turn") % 3 == 1, "contradicted").otherwise("insufficient_evidence")
     claims = c.join(runs.select("conv_id", "run_id"), "conv_id").select("run_id", F.col("turn").alias("claim_id"), verdict.alias("verdict"))
-    return receipts.receipts(runs.drop("conv_id"), claims)
+    place, rows = shared_folder(spark, "receipts"), receipts.receipts(runs.drop("conv_id"), claims)
+    receipts.write_receipts(rows.where("hash(run_id) % 2 = 0"), place)
+    receipts.write_receipts(rows, place)
+    numbers = ("claim_count", "supported_claims", "contradicted_claims", "insufficient_evidence_claims")
+    payload = F.from_json("payload", f"user_query string, answer string, started_at string, summary struct<{', '.join(f'{n}: long' for n in numbers)}>, claims array<struct<claim_id: long, verdict: string>>")
+    read = receipts.read_receipts(spark, place).withColumn("p", payload)
+    told = F.array_join(F.transform("p.claims", lambda x: F.concat_ws("=", x["claim_id"].cast("string"), x["verdict"])), " ")
+    return read.select("run_id", "day", "name", F.md5("p.user_query").alias("query_md5"), F.md5("p.answer").alias("answer_md5"), "p.started_at", *[f"p.summary.{n}" for n in numbers], told.alias("claims"))
 
 
 @query(
@@ -141,8 +155,10 @@ def thread_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as discussion threads in JSON, read as text: the first turn is the post, the others are comments."""
     said = F.when(F.col("turn") % 7 == 6, "[removed]").otherwise(F.coalesce("text", F.lit("")))
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), said.alias("said"))
+    empty = F.trim("said").isin("", "[deleted]", "[removed]")
+    kept = F.row_number().over(Window.partitionBy("conv_id", "empty").orderBy("turn")) <= 12  # of a thread's comments a text has twelve
     comment = F.struct(F.lit("t1").alias("kind"), F.struct(F.col("said").alias("body"), F.col("role").alias("author"), F.col("turn").alias("score")).alias("data"))
-    listed = c.where("turn > 0").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", comment.alias("c")))).alias("all")).select("conv_id", F.col("all")["c"].alias("comments"))
+    listed = c.where("turn > 0").withColumn("empty", empty).withColumn("kept", kept).where("kept").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", comment.alias("c")))).alias("all")).select("conv_id", F.col("all")["c"].alias("comments"))
     post = F.struct(F.lit("t3").alias("kind"), F.struct(F.concat(F.lit("Talk "), F.col("conv_id").cast("string")).alias("title"), F.col("said").alias("selftext"), (F.col("conv_id") % 9).alias("score"), F.lit("talks").alias("subreddit")).alias("data"))
     listing = lambda children: F.concat(F.lit('{"data": {"children": '), F.coalesce(F.to_json(children), F.lit("[]")), F.lit("}}"))
     threads = c.where("turn = 0").join(listed, "conv_id", "left").select("conv_id", F.concat(F.lit("["), listing(F.array(post)), F.lit(", "), listing(F.col("comments")), F.lit("]")).alias("payload"))

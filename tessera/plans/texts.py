@@ -134,3 +134,21 @@ def match_and_negation(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.when(k == 0, F.concat(F.lit('It is not "true" or so? '), text)).when(k == 1, F.concat(F.lit("Claims debunked and false. "), text)).otherwise(text)
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", m.alias("m"))
     return c.select("conv_id", "turn", T.has_negation(F.col("m"), T.tokens(F.col("m"))).alias("negated"), F.array_join(T.match_tokens(F.col("m")), " ").alias("match_tokens"), T.simplified_query(F.col("m")).alias("simplified"))
+
+
+_DAYS = "case turn % 3 when 0 then 'Today, or «tomorrow»? ' || text || ' Вчера...' when 1 then text || ' yesterday' else text end"
+_AS_OF = "(date '2026-01-01' + (conv_id % 50)::int)"
+
+
+@query(
+    f"with p as (select conv_id, turn, {T.relative_days_sql(_DAYS, _AS_OF)} as p from conversations) select conv_id, turn, md5(array_to_string(list_transform(p, lambda x: coalesce(x.day, x.p)), '')) as text_md5, "
+    "array_to_string(list_transform(list_filter(p, lambda x: x.day is not null), lambda x: x.at || '+' || length(x.p) || '=' || x.day), ' ') as spans from p"
+)
+def relative_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with day words written as dates, each conversation as of a day of its own, and where these words stood."""
+    text, k = F.col("text"), F.col("turn") % 3
+    said = F.when(k == 0, F.concat(F.lit("Today, or «tomorrow»? "), text, F.lit(" Вчера..."))).when(k == 1, F.concat(text, F.lit(" yesterday"))).otherwise(text)
+    as_of = F.date_add(F.lit("2026-01-01").cast("date"), (F.col("conv_id") % 50).cast("int"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.relative_days(said, as_of).alias("d"))
+    told = F.transform("d.spans", lambda s: F.concat(s["start"].cast("string"), F.lit("+"), s["length"].cast("string"), F.lit("="), s["day"]))
+    return c.select("conv_id", "turn", F.md5("d.text").alias("text_md5"), F.array_join(told, " ").alias("spans"))

@@ -36,28 +36,33 @@ class _Events(HTMLParser):
         self.found.append(("", data, {}))
 
 
+def _objects(data: object, depth: int = 0) -> list[tuple[int, dict]]:
+    """The objects of linked data with how deep they lie: those of a list, and below each those of its graph."""
+    if isinstance(data, list):
+        return [x for item in data for x in _objects(item, depth)]
+    if not isinstance(data, dict):
+        return []
+    graph = data.get("@graph")
+    return [(depth, data), *(_objects(graph, depth + 1) if isinstance(graph, list) else [])]
+
+
+def _author(value: object) -> list[str] | str | None:
+    """An author's name, or the first three names of several; null where none is named."""
+    named = lambda x: x["name"] if isinstance(x, dict) and x.get("name") else None
+    return [n for n in map(named, value) if n][:3] or None if isinstance(value, list) else named(value)
+
+
 def _linked(blocks: list[str]) -> dict:
-    """First values in linked data, graphs' items behind the items that hold them."""
-    out: dict = {}
+    """Type, date and author that a page's linked data names first; items of graphs stand behind all that are not in one."""
+    ordered: list[dict] = []
     for block in blocks:
         try:
-            data = json.loads(block)
+            ordered += [item for _, item in sorted(_objects(json.loads(block)), key=lambda x: x[0])]
         except ValueError:
             continue
-        items = data if isinstance(data, list) else [data]
-        for item in items:  # grows while it is read
-            if not isinstance(item, dict):
-                continue
-            if isinstance(item.get("@graph"), list):
-                items.extend(item["@graph"])
-            for key in ("@type", "datePublished"):
-                if key in item:
-                    out.setdefault(key, item[key])
-            who = item.get("author")
-            names = [a.get("name") for a in (who if isinstance(who, list) else [who]) if isinstance(a, dict) and a.get("name")]
-            if names:
-                out.setdefault("author", names[:3] if isinstance(who, list) else names[0])
-    return out
+    values = {key: [item[key] for item in ordered if key in item] for key in ("@type", "datePublished")}
+    values["author"] = [a for a in (_author(item.get("author")) for item in ordered) if a]
+    return {key: found[0] for key, found in values.items() if found}
 
 
 def _partners(found: list[tuple[str, str, dict]]) -> dict[int, int]:

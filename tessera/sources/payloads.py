@@ -1,8 +1,8 @@
-"""Search payloads (JSON strings as a provider sends them) as rows of results; files of cases; recorded snapshots."""
+"""Search payloads (JSON strings as a provider sends them) as rows of results, papers and threads."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -11,10 +11,6 @@ from tessera.functions import urls as U
 _ROW = "struct<title: string, url: string, description: string, snippet: string, page_age: string, age: string>"
 _WEB = f"struct<web: struct<results: array<{_ROW}>>>"
 _NEWS = f"struct<results: array<{_ROW}>, news: struct<results: array<{_ROW}>>>"
-CASE_SCHEMA = (
-    "case_id string, split string, query string, profile string, min_answer_chars int, min_unique_sources int, "
-    "expected_claims array<struct<match: string, expected_verdict: string, requires_primary_source: boolean, expected_route: string, min_independent_sources: int>>"
-)
 _FALLBACKS = ("reference", "web", "deep")
 
 
@@ -71,20 +67,6 @@ def time_range(span: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in (("day", "pd"), ("week", "pw"), ("month", "pm"), ("year", "py")) for x in pair]), span)
 
 
-def cases(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation cases from JSON lines: the profile is web where none is named, a route may be one or a list.
-
-    Lines that are no JSON objects or have no case_id are left out.
-    """
-    raw = spark.read.schema(CASE_SCHEMA).json(path).where("case_id is not null")
-    routes = lambda r: F.when(r.isNull(), F.array().cast("array<string>")).when(F.startswith(r, F.lit("[")), F.from_json(r, "array<string>")).otherwise(F.array(r))
-    claim = F.transform(
-        F.coalesce("expected_claims", F.array().cast(dict(raw.dtypes)["expected_claims"])),
-        lambda c: F.struct(c["match"].alias("match"), c["expected_verdict"].alias("expected_verdict"), F.coalesce(c["requires_primary_source"], F.lit(False)).alias("requires_primary_source"), routes(c["expected_route"]).alias("expected_routes"), c["min_independent_sources"].alias("min_independent_sources")),
-    )
-    return raw.withColumn("profile", F.coalesce("profile", F.lit("web"))).withColumn("expected_claims", claim)
-
-
 def papers(payloads: DataFrame) -> DataFrame:
     """Entries of Atom documents (snapshot_id, payload): title, url, abstract, first three authors; both texts must be there."""
     schema = "entry array<struct<id: string, title: string, summary: string, author: array<struct<name: string>>>>"

@@ -28,8 +28,8 @@ def test_time_scope(spark, text, scope):
 
 
 def test_relative_days(spark):
-    assert value(spark, T.relative_days(F.lit("What happened today in Astana?"), "2026-03-25")) == "What happened 2026-03-25 in Astana?"
-    assert value(spark, T.relative_days(F.lit("Tomorrow, not todayish; сегодня"), "2026-03-25")) == "2026-03-26, not todayish; 2026-03-25"
+    assert value(spark, T.relative_days(F.lit("What happened today in Astana?"), F.lit("2026-03-25"))["text"]) == "What happened 2026-03-25 in Astana?"
+    assert value(spark, T.relative_days(F.lit("Tomorrow, not todayish; сегодня"), F.lit("2026-03-25"))["text"]) == "2026-03-26, not todayish; 2026-03-25"
 
 
 def test_sentences(spark):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.operators import evaluation as V
 from tessera.operators import evidence as E
 from tessera.operators import matching as M
-from tessera.sources import payloads, receipts
+from tessera.sources import payloads, receipts, records
 
 
 def test_slate_is_what_taking_one_by_one_gives(spark):
@@ -64,6 +64,23 @@ def test_percentiles(spark):
         assert r.lower_nearest == s[max(0, int(len(s) * r.percent / 100) - 1)]
 
 
+def test_percentiles_are_selected_by_refined_ranges(spark):
+    """Skewed, repeated and huge values under one key, with so few rows allowed between bounds that ranges are refined."""
+    rng = random.Random(2)
+    data = {
+        "skew": [rng.lognormvariate(0, 6) for _ in range(3000)], "one": [7.0] * 2000, "steps": [float(rng.randint(0, 5)) for _ in range(2500)], "signs": [rng.choice([-1, 1]) * 10 ** rng.uniform(-9, 9) for _ in range(1500)], "few": [3.0, 1.0],
+        "far": [0.0] * 1000 + [1e300, -1e300, 5.0],
+    }
+    df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs] + [("none", None)], "key string, value double").repartition(5)
+    got = {(r.key, r.percent): r for r in V.percentiles(df, [0, 1, 50, 90, 99, 100], few=20).collect()}
+    assert len(got) == 6 * len(data)
+    for (key, percent), r in got.items():
+        s = sorted(data[key])
+        k = (len(s) - 1) * percent / 100
+        assert r.interpolated == pytest.approx(s[int(k)] + (s[min(int(k) + 1, len(s) - 1)] - s[int(k)]) * (k - int(k)), rel=1e-12), (key, percent)
+        assert r.lower_nearest == s[max(0, int(len(s) * percent / 100) - 1)]
+
+
 def test_cache_and_budget(spark):
     df = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (1, "b", 3), (1, "b", 4), (2, "b", 1)], "run_id long, key string, seq long")
     got = {(r.run_id, r.seq): r.status for r in V.cache_with_budget(df, 1).collect()}
@@ -74,7 +91,7 @@ def test_cache_and_budget(spark):
 def test_cases_file(spark, tmp_path):
     lines = ['{"case_id": "a", "split": "s", "query": "q", "expected_claims": [{"match": "m", "expected_verdict": "supported", "expected_route": ["fast", "full"]}, {"match": "n", "expected_verdict": "supported", "expected_route": "fast"}]}', "no json", '{"query": "x"}', '{"case_id": "b", "profile": "deep"}']
     (tmp_path / "c.jsonl").write_text("\n".join(lines))
-    got = {r.case_id: r for r in payloads.cases(spark, str(tmp_path / "c.jsonl")).collect()}
+    got = {r.case_id: r for r in records.cases(spark, str(tmp_path / "c.jsonl")).collect()}
     assert set(got) == {"a", "b"} and got["a"].profile == "web" and got["b"].profile == "deep" and got["b"].expected_claims == []
     assert [c.expected_routes for c in got["a"].expected_claims] == [["fast", "full"], ["fast"]]
     assert got["a"].expected_claims[0].requires_primary_source is False
