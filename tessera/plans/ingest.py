@@ -129,16 +129,21 @@ def run_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("run_id", "day", "name", F.md5("p.user_query").alias("query_md5"), F.md5("p.answer").alias("answer_md5"), "p.started_at", *[f"p.summary.{n}" for n in numbers], told.alias("claims"))
 
 
+_PAPER_TITLE, _PAPER_TEXT = T.normalized_sql(_TITLE), T.normalized_sql("regexp_extract(html, '<p>([^<]{40,})', 1)")
+
+
 @query(
-    "select page_id // 10 as snapshot_id, (page_id % 10 + 1)::int as position, 'T ' || page_id as title, 'https://x.org/' || page_id as url, 'Sum mary ' || page_id as abstract, "
-    "array_to_string(list_transform(generate_series(1, least(3, page_id % 6)), lambda i: 'A ' || i), ',') as authors from pages where page_id % 5 <> 0"
+    f"with p as (select page_id, {_PAPER_TITLE} as title, trim(url) as url, case when page_id % 5 = 0 then '' else {_PAPER_TEXT} end as abstract, {T.words_sql(_TITLE)} as names from pages) "
+    "select page_id // 10 as snapshot_id, (page_id % 10 + 1)::int as position, title, url, abstract, array_to_string(names[1:least(3, page_id % 6)], ',') as authors from p where title <> '' and abstract <> ''"
 )
 def paper_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Atom documents of ten pages each as papers; entries without words in both texts are left out."""
-    p, k = table(spark, sf_dir, "pages").select("page_id"), F.col("page_id")
-    named = F.transform(F.filter(F.array(*map(F.lit, range(1, 7))), lambda i: i <= k % 6), lambda i: F.concat(F.lit("<author><name> A  "), i.cast("string"), F.lit("</name></author>")))
-    said = F.when(k % 5 == 0, "  ").otherwise(F.concat(F.lit(" Sum  mary\n"), k.cast("string")))
-    entry = F.concat(F.lit("<entry><id> https://x.org/"), k.cast("string"), F.lit(" </id><title>T\n "), k.cast("string"), F.lit("</title><summary>"), said, F.lit("</summary>"), F.array_join(named, ""), F.lit("</entry>"))
+    """Atom documents of ten pages each as papers, with the words of a title as authors; entries without words in both texts are left out."""
+    k, escaped = F.col("page_id"), lambda x: F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", "<p>([^<]{40,})", 1).alias("text"))
+    names = F.slice(T.words(F.col("title")), 1, F.least(F.lit(3), k % 6).cast("int"))
+    authors = F.array_join(F.transform(names, lambda n: F.concat(F.lit("<author><name> "), escaped(n), F.lit(" </name></author>"))), "")
+    said = F.when(k % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), escaped(F.col("text")), F.lit("\n")))
+    entry = F.concat(F.lit("<entry><id> "), escaped(F.col("url")), F.lit(" </id><title>\n "), escaped(F.col("title")), F.lit("</title><summary>"), said, F.lit("</summary>"), authors, F.lit("</entry>"))
     feeds = p.groupBy(F.floor(k / 10).alias("snapshot_id")).agg(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("entry")))).alias("e"))
     payload = F.concat(F.lit("<feed>"), F.array_join(F.col("e")["entry"], ""), F.lit("</feed>"))
     return payloads.papers(feeds.select("snapshot_id", payload.alias("payload"))).select("snapshot_id", "position", "title", "url", "abstract", F.array_join("authors", ",").alias("authors"))

@@ -62,3 +62,20 @@ def rule_list(raw: Column) -> Column:
     text = F.trim(F.coalesce(raw, F.lit("")))
     parts = F.when(F.startswith(text, F.lit("[")), F.from_json(text, "array<string>")).otherwise(F.split(F.replace(text, F.lit(";"), F.lit("\n")), "\n"))
     return F.array_distinct(F.filter(F.transform(F.coalesce(parts, F.array().cast("array<string>")), lambda p: F.trim(p)), lambda p: p != ""))
+
+
+def merged_rules(setting: Column, own: Column) -> Column:
+    """The rules of the settings before those of the profile, trimmed, each once."""
+    mine = F.filter(F.transform(F.coalesce(own, F.array().cast("array<string>")), lambda p: F.trim(p)), lambda p: p != "")
+    return F.array_distinct(F.concat(rule_list(setting), mine))
+
+
+def safe_search(own: Column, setting: Column) -> Column:
+    """A profile's own level, even a blank one; else that of the settings."""
+    return F.coalesce(own, setting)
+
+
+def provider(override: Column, setting: Column) -> Column:
+    """The provider's name: an override that is not blank, else the setting, else brave; in lower case."""
+    said = lambda x: F.lower(F.trim(x))
+    return F.coalesce(F.nullif(said(override), F.lit("")), F.when(F.coalesce(setting, F.lit("")) == "", "brave").otherwise(said(setting)))
