@@ -1,3 +1,6 @@
+import zlib
+from collections import Counter
+
 import numpy as np
 
 from tessera.llm import quality
@@ -83,3 +86,38 @@ def test_posteriors_against_em_over_rows():
         belief = clean / (clean + junk)
     assert max(abs(got[p] - b) for p, b in zip(rows, belief)) < 1e-6
     assert np.mean([(got[p] > 0.5) == t for p, t in zip(rows, truth)]) > 0.9
+
+
+def test_scores_against_brute_force(spark, edge_docs):
+    """Features by loops over bytes, labels by the pattern counts, and the regression over a dense matrix; then every score."""
+    docs = _corpus(spark, edge_docs.schema).where("doc_id < 120").union(edge_docs)
+    rows = [(r.doc_id, (r.text or "").encode("utf-8", "surrogatepass")) for r in docs.collect()]
+
+    def dense(data):
+        classes = [int(quality._CLASS[b]) for b in data]
+        x, grams = np.zeros(quality.DIMENSIONS), Counter(zip(classes, classes[1:], classes[2:]))
+        for (a, b, c), n in grams.items():
+            x[quality._TRIGRAM[a * 256 + b * 16 + c]] += np.sqrt(n / sum(grams.values()))
+        places = Counter(quality._TRIGRAM[a * 256 + b * 16 + c] for a, b, c in grams)
+        f = quality.facts(data)
+        for k in ("symbols", "bars", "shouts", "capitals", "repeats", "variety", "lines", "letters"):
+            at = zlib.crc32(f"{k}={min(20, int(20 * f[k]))}".encode()) % quality.DIMENSIONS
+            x[at] += 0.5
+            places[at] += 1
+        single = sum(n / sum(grams.values()) for n in grams.values()) + 8 * 0.25  # of each feature by itself, before places meet
+        return x / np.sqrt(single)
+
+    found = [quality.votes(quality.facts(d)) for _, d in rows]
+    clean = quality.posteriors(sorted(Counter(found).items()))
+    x, y = np.stack([dense(d) for _, d in rows]), np.array([clean[p] for p in found])
+    weights = last = np.zeros(quality.DIMENSIONS)
+    bias = last_bias = 0.0
+    for turn in range(250):
+        p = 1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30)))
+        new, new_bias = weights - 4 * (x.T @ (p - y) / len(y) + 1e-6 * weights), bias - 2 * (p - y).mean()
+        pull = turn / (turn + 3)
+        weights, bias = new + pull * (new - last), new_bias + pull * (new_bias - last_bias)
+        last, last_bias = new, new_bias
+    want = sorted((str(i), s) for (i, _), s in zip(rows, 1 / (1 + np.exp(-np.clip(x @ last + last_bias, -30, 30)))))
+    got = sorted((str(r.doc_id), r.score) for r in quality.scored(docs).collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and max(abs(a - b) for (_, a), (_, b) in zip(got, want)) < 1e-4
