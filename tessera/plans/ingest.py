@@ -129,6 +129,18 @@ def run_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("run_id", "day", "name", F.md5("p.user_query").alias("query_md5"), F.md5("p.answer").alias("answer_md5"), "p.started_at", *[f"p.summary.{n}" for n in numbers], told.alias("claims"))
 
 
+def _feeds(pages: DataFrame) -> DataFrame:
+    """Atom documents (snapshot_id, payload) of pages with a snapshot_id, in the order of page_id."""
+    k, escaped = F.col("page_id"), lambda x: F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    p = pages.select("snapshot_id", "page_id", "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", "<p>([^<]{40,})", 1).alias("text"))
+    names = F.slice(T.words(F.col("title")), 1, F.least(F.lit(3), k % 6).cast("int"))
+    authors = F.array_join(F.transform(names, lambda n: F.concat(F.lit("<author><name> "), escaped(n), F.lit(" </name></author>"))), "")
+    said = F.when(k % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), escaped(F.col("text")), F.lit("\n")))
+    entry = F.concat(F.lit("<entry><id> "), escaped(F.col("url")), F.lit(" </id><title>\n "), escaped(F.col("title")), F.lit("</title><summary>"), said, F.lit("</summary>"), authors, F.lit("</entry>"))
+    held = p.groupBy("snapshot_id").agg(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("entry")))).alias("e"))
+    return held.select("snapshot_id", F.concat(F.lit("<feed>"), F.array_join(F.col("e")["entry"], ""), F.lit("</feed>")).alias("payload"))
+
+
 _PAPER_TITLE, _PAPER_TEXT = T.normalized_sql(_TITLE), T.normalized_sql("regexp_extract(html, '<p>([^<]{40,})', 1)")
 
 
@@ -138,15 +150,25 @@ _PAPER_TITLE, _PAPER_TEXT = T.normalized_sql(_TITLE), T.normalized_sql("regexp_e
 )
 def paper_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Atom documents of ten pages each as papers, with the words of a title as authors; entries without words in both texts are left out."""
-    k, escaped = F.col("page_id"), lambda x: F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    p = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", "<p>([^<]{40,})", 1).alias("text"))
-    names = F.slice(T.words(F.col("title")), 1, F.least(F.lit(3), k % 6).cast("int"))
-    authors = F.array_join(F.transform(names, lambda n: F.concat(F.lit("<author><name> "), escaped(n), F.lit(" </name></author>"))), "")
-    said = F.when(k % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), escaped(F.col("text")), F.lit("\n")))
-    entry = F.concat(F.lit("<entry><id> "), escaped(F.col("url")), F.lit(" </id><title>\n "), escaped(F.col("title")), F.lit("</title><summary>"), said, F.lit("</summary>"), authors, F.lit("</entry>"))
-    feeds = p.groupBy(F.floor(k / 10).alias("snapshot_id")).agg(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("entry")))).alias("e"))
-    payload = F.concat(F.lit("<feed>"), F.array_join(F.col("e")["entry"], ""), F.lit("</feed>"))
-    return payloads.papers(feeds.select("snapshot_id", payload.alias("payload"))).select("snapshot_id", "position", "title", "url", "abstract", F.array_join("authors", ",").alias("authors"))
+    p = table(spark, sf_dir, "pages").withColumn("snapshot_id", F.floor(F.col("page_id") / 10))
+    return payloads.papers(_feeds(p)).select("snapshot_id", "position", "title", "url", "abstract", F.array_join("authors", ",").alias("authors"))
+
+
+_PAPERS = f"select page_id, {_PAPER_TITLE} as title, trim(url) as url, case when page_id % 5 = 0 then '' else {_PAPER_TEXT} end as abstract, {T.tokens_sql(_PAPER_TITLE)} as tokens from pages"
+
+
+@query(
+    f"with p as ({_PAPERS}), f as (select *, page_id // 30 as run_id, page_id // 10 % 3 as feed from p union all select *, page_id // 30, 3 from p where page_id % 3 = 0), "
+    "k as (select *, row_number() over (partition by run_id, feed order by page_id) as position from f), o as (select * from k where title <> '' and abstract <> '') "
+    "select run_id, url, array_to_string(tokens, ' ') as title_key, feed::int as feed, position::int as position, n from (select *, row_number() over (partition by run_id, url order by feed, position) as r, count(*) over (partition by run_id, url) as n from o) where r = 1"
+)
+def research_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers of the four feeds of each run, of which one repeats papers of the others: the first of each address stays."""
+    k = F.col("page_id")
+    feeds = F.array(F.floor(k / 10) % 3, F.when(k % 3 == 0, F.lit(3).cast("long")))
+    p = table(spark, sf_dir, "pages").withColumn("feed", F.explode(feeds)).where("feed is not null").withColumn("snapshot_id", F.struct(F.floor(k / 30).alias("run_id"), F.col("feed").cast("int").alias("feed")))
+    found = payloads.papers(_feeds(p)).select("snapshot_id.*", "position", "title", "url")
+    return payloads.first_of_each(found).select("run_id", "url", F.array_join(T.tokens(F.col("title")), " ").alias("title_key"), "feed", "position", "n")
 
 
 @query(

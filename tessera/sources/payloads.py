@@ -76,6 +76,12 @@ def papers(payloads: DataFrame) -> DataFrame:
     return e.select("snapshot_id", (F.col("k") + 1).alias("position"), title.alias("title"), F.trim("e.id").alias("url"), abstract.alias("abstract"), authors.alias("authors")).where("title <> '' and abstract <> ''")
 
 
+def first_of_each(papers: DataFrame) -> DataFrame:
+    """Of the papers of a run's feeds (run_id, feed, position, title, url) the first of each address, by feed and position; with n, how often it came."""
+    first = F.min(F.struct("feed", "position", "title")).alias("f")
+    return papers.groupBy("run_id", "url").agg(first, F.count("*").alias("n")).select("run_id", "url", "f.feed", "f.position", "f.title", "n")
+
+
 def thread_text(payload: Column, most: int = 12) -> Column:
     """A discussion thread's JSON as text: title, facts, its words and the first comments that have words."""
     thing = "struct<kind: string, data: struct<title: string, selftext: string, score: bigint, subreddit: string, body: string, author: string>>"
