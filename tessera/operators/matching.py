@@ -8,6 +8,8 @@ are verified on the texts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,12 +21,23 @@ GRAMS = ((15, 8, 8), (3, 3, 1), (1, 1, 1))
 LEAST_SHARE = 0.6
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _minimizers(text: Column, q: int, w: int) -> Column:
-    """The least hashes of w neighbouring q-grams, each once; none for texts with fewer."""
-    n = F.length(text)
-    hashes = F.transform(F.sequence(F.lit(1), n - q + 1), lambda i: F.xxhash64(F.substr(text, i, F.lit(q))))
-    least = F.transform(F.sequence(F.lit(1), n - q - w + 2), lambda i: F.array_min(F.slice(hashes, i, F.lit(w)))) if w > 1 else hashes
-    return F.when(n >= q + w - 1, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))
+    """The least hashes of w neighbouring q-grams, each once; none for texts with fewer. Linear in the text: its characters
+    and the grams' hashes are arrays that are made once."""
+
+    def grams(chars: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(chars) - q + 1), lambda i: F.xxhash64(F.array_join(F.slice(chars, i, F.lit(q)), "")))
+
+    def least(hashes: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(hashes) - w + 1), lambda i: F.array_min(F.slice(hashes, i, F.lit(w))))
+
+    found = _let(F.split(text, ""), lambda chars: _let(grams(chars), least) if w > 1 else grams(chars))
+    return F.when(F.length(text) >= q + w - 1, F.array_distinct(found)).otherwise(F.array().cast("array<bigint>"))
 
 
 def held_in(parts: DataFrame, wholes: DataFrame) -> DataFrame:
@@ -37,7 +50,8 @@ def held_in(parts: DataFrame, wholes: DataFrame) -> DataFrame:
     kind = F.when(size >= GRAMS[0][0], 0).when(size >= GRAMS[1][0], 1).otherwise(2)
     named = [F.when(kind == k, _minimizers(F.col("text"), q, w)) for k, (_, q, w) in enumerate(GRAMS)]
     asked = parts.where(size >= 1).select("case_id", "part", kind.alias("kind"), F.explode(F.coalesce(*named)).alias("key"))
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), _minimizers(F.col("text"), q, w).alias("keys")) for k, (_, q, w) in enumerate(GRAMS)])
+    there = {r["kind"] for r in parts.where(size >= 1).select(kind.alias("kind")).distinct().collect()}  # three at most
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), _minimizers(F.col("text"), q, w).alias("keys")) for k, (_, q, w) in enumerate(GRAMS) if k in there or not there])
     index = wholes.select("case_id", "whole", F.explode(kinds).alias("g")).select("case_id", "whole", "g.kind", F.explode("g.keys").alias("key"))
     known = index.join(asked.select("case_id", "kind", "key").distinct(), ["case_id", "kind", "key"], "left_semi")
     often = known.groupBy("case_id", "kind", "key").agg(F.count("*").alias("n"))
