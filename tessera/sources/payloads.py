@@ -46,8 +46,8 @@ def with_fallback(attempts: DataFrame) -> DataFrame:
     attempts: run_id, step, profile, query, n_results, unresponsive; a repeated profile and query counts once.
     """
     once = attempts.groupBy("run_id", "profile", "query").agg(F.min_by(F.struct("step", "n_results", "unresponsive"), "step").alias("a")).select("run_id", "profile", "query", "a.*")
-    done = ~is_degraded(F.col("n_results"), F.col("unresponsive"))
-    picked = F.min_by(F.struct("step", "profile", "query", "n_results"), F.when(done, F.col("step")).otherwise(1_000_000 - F.col("step")))
+    degraded = F.coalesce(is_degraded(F.col("n_results"), F.col("unresponsive")), F.lit(True))
+    picked = F.min_by(F.struct("step", "profile", "query", "n_results"), F.struct(degraded.alias("degraded"), F.when(degraded, -F.col("step")).otherwise(F.col("step")).alias("at")))
     return once.groupBy("run_id").agg(picked.alias("p"), F.count("*").alias("n_attempts")).select("run_id", "p.*", "n_attempts")
 
 

@@ -155,3 +155,10 @@ def test_top_overlaps_prunes_and_keeps_ties(spark):
         scored = sorted(((-len(set(words) & set(t)) / len(set(words)), d) for d, t in texts.items() if set(words) & set(t)) if words else [])
         want |= {(c, d, r, -o) for r, (o, d) in enumerate(scored[:7], 1)}
     assert {(r.claim_id, r.doc_id, r["rank"], r.overlap) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("shift", [0, 600_000, 5_000_000])
+def test_fallback_chain_stops_at_the_first_good_attempt_whatever_its_number(spark, shift):
+    rows = [(1, shift + 1, "a", "q", 0, ["e"]), (1, shift + 2, "b", "q", 3, ["e"]), (1, shift + 3, "c", "q", 0, ["e"]), (2, shift + 4, "a", "q", 0, ["e"]), (2, shift + 5, "b", "q", 0, ["e"]), (3, shift + 6, "a", "q", 0, [])]
+    df = spark.createDataFrame(rows, "run_id long, step long, profile string, query string, n_results int, unresponsive array<string>")
+    assert sorted((r.run_id, r.step - shift, r.n_attempts) for r in payloads.with_fallback(df).collect()) == [(1, 2, 3), (2, 5, 2), (3, 6, 1)]
