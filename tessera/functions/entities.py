@@ -2,13 +2,11 @@
 
 A text is read as an array of words and of what else stands between them; a run of names ends where anything but white
 space stands between two words. Whether a run goes on is said for each word from the next two, so every run, at most `RUN`
-words from each of its words, is a slice of that array. Arrays are bound once (`_let`), whatever is said about them.
+words from each of its words, is a slice of that array. Arrays are bound once (`T.let`), whatever is said about them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,11 +22,6 @@ _TAIL = r"[.+/\-_']+$"
 _NAME = r"^\p{Lu}|^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$|^\p{Nd}.*\p{Lu}"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _bare(word: Column) -> Column:
     return F.regexp_replace(word, _TAIL, "")
 
@@ -38,19 +31,20 @@ def _is_word(piece: Column) -> Column:
 
 
 def _is_name(piece: Column) -> Column:
-    return _is_word(piece) & _let(_bare(piece), lambda w: ~F.array_contains(T.strings(K.NO_ENTITIES), T.fold(w)) & w.rlike(_NAME))
+    """A name has a capital letter, which most pieces lack."""
+    return F.when(piece.rlike(r"\p{Lu}"), _is_word(piece) & T.let(_bare(piece), lambda w: ~T.fold(w).isin(*K.NO_ENTITIES) & w.rlike(_NAME))).otherwise(F.lit(False))
 
 
 def _joins(piece: Column) -> Column:
-    return _is_word(piece) & F.array_contains(T.strings(K.ENTITY_JOINERS), T.fold(_bare(piece)))
+    return _is_word(piece) & T.fold(_bare(piece)).isin(*K.ENTITY_JOINERS)
 
 
 def _good(candidate: Column) -> Column:
     """Whether a candidate is more than one character and has a word of two that is neither a stop word nor no entity."""
-    no = T.strings(K.NO_ENTITIES)
+    no = K.NO_ENTITIES
     own = F.transform(F.regexp_extract_all(candidate, F.lit(T.WORD), F.lit(0)), lambda w: T.fold(_bare(w)))
-    told = lambda w: (F.length(w) > 1) & ~F.array_contains(T.strings(K.STOP_WORDS), w) & ~F.array_contains(no, w)
-    return (F.length(candidate) > 1) & ~F.array_contains(no, T.fold(candidate)) & F.exists(own, told)
+    told = lambda w: T.is_token(w) & ~w.isin(*no)
+    return (F.length(candidate) > 1) & ~T.fold(candidate).isin(*no) & F.exists(own, told)
 
 
 def _pieces(text: Column) -> Column:
@@ -59,12 +53,12 @@ def _pieces(text: Column) -> Column:
 
 def _runs(text: Column) -> Column:
     """The runs of name words of a text, one from each name word, in order."""
-    marked = F.transform(_pieces(text), lambda p: F.struct(p.alias("p"), _is_name(p).alias("name"), _joins(p).alias("joins")))
+    marked = F.transform(_pieces(text), lambda p: F.struct(p.alias("p"), _is_name(p).alias("name")))
 
     def read(m: Column) -> Column:
         def goes_on(i: Column) -> Column:
             after = F.get(m, i)
-            return F.coalesce(F.when(after["joins"], F.get(m, i + 1)["name"]).otherwise(after["name"]), F.lit(False))
+            return F.coalesce(F.when(_joins(after["p"]), F.get(m, i + 1)["name"]).otherwise(after["name"]), F.lit(False))
 
         def run(i: Column) -> Column:
             n = F.lit(1)
@@ -76,15 +70,15 @@ def _runs(text: Column) -> Column:
         places = F.when(F.size(m) > 0, F.sequence(F.lit(0), F.size(m) - 1)).otherwise(F.array().cast("array<int>"))
         return F.filter(F.transform(places, run), lambda c: c.isNotNull() & _good(c))
 
-    return _let(marked, read)
+    return T.let(marked, read)
 
 
 def entities(text: Column) -> Column:
     """Quoted segments, then runs of up to four name words with joining words inside; the first of equal ones, at most six."""
     quotes = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_QUOTED), F.lit(0)), lambda q: T.normalized(F.substr(q, F.lit(2), F.length(q) - 2)))
     some = F.filter(quotes, lambda q: F.length(q).between(*QUOTE_CHARS))
-    found = F.transform(F.concat(some, _runs(text)), lambda e: F.struct(T.fold(e).alias("key"), e.alias("e")))
-    return F.slice(_let(found, lambda f: F.transform(F.filter(f, lambda x, i: F.array_position(f["key"], x["key"]) == i + 1), lambda x: x["e"])), 1, MOST)
+    keyed = T.let(F.concat(some, _runs(text)), lambda f: F.struct(f.alias("e"), F.transform(f, T.fold).alias("keys")))
+    return T.let(keyed, lambda f: F.transform(F.slice(F.array_distinct(f["keys"]), 1, MOST), lambda k: F.get(f["e"], (F.array_position(f["keys"], k) - 1).cast("int"))))
 
 
 def region_hint(text: Column) -> Column:
@@ -103,7 +97,7 @@ def region_hint(text: Column) -> Column:
         places = F.when(F.size(m) > 0, F.sequence(F.lit(0), F.size(m) - 1)).otherwise(F.array().cast("array<int>"))
         return F.get(F.filter(F.transform(places, run), lambda r: r.isNotNull()), F.lit(0))
 
-    return _let(marked, read)
+    return T.let(marked, read)
 
 
 def _re(pattern: str) -> str:
