@@ -32,6 +32,10 @@ def test_relative_dates_goes_through_day_words_only(spark):
     assert "filter(transform(" in first  # before dates are made, pieces that are none have gone
 
 
+def test_cheap_passages_reads_the_words_of_a_passage_once(spark):
+    assert plan(spark, "cheap_passages").count("regexp_extract_all(coalesce(text") <= 4  # a passage's, and three times a claim's
+
+
 def test_pieces_of_a_collapsed_text_are_trimmed_of_spaces_alone(spark):
     text = "0 a. 1 b! 2 c? 3 d \u0001 4 e"
     want = ["0 a.", "1 b!", "2 c?", "3 d", "4 e"]
