@@ -9,6 +9,7 @@ from tessera.functions import scoring as S
 from tessera.functions import text as T
 from tessera.functions import urls as U
 from tessera.operators.evidence import contract_gaps
+from tessera.session import checkpointed
 
 #: Weights of the second phase and of support, and the boost of passages seen before.
 UTILITY = {"cheap": 0.30, "dimension": 0.20, "bonus": 0.12, "source": 0.08, "contradiction": 0.05}
@@ -17,14 +18,14 @@ CONTRADICTION, SEEN_BEFORE, PRIMARY_FROM = 0.15, 0.12, 0.7
 
 def utility_scores(scored: DataFrame) -> DataFrame:
     """Passages with cheap_score, p_tokens, text, title, url, host, scope and seen (in an earlier round), and a utility."""
-    prior = U.source_prior(F.col("host"))
-    kind = F.coalesce(prior["domain_type"], U.domain_type(F.col("host")))
-    bonus = F.greatest(S.verification_bonus(kind, F.col("title"), F.col("url"), prior["verification_bonus"]), F.lit(0.0))
+    made = scored.withColumn("_prior", U.source_prior(F.col("host")))  # columns of their own: each is named often below
+    made = made.withColumn("_kind", F.coalesce("_prior.domain_type", U.domain_type(F.col("host"))))
+    bonus = F.greatest(S.verification_bonus(F.col("_kind"), F.col("title"), F.col("url"), F.col("_prior.verification_bonus")), F.lit(0.0))
     dimension = F.when(F.col("scope").isNotNull() & F.contains(T.fold(F.col("text")), T.fold(F.col("scope"))), 0.15).otherwise(0.0)
     against = F.when(T.has_negation(F.col("text"), F.col("p_tokens")), CONTRADICTION).otherwise(0.0)
     w = UTILITY
     score = S.clamp(w["cheap"] * F.col("cheap_score") + w["dimension"] * dimension + w["bonus"] * bonus + w["source"] * F.col("source_score") + w["contradiction"] * against)
-    return scored.withColumn("utility", S.clamp(score + F.when(F.col("seen"), SEEN_BEFORE).otherwise(0.0)))
+    return made.withColumn("utility", S.clamp(score + F.when(F.col("seen"), SEEN_BEFORE).otherwise(0.0))).drop("_prior", "_kind")
 
 
 def rerank(passages: DataFrame, limit: int = 8) -> DataFrame:
@@ -32,11 +33,12 @@ def rerank(passages: DataFrame, limit: int = 8) -> DataFrame:
 
     passages: claim_id, seq (orderable), host, utility, source_score. Taking one by one means: the first of each of the first
     limit / 2 hosts (two at least), and behind the last of these whatever comes next, up to the limit; with fewer hosts only
-    the first of each. So hosts are summed up by a partial aggregate, and both windows keep a few rows a task.
+    the first of each. So hosts are summed up by a partial aggregate, and both windows keep a few rows a task. Keys are written
+    once, without texts, as they are gone through twice.
     """
     half, own = max(2, limit // 2), Window.partitionBy("claim_id").orderBy("_order")
     order = F.struct((-F.col("utility")).alias("u"), (-F.col("source_score")).alias("s"), "seq")
-    narrow = passages.select("claim_id", order.alias("_order"), U.registered_root(F.col("host")).alias("root"))
+    narrow = checkpointed(passages.select("claim_id", order.alias("_order"), U.registered_root(F.col("host")).alias("root")))
     firsts = narrow.groupBy("claim_id", "root").agg(F.min("_order").alias("_order"))
     leads = firsts.withColumn("place", F.row_number().over(own)).where(F.col("place") <= half).select("claim_id", "_order", "place")
     last = leads.where(F.col("place") == half).select("claim_id", F.col("_order").alias("_last"))

@@ -11,7 +11,7 @@ from tessera.functions import text as T
 from tessera.functions import urls as U
 from tessera.operators import bundles as B
 from tessera.operators import evidence as E
-from tessera.plans.evidence import _GATED_SQL, _ROWS_SQL, CLAIMS, CLAIMS_SQL, _scored, claims, n_claims, passage_rows
+from tessera.plans.evidence import _GATED_SQL, _ROWS_SQL, CLAIMS, CLAIMS_SQL, _scored, asked_claims, claims, n_claims, passage_rows
 from tessera.plans.registry import query
 from tessera.session import table
 
@@ -42,8 +42,7 @@ _UTILITY = S.clamp_sql(
 )
 def reranked_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight best passages of each claim by utility with different hosts first; its SQL takes them one by one in a recursion."""
-    p = passage_rows(spark, sf_dir).withColumn("p_tokens", T.tokens(F.col("text"))).withColumn("p_numbers", T.numbers(F.col("text")))
-    s = E.cheap_scores(p.join(claims(spark, sf_dir), "claim_id")).withColumn("title", F.col("passage_id")).withColumn("seen", (F.col("doc_id") + F.col("k")) % 9 == 0)
+    s = E.cheap_scores(E.with_words(passage_rows(spark, sf_dir)).join(asked_claims(spark, sf_dir), "claim_id")).withColumn("title", F.col("passage_id")).withColumn("seen", (F.col("doc_id") + F.col("k")) % 9 == 0)
     s = s.withColumn("host", F.concat(F.regexp_replace("host", r"\.example\.com$", ""), (F.floor((F.col("doc_id") + F.col("k")) / 3) % 6).cast("string"), F.lit(".com")))  # hosts with roots of their own
     chosen = B.rerank(B.utility_scores(s).withColumn("seq", F.struct("doc_id", "k", "passage_id")))
     return chosen.select("claim_id", F.col("seq.passage_id").alias("passage_id"), "place")

@@ -36,6 +36,10 @@ def test_cheap_passages_reads_the_words_of_a_passage_once(spark):
     assert plan(spark, "cheap_passages").count("regexp_extract_all(coalesce(text") <= 4  # a passage's, and three times a claim's
 
 
+def test_reranked_passages_scores_each_passage_once(spark):
+    assert plan(spark, "reranked_passages").count("array_intersect(") == 0  # both steps of the selection read what has been written
+
+
 def test_pieces_of_a_collapsed_text_are_trimmed_of_spaces_alone(spark):
     text = "0 a. 1 b! 2 c? 3 d \u0001 4 e"
     want = ["0 a.", "1 b!", "2 c?", "3 d", "4 e"]
