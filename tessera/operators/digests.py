@@ -119,13 +119,20 @@ def with_sources(outputs: DataFrame, passages: DataFrame) -> DataFrame:
 
 
 def specificity(text: Column) -> Column:
-    return P.time_specificity(T.time_scope(T.words(text)))
+    return T.let(T.time_scope(T.words(text)), P.time_specificity)
+
+
+def is_better(answer_type: Column, own: Column, fallback: Column, contradicted: Column) -> Column:
+    """Whether the best sentence is nearer to a time or number asked for than a span's normalised text."""
+    nearer = ((answer_type == "time") & (specificity(fallback) > specificity(own))) | ((answer_type == "number") & (F.size(T.numbers(own)) == 0))
+    return ~contradicted & F.coalesce(fallback != "", F.lit(False)) & F.coalesce(nearer, F.lit(False))
 
 
 def span_text(answer_type: Column, span: Column, fallback: Column, contradicted: Column) -> Column:
     """What a claim's line says: its first span; the passages' best sentence where that is nearer to a time or number asked for, or
     where there is no span. Null where there is neither."""
-    own = T.normalized(span)
-    nearer = ((answer_type == "time") & (specificity(fallback) > specificity(own))) | ((answer_type == "number") & (F.size(T.numbers(own)) == 0))
-    better = ~contradicted & F.coalesce(fallback != "", F.lit(False)) & F.coalesce(nearer, F.lit(False))
-    return P.truncated(F.when(span.isNull(), F.nullif(fallback, F.lit(""))).when(better, fallback).otherwise(own), SPAN_CHARS)
+
+    def chosen(w: Column) -> Column:
+        return F.when(span.isNull(), F.nullif(w["fallback"], F.lit(""))).when(is_better(answer_type, w["own"], w["fallback"], contradicted), w["fallback"]).otherwise(w["own"])
+
+    return T.let(F.struct(T.normalized(span).alias("own"), fallback.alias("fallback")), lambda w: T.let(chosen(w), lambda s: P.truncated(s, SPAN_CHARS)))

@@ -188,14 +188,17 @@ def best_sentence(asked: Column, scope: Column, text: Column, limit: int = 2000,
     Only the first head characters are looked at, which is meant for passages; None looks at the whole text.
     """
     found = T.sentences(text if head is None else F.substr(text, F.lit(1), F.lit(head)))
-    n = F.size(F.array_distinct(asked))
+    # only words that are asked for count, so those of sentences need no filter of their own
+    wanted = F.struct(F.array_distinct(F.filter(asked, T.is_token)).alias("tokens"), F.size(F.array_distinct(asked)).alias("n"))
 
-    def score(s: Column) -> Column:
-        share = F.when(n == 0, 0.0).otherwise(F.size(F.array_intersect(asked, T.tokens(s))) / n)
-        return share + F.when(scope.isNotNull() & F.contains(T.fold(s), T.fold(scope)), 0.1).otherwise(0.0)
+    def best(w: Column) -> Column:
+        def score(s: Column) -> Column:
+            share = F.when(w["n"] == 0, 0.0).otherwise(F.size(F.array_intersect(w["tokens"], T.folded_words(T.words(s)))) / w["n"])
+            return share + F.when(scope.isNotNull() & F.contains(T.fold(s), T.fold(scope)), 0.1).otherwise(0.0)
 
-    scored = F.transform(found, lambda s, i: F.struct(score(s).alias("score"), (-i).alias("order"), s.alias("sentence")))
-    return truncated(F.coalesce(F.array_max(scored)["sentence"], text), limit)
+        return F.array_max(F.transform(found, lambda s, i: F.struct(score(s).alias("score"), (-i).alias("order"), s.alias("sentence"))))["sentence"]
+
+    return T.let(F.coalesce(T.let(wanted, best), text), lambda s: truncated(s, limit))
 
 
 def truncated(x: Column, limit: int) -> Column:

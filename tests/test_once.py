@@ -1,9 +1,11 @@
 """What is said of a text often is worked out once: long texts and many rows cost no more than their length."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.catalog import QUERIES
 from tessera.functions import text as T
+from tessera.operators import policy as P
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,6 +42,18 @@ def test_reranked_passages_scores_each_passage_once(spark):
     assert plan(spark, "reranked_passages").count("array_intersect(") == 0  # both steps of the selection read what has been written
 
 
+@pytest.mark.parametrize("most", [12])
+def test_span_texts_reads_fallback_and_span_a_few_times(spark, most):
+    assert plan(spark, "span_texts").count("regexp_extract_all(") <= most
+
+
+def test_best_sentence_counts_no_stop_words_and_keeps_its_measure(spark):
+    asked = F.array(*[F.lit(t) for t in ("the", "a", "spark", "joins", "joins")])
+    text = "The a the a. Spark here. Spark joins the tables"
+    got = spark.range(1).select(P.best_sentence(asked, F.lit(None).cast("string"), F.lit(text)).alias("s")).first().s
+    assert got == "Spark joins the tables"
+
+
 def test_pieces_of_a_collapsed_text_are_trimmed_of_spaces_alone(spark):
     text = "0 a. 1 b! 2 c? 3 d \u0001 4 e"
     want = ["0 a.", "1 b!", "2 c?", "3 d", "4 e"]
