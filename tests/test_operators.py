@@ -157,6 +157,28 @@ def test_top_overlaps_prunes_and_keeps_ties(spark):
     assert {(r.claim_id, r.doc_id, r["rank"], r.overlap) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_top_overlaps_holds_documents_as_rows_and_not_their_words(spark, monkeypatch, few):
+    """200 documents of 40 asked words each: no table that is written has more rows than there are documents; the same with shuffled joins."""
+    from tessera.operators import evidence as E
+
+    keep, rows = E.checkpointed, []
+
+    def counted(df):
+        out = keep(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(E, "checkpointed", counted)
+    monkeypatch.setattr(E, "FEW_ROWS", few, raising=False)
+    docs = [(i, [f"w{j}" for j in range(i % 40, i % 40 + 40)]) for i in range(200)]
+    asked = [(c, [f"w{j}" for j in range(c, c + 50)]) for c in (0, 20)]
+    got = E.top_overlaps(spark.createDataFrame(docs, "doc_id long, tokens array<string>"), spark.createDataFrame(asked, "claim_id long, tokens array<string>"))
+    want = {(c, d, r) for c, w in asked for r, (_, d) in enumerate(sorted((-len(set(w) & set(t)), d) for d, t in docs)[:25], 1)}
+    assert {(r.claim_id, r.doc_id, r["rank"]) for r in got.collect()} == want
+    assert max(rows) <= 200
+
+
 @pytest.mark.parametrize("shift", [0, 600_000, 5_000_000])
 def test_fallback_chain_stops_at_the_first_good_attempt_whatever_its_number(spark, shift):
     rows = [(1, shift + 1, "a", "q", 0, ["e"]), (1, shift + 2, "b", "q", 3, ["e"]), (1, shift + 3, "c", "q", 0, ["e"]), (2, shift + 4, "a", "q", 0, ["e"]), (2, shift + 5, "b", "q", 0, ["e"]), (3, shift + 6, "a", "q", 0, [])]
